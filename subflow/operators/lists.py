@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from subflow.functions.cells import epoch_day
 from subflow.functions.rules import is_more_year
-from subflow.operators.spread import attach_per_key
+from subflow.operators.spread import attach_per_key, spread_over
 from subflow.schemas import ITEM_COLUMNS, PACKET_COLUMNS, STORED_COLUMNS
 
 LIST_ROWS = 100_000
@@ -29,31 +29,21 @@ def bucket_lists(rows: DataFrame, list_rows: int = LIST_ROWS, **spread) -> DataF
 
     A file's bucket is one list as long as it has at most ``list_rows`` rows. A
     larger one comes as several lists of about that size, told apart by ``part``;
-    together they hold every row once. Equal rows are counted first, then cut into
-    pieces of at most ``list_rows`` copies, so neither a large file nor a large
-    group of copies meets in one task.
+    together they hold every row once. So a large file is never in one task.
     """
-    item = ["file_name", "isMoreYear", *ITEM_COLUMNS]
-    copies = stored_items(rows).groupBy(*item).agg(F.count("*").alias("copies"))
-    bucket = F.struct("file_name", "isMoreYear")
-    per_bucket = (
-        rows.groupBy("file_name", is_more_year().alias("isMoreYear"))
+    items = stored_items(rows).withColumn("bucket", F.struct("file_name", "isMoreYear"))
+    large = (
+        items.groupBy("bucket")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > list_rows)
-        .select(
-            bucket.alias("bucket"), "n", F.ceil(F.col("n") / list_rows).cast("int").alias("parts")
-        )
+        .withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int"))
     )
-    pieces = F.sequence(F.lit(0), F.ceil(F.col("copies") / list_rows).cast("int") - 1)
-    cut = copies.withColumn("bucket", bucket).withColumn("piece", F.explode(pieces))
-    size = F.least(F.lit(list_rows), F.col("copies") - F.col("piece") * list_rows).cast("int")
-    placed = attach_per_key(cut, per_bucket, on="bucket", weight="n", how="left", **spread)
-    part = F.pmod(F.xxhash64(*item, "piece"), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = attach_per_key(items, large, on="bucket", weight="n", how="left", **spread)
+    part = spread_over(F.coalesce("parts", F.lit(1)), *ITEM_COLUMNS)
     return (
         placed.withColumn("part", part)
-        .withColumn("run", F.array_repeat(F.struct(*ITEM_COLUMNS), size))
         .groupBy("file_name", "isMoreYear", "part")
-        .agg(F.sort_array(F.flatten(F.collect_list("run"))).alias("list"))
+        .agg(F.sort_array(F.collect_list(F.struct(*ITEM_COLUMNS))).alias("list"))
     )
 
 

@@ -63,3 +63,9 @@ def good_rows(checked: DataFrame) -> DataFrame:
 
 def failed_rows(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("errors").isNotNull()).select(*PACKET_COLUMNS, "errors")
+
+
+def good_rows_with_arrival(checked: DataFrame) -> DataFrame:
+    """Good rows of a staged table of checked records, with the arrival they came in."""
+    good = F.col("reason").isNull() & ~F.col("is_end") & F.col("errors").isNull()
+    return checked.filter(good).select(*PACKET_COLUMNS, "arrival")

@@ -1,12 +1,12 @@
 """Attach one small row per key to many rows, without a hot key slowing the job."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subflow.workspace import staged
 
 # A per-key table up to this many bytes, as measured, goes to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 # A key is hot when it holds more than 1/HOT_SHARE of all rows; so fewer than
 # HOT_SHARE keys can be hot, and their list is always small.
 HOT_SHARE = 1000
@@ -14,6 +14,11 @@ HOT_SHARE = 1000
 TASKS_PER_SHARE = 4
 
 
+def spread_over(n: Column, *columns: str) -> Column:
+    """A number below ``n`` that a repeated task gives every row again."""
+    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), n).cast("int")
+
+
 def attach_per_key(
     rows: DataFrame,
     per_key: DataFrame,
@@ -28,8 +33,8 @@ def attach_per_key(
     The per-key table is staged and measured. Small, it is broadcast and the rows
     are not shuffled at all. Otherwise the rows are shuffled by key, and those of a
     hot key by key and salt, with the key's row repeated once per salt. The salt
-    comes from the row's own values, so a repeated task sends rows the same way;
-    copies of one row share a salt, and AQE's skew split takes what is left.
+    comes from the row's values and its task's number: a repeated task sends every
+    row the same way again, and copies of one row part by the tasks that hold them.
     """
     per_key = staged(per_key, "per-key")
     size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))) + 32), F.lit(0))
@@ -49,7 +54,7 @@ def attach_per_key(
     salts = F.coalesce("_salts", F.lit(1))
     salted_rows = (
         rows.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int"))
+        .withColumn("_salt", spread_over(salts, *rows.columns))
         .drop("_salts")
     )
     salted_keys = (
