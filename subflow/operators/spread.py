@@ -25,18 +25,20 @@ def attach_per_key(
     on: str,
     weight: str,
     how: str = "inner",
+    is_staged: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """Join ``rows`` with ``per_key`` on ``on``; ``weight`` counts the rows of a key.
 
-    The per-key table is staged and measured. Small, it is broadcast and the rows
+    The per-key table is staged (unless it ``is_staged`` already) and measured. Small, it is broadcast and the rows
     are not shuffled at all. Otherwise the rows are shuffled by key, and those of a
     hot key by key and salt, with the key's row repeated once per salt. The salt
     comes from the row's values and its task's number: a repeated task sends every
     row the same way again, and copies of one row part by the tasks that hold them.
     """
-    per_key = staged(per_key, "per-key")
+    if not is_staged:
+        per_key = staged(per_key, "per-key")
     size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))) + 32), F.lit(0))
     measured = per_key.agg(
         size.alias("bytes"), F.coalesce(F.sum(weight), F.lit(0)).alias("total")

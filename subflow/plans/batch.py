@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subflow.operators import files, gate, lists, rows, status
+from subflow.schemas import CHECKED
 from subflow.sinks.tables import store_items
 from subflow.sources import delimited
 from subflow.workspace import staged
@@ -20,7 +21,7 @@ def checked_records(
     """
     checked = rows.check_rows(rows.assemble(records), as_of, start_by_file_date)
     is_row = F.col("reason").isNull() & ~F.col("is_end")
-    return checked.withColumn("errors", F.when(is_row, F.col("errors")))
+    return checked.withColumn("errors", F.when(is_row, F.col("errors"))).to(CHECKED)
 
 
 @dataclass
@@ -75,7 +76,7 @@ def ingest_folder(
     """Check, read and judge all files of a folder; the text is parsed once."""
     lines = files.of_good_files(delimited.read_lines(spark, path, nested), as_of)
     headers = staged(delimited.file_headers(lines), "headers")
-    records = delimited.header_records(lines, headers)
+    records = delimited.header_records(lines, headers, is_staged=True)
     listed = files.check_files(delimited.list_files(spark, path, nested), as_of)
     return Outcome(
         checked=staged(checked_records(records, as_of, start_by_file_date), "checked"),

@@ -6,14 +6,20 @@
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from subflow.operators import files, lists, rows, status
 from subflow.plans.batch import checked_records
-from subflow.schemas import COLLECTOR_STATUS, PACKET_COLUMNS, PROGRESS, RELEASE
-from subflow.sinks.tables import ensure_table, store_items, write_batch
+from subflow.schemas import (
+    CHECKED,
+    COLLECTOR_STATUS,
+    PACKET_COLUMNS,
+    PROGRESS,
+    RELEASE,
+    RELEASED,
+)
+from subflow.sinks.tables import ensure_table, has_batch, read_batch, store_items, write_batch
 from subflow.sources import delimited, staged
 from subflow.streaming import gate as stream_gate
 from subflow.streaming.progress import file_progress, row_progress
@@ -43,17 +49,20 @@ class Layout:
 def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) -> None:
     """One micro-batch of lines: rows first, their counts last.
 
-    Counts appear only once the rows they count are all there, and a repeated
-    micro-batch replaces its own partition of every table.
+    Counts appear only once the rows they count are all there. A repeated
+    micro-batch replaces its own partition of every table; if its counts are there,
+    it was done, and writing them again would count its rows twice downstream.
     """
     spark = lines.sparkSession
+    if has_batch(spark, layout.progress, arrival, by="arrival"):
+        return
     names = files.check_files(lines.select("file_name").distinct(), as_of)
     good_lines = files.of_good_files(lines, as_of)
     headers = stage_once(delimited.file_headers(good_lines), "headers")
-    records = delimited.header_records(good_lines, headers)
+    records = delimited.header_records(good_lines, headers, is_staged=True)
     write_batch(checked_records(records, as_of), layout.checked, arrival, by="arrival")
 
-    checked = spark.read.parquet(layout.checked).filter(F.col("arrival") == arrival)
+    checked = read_batch(spark, layout.checked, CHECKED, arrival, by="arrival")
     assembled = checked.filter("reason is null and not is_end")
     rejects = files.failed_files(names).unionByName(delimited.without_id_column(headers))
     write_batch(rejects, layout.file_rejects, arrival, by="arrival")
@@ -78,6 +87,12 @@ def arrivals_query(lines: DataFrame, layout: Layout, as_of=None, **trigger) -> S
     )
 
 
+def read_checked(spark: SparkSession, layout: Layout) -> DataFrame:
+    """All records so far, by arrival."""
+    schema = T.StructType([*CHECKED.fields, T.StructField("arrival", T.LongType())])
+    return spark.read.schema(schema).parquet(layout.checked)
+
+
 def _progress_stream(spark: SparkSession, layout: Layout) -> DataFrame:
     ensure_table(spark, layout.progress, PROGRESS, by="arrival")
     return staged.stream_stage(spark, layout.progress, PROGRESS)
@@ -97,16 +112,13 @@ def release_batch(releases: DataFrame, batch_id: int, layout: Layout) -> None:
     """Write the releases first, so that the stateful step runs once; then their rows."""
     spark = releases.sparkSession
     write_batch(releases, layout.releases, batch_id)
-    written = spark.read.schema(
-        T.StructType([*RELEASE.fields, T.StructField("batch_id", T.LongType())])
-    ).parquet(layout.releases)
-    written = written.filter(F.col("batch_id") == batch_id).drop("batch_id")
+    written = read_batch(spark, layout.releases, RELEASE, batch_id)
     if written.isEmpty():
         return
-    good = rows.good_rows_with_arrival(spark.read.parquet(layout.checked))
-    released = stream_gate.released_rows(written, good)
+    good = rows.good_rows_with_arrival(read_checked(spark, layout))
+    released = stream_gate.released_rows(written, good, is_staged=True)
     write_batch(released, layout.released, batch_id)
-    out = spark.read.parquet(layout.released).filter(F.col("batch_id") == batch_id)
+    out = read_batch(spark, layout.released, RELEASED, batch_id)
     store_items(lists.stored_items(out.select(*PACKET_COLUMNS)), layout.stored, batch_id)
 
 

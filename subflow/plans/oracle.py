@@ -126,16 +126,16 @@ def _failure(alias: str = "") -> str:
     )
 
 
-# Orders of one status, priority and quarter as one written file.
+# Orders of one status, priority and year as one written file.
 _DELIVERIES = """
 files AS (
   SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS prio,
-    (year(o_orderdate) * 4 + quarter(o_orderdate)) % 5 <> 0 AS has_end,
+    year(o_orderdate) % 5 <> 0 AS has_end,
     CASE WHEN o_orderstatus = 'P' AND o_orderpriority LIKE '5%'
-      THEN 'BAD_' || (year(o_orderdate) * 4 + quarter(o_orderdate)) || '.txt'
+      THEN 'BAD_' || year(o_orderdate) || '.txt'
     ELSE 'PR' || o_orderstatus || '_' || lpad(substr(o_orderpriority, 1, 1), 4, '0') || '_'
-      || lpad(CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS VARCHAR), 5, '0') || '_'
-      || strftime(date_trunc('quarter', o_orderdate), '%d%m%Y') || '.csv'
+      || lpad(CAST(year(o_orderdate) AS VARCHAR), 5, '0') || '_0101'
+      || year(o_orderdate) || '.csv'
     END AS file_name
   FROM orders),
 """

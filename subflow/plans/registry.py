@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from subflow.operators import files, gate, lists, rows, status
 from subflow.plans import batch, continuous
-from subflow.schemas import BUCKET_LIST, COLLECTOR_STATUS, PACKET_COLUMNS, PROGRESS, ROW_STATUS
+from subflow.schemas import (
+    BUCKET_LIST,
+    COLLECTOR_STATUS,
+    FILE_FAIL,
+    PACKET_COLUMNS,
+    PROGRESS,
+    ROW_REJECT,
+    ROW_STATUS,
+)
 from subflow.sinks.tables import (
     LONG_TABLE,
     SHORT_TABLE,
+    read_batch,
     read_stored,
     store_items,
     write_batch,
@@ -96,7 +105,7 @@ def files_passed(spark: SparkSession, sf: str) -> DataFrame:
 def file_rejects(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "file-rejects")
     write_batch(files.failed_files(_checked_files(spark, sf)), path, 0)
-    return _out(spark.read.parquet(path).drop("batch_id"))
+    return _out(read_batch(spark, path, FILE_FAIL, 0))
 
 
 def mask_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +127,7 @@ def assemble_rows(spark: SparkSession, sf: str) -> DataFrame:
 def row_rejects(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "row-rejects")
     write_batch(rows.row_rejects(_assembled(spark, sf)), path, 0)
-    return spark.read.parquet(path).drop("batch_id")
+    return read_batch(spark, path, ROW_REJECT, 0)
 
 
 def row_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +282,7 @@ def _stage_rows(spark: SparkSession, sf: str, root: str) -> continuous.Layout:
 
 
 def _stage_progress(spark: SparkSession, layout: continuous.Layout, arrivals: list[int]) -> None:
-    checked = spark.read.parquet(layout.checked)
+    checked = continuous.read_checked(spark, layout)
     for arrival in arrivals:
         here = checked.filter(F.col("arrival") == arrival)
         assembled = here.filter("reason is null and not is_end")
@@ -282,7 +291,7 @@ def _stage_progress(spark: SparkSession, layout: continuous.Layout, arrivals: li
 
 
 def _stage_statuses(spark: SparkSession, layout: continuous.Layout) -> None:
-    checked = spark.read.parquet(layout.checked)
+    checked = continuous.read_checked(spark, layout)
     assembled = checked.filter("reason is null and not is_end")
     counts = status.status_counts(status.tag_rows(assembled))
     statuses = status.reconcile(files.file_success(checked), counts)
@@ -301,7 +310,7 @@ def _released(spark: SparkSession, layout: continuous.Layout) -> DataFrame:
 def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     layout = _stage_rows(spark, sf, new_path(spark, "stream-reconcile"))
     _stage_progress(spark, layout, [0, 1])
-    success = files.file_success(spark.read.parquet(layout.checked))
+    success = files.file_success(continuous.read_checked(spark, layout))
     # The declared counts come in between the two arrivals of rows, by file order.
     write_batch(file_progress(success, 1), f"{layout.root}/declared", 1, by="arrival")
     declared = stream_stage(spark, f"{layout.root}/declared", PROGRESS)

@@ -7,42 +7,66 @@ ID, START, END, DURATION, PRICE = "#", "StartDate", "EndDate", "Duration", "Pric
 COLUMNS = (ID, START, END, DURATION, PRICE)
 END_MARK = "end"
 
-# One line of a file as text cells, after lookup by the file's own header.
-RECORD = T.StructType.fromDDL(
-    "file_name string, headers_ok boolean, id_text string, start_text string, "
-    "end_text string, duration_text string, price_text string"
+_TEXT, _LONG, _DOUBLE, _FLAG, _DATE = (
+    T.StringType(),
+    T.LongType(),
+    T.DoubleType(),
+    T.BooleanType(),
+    T.DateType(),
 )
+_ERRORS = T.ArrayType(T.StringType())
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-SUBSCRIPTION = T.StructType.fromDDL(
-    "id bigint, startDate date, endDate date, duration bigint, price double"
+
+# One line of a file as text cells, after lookup by the file's own header.
+RECORD = _schema(
+    file_name=_TEXT,
+    headers_ok=_FLAG,
+    id_text=_TEXT,
+    start_text=_TEXT,
+    end_text=_TEXT,
+    duration_text=_TEXT,
+    price_text=_TEXT,
 )
+
+SUBSCRIPTION = _schema(id=_LONG, startDate=_DATE, endDate=_DATE, duration=_LONG, price=_DOUBLE)
 # Dates as days since 1970-01-01, as the stored tables hold them.
-STORED_ITEM = T.StructType.fromDDL(
-    "id bigint, startDate bigint, endDate bigint, duration bigint, price double"
-)
+STORED_ITEM = _schema(id=_LONG, startDate=_LONG, endDate=_LONG, duration=_LONG, price=_DOUBLE)
 STORED_ROW = T.StructType(STORED_ITEM.fields[1:])
 
-PACKET = T.StructType([T.StructField("file_name", T.StringType()), *SUBSCRIPTION.fields])
-FILE_SUCCESS = T.StructType.fromDDL("file_name string, countRecord bigint")
-FILE_FAIL = T.StructType.fromDDL("file_name string, errors array<string>")
-ROW_FAIL = T.StructType([*PACKET.fields, T.StructField("errors", T.ArrayType(T.StringType()))])
-ROW_STATUS = T.StructType([*ROW_FAIL.fields, T.StructField("is_valid", T.BooleanType())])
-COLLECTOR_STATUS = T.StructType.fromDDL("file_name string, countGoodRecords bigint")
-BUCKET_LIST = T.StructType(
+PACKET = T.StructType([*_schema(file_name=_TEXT).fields, *SUBSCRIPTION.fields])
+ROW_REJECT = T.StructType(
+    [RECORD["file_name"], *RECORD.fields[2:], *_schema(reason=_TEXT).fields]
+)
+FILE_SUCCESS = _schema(file_name=_TEXT, countRecord=_LONG)
+FILE_FAIL = _schema(file_name=_TEXT, errors=_ERRORS)
+ROW_FAIL = T.StructType([*PACKET.fields, *_schema(errors=_ERRORS).fields])
+ROW_STATUS = T.StructType([*ROW_FAIL.fields, *_schema(is_valid=_FLAG).fields])
+COLLECTOR_STATUS = _schema(file_name=_TEXT, countGoodRecords=_LONG)
+BUCKET_LIST = _schema(isMoreYear=_FLAG, list=T.ArrayType(STORED_ITEM))
+
+# A record with all that is known of it.
+CHECKED = T.StructType(
     [
-        T.StructField("isMoreYear", T.BooleanType()),
-        T.StructField("list", T.ArrayType(STORED_ITEM)),
+        *RECORD.fields,
+        *_schema(is_end=_FLAG).fields,
+        *SUBSCRIPTION.fields,
+        *_schema(reason=_TEXT, errors=_ERRORS).fields,
     ]
 )
 
 # What one arrival (one batch of staged rows) adds to a file.
-PROGRESS = T.StructType.fromDDL(
-    "file_name string, arrival bigint, countRecord bigint, seen bigint, good bigint"
-)
-RELEASE = T.StructType.fromDDL(
-    "file_name string, first_arrival bigint, last_arrival bigint, held bigint, is_complete boolean"
+PROGRESS = _schema(file_name=_TEXT, arrival=_LONG, countRecord=_LONG, seen=_LONG, good=_LONG)
+RELEASE = _schema(
+    file_name=_TEXT, first_arrival=_LONG, last_arrival=_LONG, held=_LONG, is_complete=_FLAG
 )
 
+# Released rows: complete file, or let go by the timer.
+RELEASED = T.StructType([*PACKET.fields, *_schema(is_complete=_FLAG).fields])
+
 PACKET_COLUMNS = PACKET.fieldNames()
 ITEM_COLUMNS = STORED_ITEM.fieldNames()
 STORED_COLUMNS = STORED_ROW.fieldNames()

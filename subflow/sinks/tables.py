@@ -1,5 +1,6 @@
 """Tables in a folder, written per batch so that a repeated batch replaces itself."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +14,24 @@ LONG_TABLE = "longSubscription"
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, by: str = "batch_id") -> None:
-    """Write ``df`` as the partition ``batch_id`` of a table, in place of any earlier try."""
-    (
-        df.withColumn(by, F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(by)
-        .parquet(path)
-    )
+    """Write ``df`` as one partition of a table, in place of any earlier try."""
+    df.write.mode("overwrite").parquet(f"{path}/{by}={batch_id}")
+
+
+def read_batch(
+    spark: SparkSession, path: str, schema: T.StructType, batch_id: int, by: str = "batch_id"
+) -> DataFrame:
+    """One partition of a table, without a listing of the others."""
+    return spark.read.schema(schema).parquet(f"{path}/{by}={batch_id}")
+
+
+def has_batch(spark: SparkSession, path: str, batch_id: int, by: str = "batch_id") -> bool:
+    """Whether that partition has been written to its end."""
+    try:
+        spark.read.format("binaryFile").load(f"{path}/{by}={batch_id}/_SUCCESS")
+    except AnalysisException:
+        return False
+    return True
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, by: str) -> None:

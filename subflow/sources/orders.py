@@ -1,7 +1,7 @@
 """Order tables as deliveries: the given tables read as if they had come as files.
 
 In :func:`records` one order is one file and its line items are the rows. In
-:func:`write_deliveries` the orders of a status, priority and quarter make one
+:func:`write_deliveries` the orders of a status, priority and year make one
 file, written out as text. Some rows and names are made faulty by rules on the
 keys, so that every check has something to find.
 """
@@ -106,10 +106,10 @@ _LAYOUTS = {
 
 
 def _delivery_name(prio: Column) -> Column:
-    quarter = F.year("o_orderdate") * 4 + F.quarter("o_orderdate")
+    year = F.year("o_orderdate")
     return F.when(
         (F.col("o_orderstatus") == "P") & (prio == "5"),
-        F.concat(F.lit("BAD_"), quarter, F.lit(".txt")),
+        F.concat(F.lit("BAD_"), year, F.lit(".txt")),
     ).otherwise(
         F.concat(
             F.lit("PR"),
@@ -117,9 +117,9 @@ def _delivery_name(prio: Column) -> Column:
             F.lit("_"),
             F.lpad(prio, 4, "0"),
             F.lit("_"),
-            _digits(quarter, 5),
+            _digits(year, 5),
             F.lit("_"),
-            F.date_format(F.date_trunc("quarter", "o_orderdate"), "ddMMyyyy"),
+            F.concat(F.lit("0101"), year),
             F.lit(".csv"),
         )
     )
@@ -128,14 +128,14 @@ def _delivery_name(prio: Column) -> Column:
 def write_deliveries(spark: SparkSession, sf_dir: str, path: str, parts: int = 1) -> None:
     """Write the delivery files; ``parts`` part files for each, so none is one task's work.
 
-    Files of every fifth quarter get no end marker.
+    Files of every fifth year get no end marker.
     """
     prio = F.substring("o_orderpriority", 1, 1)
     orders = _orders(spark, sf_dir).select(
         "o_orderkey",
         prio.alias("prio"),
         _delivery_name(prio).alias("file_name"),
-        ((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")) % 5 != 0).alias("end"),
+        (F.year("o_orderdate") % 5 != 0).alias("end"),
     )
     cells = {name.removesuffix("_text"): c for name, c in _row_cells().items()}
     missing = cells["price"].isNull()

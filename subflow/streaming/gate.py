@@ -1,7 +1,9 @@
 """The gate on a stream: a file's rows leave when complete, or when it goes idle."""
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -10,6 +12,9 @@ from subflow.operators.spread import attach_per_key
 from subflow.schemas import PACKET_COLUMNS, RELEASE
 from subflow.streaming.session import with_state_store
 
+# Workers get the processor with the query and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 IDLE_MS = 10_000
 
 

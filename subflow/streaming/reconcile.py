@@ -1,13 +1,18 @@
 """Reconciliation on a stream: declared rows against row statuses, per file."""
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from subflow.schemas import COLLECTOR_STATUS
 from subflow.streaming.session import with_state_store
 
+# Workers get the processor with the query and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class ReconcileFile(StatefulProcessor):
     """Adds up a file's counts until they meet; then says how many rows were good."""
