@@ -9,8 +9,11 @@ from subflow.schemas import COLUMNS, ID
 # everything up to the next comma.
 _CELL = r'(?s),("[^"\\]*+(?:(?:""|\\.)[^"\\]*+)*+"(?=,|$)|[^,]*+)'
 
-# The only spellings of non-finite numbers that count as numbers.
-_NON_FINITE = r"^[+-]?(NaN|Infinity)$"
+# Four digits for the year, or a sign and as many as it takes.
+_ISO_DATE = r"^(\d{4}|\+\d{5,6}|-\d{4,6})-\d{2}-\d{2}$"
+
+# A word where a number should be, unless it is NaN or Infinity in that spelling.
+_WRONG_WORD = r"^\s*[+-]?(?!(NaN|Infinity)\s*$)[A-Za-z]"
 
 
 def _unquote(cell: Column) -> Column:
@@ -81,7 +84,7 @@ def cells_by_header(cells: Column, header_size: Column, at: Column, id_at: Colum
 
 def iso_date(text: Column) -> Column:
     """yyyy-MM-dd and nothing shorter or longer; null for a day that does not exist."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    return F.when(text.rlike(_ISO_DATE), text.try_cast("date"))
 
 
 def whole_number(text: Column) -> Column:
@@ -91,10 +94,17 @@ def whole_number(text: Column) -> Column:
 
 def decimal_number(text: Column) -> Column:
     """A double; NaN and Infinity only in that spelling."""
-    value = text.try_cast("double")
-    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    overflow = F.trim(text).rlike(r"\d")
-    return F.when(finite | overflow | F.trim(text).rlike(_NON_FINITE), value)
+    return F.when(~text.rlike(_WRONG_WORD), text.try_cast("double"))
+
+
+def once(**columns: Column) -> Column:
+    """Columns that are computed once per row, however often later steps use them.
+
+    Catalyst copies a projected expression into every filter that names it, and the
+    rules name a parsed date several times; it does not copy out of a generator. For
+    use in ``select``.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def epoch_day(date: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 # Fixed values. The dot before "csv" stands for any character.
 NAME_PATTERN = r"^\w{3}_\d{4}_\d{5}_\d{8}.csv$"
 DATE_PATTERN = r"(\d{8})"
+DATE_PLACE = (16, 8)  # in a valid name
 BAD_NAME = "filename doesn't correct"
 BAD_DATE = "date later than now"
 
@@ -25,17 +26,29 @@ def has_valid_name(name: Column) -> Column:
     return name.rlike(NAME_PATTERN)
 
 
+def _date_of(digits: Column) -> Column:
+    """ddMMyyyy; days 29 to 31 beyond the end of a month mean its last day."""
+    first = F.try_to_date(F.concat(F.lit("01"), F.substring(digits, 3, 6)), "ddMMyyyy")
+    day = F.substring(digits, 1, 2).try_cast("int")
+    clamped = F.when(
+        day.between(29, 31), F.date_add(first, F.least(day, F.dayofmonth(F.last_day(first))) - 1)
+    )
+    # Nearly all dates exist as they stand, so the clamped form is rarely computed.
+    date = F.coalesce(F.try_to_date(digits, "ddMMyyyy"), clamped)
+    return F.when(~digits.endswith("0000"), date)
+
+
 def mask_date(name: Column) -> Column:
-    """The first eight digits of the name as ddMMyyyy.
+    """The first eight digits of any name as a date.
 
-    Days 29 to 31 beyond the end of a month mean its last day, so 31022021 is
-    2021-02-28. Month 13, day 0 or 32 and year 0 give null.
+    31022021 is 2021-02-28; month 13, day 0 or 32 and year 0 give null.
     """
-    digits = F.regexp_extract(name, DATE_PATTERN, 1)
-    day = F.substring(digits, 1, 2).try_cast("int")
-    first = F.try_to_date(F.concat(F.lit("01"), F.substring(digits, 3, 6)), "ddMMyyyy")
-    clamped = F.date_add(first, F.least(day, F.dayofmonth(F.last_day(first))) - 1)
-    return F.when(day.between(1, 31) & (F.year(first) >= 1), clamped)
+    return _date_of(F.regexp_extract(name, DATE_PATTERN, 1))
+
+
+def file_date(name: Column) -> Column:
+    """The same for a name known to be valid, where the digits have their place."""
+    return _date_of(F.substring(name, *DATE_PLACE))
 
 
 def has_valid_date(name: Column, as_of=None) -> Column:
@@ -43,17 +56,23 @@ def has_valid_date(name: Column, as_of=None) -> Column:
     return mask_date(name) <= as_date(as_of)
 
 
+def is_good_name(name: Column, as_of=None) -> Column:
+    """Valid name and a date not after ``as_of``; never null."""
+    date_ok = F.coalesce(file_date(name) <= as_date(as_of), F.lit(False))
+    return has_valid_name(name) & date_ok
+
+
 def _error(name: Column, text: str) -> Column:
     return F.array(F.concat(F.lit("File "), name, F.lit(f" is not valid: {text}")))
 
 
 def name_errors(name: Column, as_of=None) -> Column:
     """Null for a good file; else an array with the one text for its first fault."""
-    date_ok = has_valid_date(name, as_of)
     return (
-        F.when(~has_valid_name(name), _error(name, BAD_NAME))
-        .when(date_ok.isNull(), _error(name, UNREADABLE_DATE))
-        .when(~date_ok, _error(name, BAD_DATE))
+        F.when(is_good_name(name, as_of), None)
+        .when(~has_valid_name(name), _error(name, BAD_NAME))
+        .when(file_date(name).isNull(), _error(name, UNREADABLE_DATE))
+        .otherwise(_error(name, BAD_DATE))
     )
 
 
@@ -70,5 +89,5 @@ def mask_fields(name: Column) -> list[Column]:
         part(1).alias("product"),
         part(2).alias("client"),
         part(3).alias("user"),
-        F.when(has_valid_name(name), mask_date(name)).alias("file_date"),
+        F.when(has_valid_name(name), file_date(name)).alias("file_date"),
     ]

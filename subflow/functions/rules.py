@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from subflow.functions.names import as_date, mask_date
+from subflow.functions.names import as_date, file_date
 
 # Fixed values.
 LONG_DURATION_DAYS = 365
@@ -26,8 +26,8 @@ def is_good_row(as_of=None, start_by_file_date: bool = False) -> Column:
         & (price >= 0)
     )
     if start_by_file_date:
-        good = good & F.coalesce(start <= mask_date(F.col("file_name")), F.lit(False))
-    return good
+        good = good & (start <= file_date(F.col("file_name")))
+    return F.coalesce(good, F.lit(False))
 
 
 def row_error() -> Column:

@@ -22,7 +22,7 @@ def failed_files(checked: DataFrame) -> DataFrame:
 
 def of_good_files(rows: DataFrame, as_of=None) -> DataFrame:
     """The rows whose file name passes; a filter on the name alone, no join."""
-    return rows.filter(names.name_errors(F.col("file_name"), as_of).isNull())
+    return rows.filter(names.is_good_name(F.col("file_name"), as_of))
 
 
 def mask_fields(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subflow.functions import rules
-from subflow.functions.cells import decimal_number, iso_date, whole_number
+from subflow.functions.cells import decimal_number, iso_date, once, whole_number
 from subflow.operators.files import is_end_row
 from subflow.schemas import DURATION, END, ID, PACKET_COLUMNS, PRICE, START
 
@@ -20,12 +20,14 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     typed = records.select(
         "*",
-        is_end_row().alias("is_end"),
-        whole_number(F.col("id_text")).alias("id"),
-        iso_date(F.col("start_text")).alias("startDate"),
-        iso_date(F.col("end_text")).alias("endDate"),
-        whole_number(F.col("duration_text")).alias("duration"),
-        decimal_number(F.col("price_text")).alias("price"),
+        once(
+            is_end=is_end_row(),
+            id=whole_number(F.col("id_text")),
+            startDate=iso_date(F.col("start_text")),
+            endDate=iso_date(F.col("end_text")),
+            duration=whole_number(F.col("duration_text")),
+            price=decimal_number(F.col("price_text")),
+        ),
     )
     reason = (
         F.when(F.col("is_end"), None)
@@ -52,20 +54,23 @@ def row_rejects(assembled: DataFrame) -> DataFrame:
 
 
 def check_rows(rows: DataFrame, as_of=None, start_by_file_date: bool = False) -> DataFrame:
-    """Add ``errors``: null for a good row, else one text for any broken rule."""
-    good = rules.is_good_row(as_of, start_by_file_date)
-    return rows.withColumn("errors", F.when(~good, F.array(rules.row_error())))
+    """Add ``is_valid``, and ``errors``: one text for any broken rule, null for a good row.
+
+    Filters go by the flag, so that a text is built only where someone reads it.
+    """
+    return rows.withColumn("is_valid", rules.is_good_row(as_of, start_by_file_date)).withColumn(
+        "errors", F.when(~F.col("is_valid"), F.array(rules.row_error()))
+    )
 
 
 def good_rows(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.col("errors").isNull()).select(*PACKET_COLUMNS)
+    return checked.filter("is_valid").select(*PACKET_COLUMNS)
 
 
 def failed_rows(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.col("errors").isNotNull()).select(*PACKET_COLUMNS, "errors")
+    return checked.filter(~F.col("is_valid")).select(*PACKET_COLUMNS, "errors")
 
 
 def good_rows_with_arrival(checked: DataFrame) -> DataFrame:
     """Good rows of a staged table of checked records, with the arrival they came in."""
-    good = F.col("reason").isNull() & ~F.col("is_end") & F.col("errors").isNull()
-    return checked.filter(good).select(*PACKET_COLUMNS, "arrival")
+    return checked.filter("is_valid").select(*PACKET_COLUMNS, "arrival")

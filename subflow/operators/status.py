@@ -15,13 +15,12 @@ def success_status(rows: DataFrame) -> DataFrame:
 
 
 def union_statuses(fails: DataFrame, successes: DataFrame) -> DataFrame:
-    """Failed and good row statuses as one table; ``is_valid`` tells them apart."""
-    return fails.withColumn("is_valid", F.lit(False)).unionByName(successes)
-
+    """Failed and good row statuses as one table; ``is_valid`` tells them apart.
 
-def tag_rows(checked: DataFrame) -> DataFrame:
-    """The same table straight from checked rows: one scan where the union takes two."""
-    return checked.withColumn("is_valid", F.col("errors").isNull())
+    The output of :func:`subflow.operators.rows.check_rows` is the same table already
+    and takes one scan where the union of its two sides takes two.
+    """
+    return fails.withColumn("is_valid", F.lit(False)).unionByName(successes)
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ def checked_records(
 
     One table from which each result is a filter or a count.
     """
-    checked = rows.check_rows(rows.assemble(records), as_of, start_by_file_date)
+    judged = rows.check_rows(rows.assemble(records), as_of, start_by_file_date)
     is_row = F.col("reason").isNull() & ~F.col("is_end")
-    return checked.withColumn("errors", F.when(is_row, F.col("errors"))).to(CHECKED)
+    flags = {name: F.when(is_row, F.col(name)) for name in ("is_valid", "errors")}
+    return judged.withColumns(flags).to(CHECKED)
 
 
 @dataclass
@@ -53,7 +54,7 @@ class Outcome:
 
     @property
     def statuses(self) -> DataFrame:
-        counts = status.status_counts(status.tag_rows(self.assembled))
+        counts = status.status_counts(self.assembled)
         return status.reconcile(self.file_success, counts)
 
     @property

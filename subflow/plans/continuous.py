@@ -69,7 +69,7 @@ def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) ->
     write_batch(rows.row_rejects(checked), layout.row_rejects, arrival, by="arrival")
     write_batch(rows.failed_rows(assembled), layout.row_failures, arrival, by="arrival")
 
-    counts = status.status_counts(status.tag_rows(assembled))
+    counts = status.status_counts(assembled)
     progress = file_progress(files.file_success(checked), arrival).unionByName(
         row_progress(counts, arrival)
     )

@@ -71,7 +71,7 @@ def _good(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return status.status_counts(status.tag_rows(_checked(spark, sf)))
+    return status.status_counts(_checked(spark, sf))
 
 
 def _file_success(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,11 +131,11 @@ def row_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def row_check(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(status.tag_rows(_checked(spark, sf)).drop("errors"))
+    return _out(_checked(spark, sf).drop("errors"))
 
 
 def row_check_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(status.tag_rows(_checked(spark, sf, strict=True)).drop("errors"))
+    return _out(_checked(spark, sf, strict=True).drop("errors"))
 
 
 def good_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +158,7 @@ def status_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def stage_table(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "row-status")
-    write_stage(status.tag_rows(_checked(spark, sf)), path)
+    write_stage(_checked(spark, sf), path)
     return _out(read_stage(spark, path, ROW_STATUS))
 
 
@@ -221,7 +221,7 @@ def _deliveries(spark: SparkSession, sf: str, parts: int = 2) -> str:
 def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
     records = delimited.read_records(spark, _deliveries(spark, sf), AS_OF, nested=True)
     checked = rows.check_rows(rows.packets(rows.assemble(records)), AS_OF)
-    return _out(status.tag_rows(checked).drop("errors"))
+    return _out(checked.drop("errors"))
 
 
 def csv_row_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,14 +286,14 @@ def _stage_progress(spark: SparkSession, layout: continuous.Layout, arrivals: li
     for arrival in arrivals:
         here = checked.filter(F.col("arrival") == arrival)
         assembled = here.filter("reason is null and not is_end")
-        counts = status.status_counts(status.tag_rows(assembled))
+        counts = status.status_counts(assembled)
         write_batch(row_progress(counts, arrival), layout.progress, arrival, by="arrival")
 
 
 def _stage_statuses(spark: SparkSession, layout: continuous.Layout) -> None:
     checked = continuous.read_checked(spark, layout)
     assembled = checked.filter("reason is null and not is_end")
-    counts = status.status_counts(status.tag_rows(assembled))
+    counts = status.status_counts(assembled)
     statuses = status.reconcile(files.file_success(checked), counts)
     write_stage(statuses, layout.statuses)
 

@@ -44,7 +44,7 @@ ROW_REJECT = T.StructType(
 FILE_SUCCESS = _schema(file_name=_TEXT, countRecord=_LONG)
 FILE_FAIL = _schema(file_name=_TEXT, errors=_ERRORS)
 ROW_FAIL = T.StructType([*PACKET.fields, *_schema(errors=_ERRORS).fields])
-ROW_STATUS = T.StructType([*ROW_FAIL.fields, *_schema(is_valid=_FLAG).fields])
+ROW_STATUS = T.StructType([*PACKET.fields, *_schema(is_valid=_FLAG, errors=_ERRORS).fields])
 COLLECTOR_STATUS = _schema(file_name=_TEXT, countGoodRecords=_LONG)
 BUCKET_LIST = _schema(isMoreYear=_FLAG, list=T.ArrayType(STORED_ITEM))
 
@@ -54,7 +54,7 @@ CHECKED = T.StructType(
         *RECORD.fields,
         *_schema(is_end=_FLAG).fields,
         *SUBSCRIPTION.fields,
-        *_schema(reason=_TEXT, errors=_ERRORS).fields,
+        *_schema(reason=_TEXT, is_valid=_FLAG, errors=_ERRORS).fields,
     ]
 )
 

@@ -9,7 +9,7 @@ is found in one pass and attached to the others.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subflow.functions.cells import cells_by_header, id_positions, layouts, split_cells
+from subflow.functions.cells import cells_by_header, id_positions, layouts, once, split_cells
 from subflow.functions.names import no_id_column_error
 from subflow.operators.files import of_good_files
 from subflow.operators.spread import attach_per_key
@@ -108,7 +108,9 @@ def header_records(lines: DataFrame, headers: DataFrame, **spread) -> DataFrame:
         weight="lines",
         **spread,
     ).filter(F.col("value") != F.col("header_line"))
-    cells = keyed.withColumn("cells", split_cells(F.col("value")))
+    cells = keyed.select(
+        "file_name", "header_size", "at", "id_at", once(cells=split_cells(F.col("value")))
+    )
     return cells.select(
         "file_name",
         *cells_by_header(F.col("cells"), F.col("header_size"), F.col("at"), F.col("id_at")),
