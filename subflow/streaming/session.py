@@ -38,5 +38,10 @@ def run_until_idle(query: StreamingQuery, seconds: float) -> None:
             if time.monotonic() > deadline:
                 raise TimeoutError(f"not idle: {query.lastProgress}")
             time.sleep(0.2)
+        # Stop between two batches where possible, not in the middle of one.
+        for _ in range(100):
+            if not query.status["isTriggerActive"]:
+                break
+            time.sleep(0.02)
     finally:
         query.stop()
