@@ -70,6 +70,12 @@ def _good(spark: SparkSession, sf: str) -> DataFrame:
     return rows.good_rows(_checked(spark, sf))
 
 
+def _run(spark: SparkSession, sf: str) -> batch.Outcome:
+    """All results of one parse: what needs the rows more than once reads the staged table."""
+    checked = staged(batch.checked_records(_records(spark, sf), AS_OF), "checked")
+    return batch.Outcome(checked, files.failed_files(_checked_files(spark, sf)))
+
+
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return status.status_counts(_checked(spark, sf))
 
@@ -78,10 +84,6 @@ def _file_success(spark: SparkSession, sf: str) -> DataFrame:
     return files.file_success(_assembled(spark, sf))
 
 
-def _statuses(spark: SparkSession, sf: str) -> DataFrame:
-    return status.reconcile(_file_success(spark, sf), _counts(spark, sf))
-
-
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return lists.stored_items(_good(spark, sf))
 
@@ -167,7 +169,7 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    return _statuses(spark, sf)
+    return _run(spark, sf).statuses
 
 
 def held_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,14 +177,14 @@ def held_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(gate.gate(_good(spark, sf), _statuses(spark, sf)))
+    return _out(_run(spark, sf).released)
 
 
 def bucket_lists(spark: SparkSession, sf: str) -> DataFrame:
     item = lambda i: F.concat_ws(
         ":", i.id, i.startDate, i.endDate, i.duration, F.format_string("%.2f", i.price)
     )
-    built = lists.bucket_lists(_good(spark, sf))
+    built = lists.bucket_lists(staged(_good(spark, sf), "good"))
     return built.select(
         "file_name",
         "isMoreYear",
@@ -192,7 +194,7 @@ def bucket_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return lists.explode_lists(lists.bucket_lists(_good(spark, sf)))
+    return lists.explode_lists(lists.bucket_lists(staged(_good(spark, sf), "good")))
 
 
 def _stored(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -357,7 +359,7 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_store(spark: SparkSession, sf: str) -> DataFrame:
     root = new_path(spark, "stream-store")
-    write_stage(lists.bucket_lists(_good(spark, sf)).select(*BUCKET_LIST.fieldNames()), f"{root}/lists")
+    write_stage(lists.bucket_lists(staged(_good(spark, sf), "good")).select(*BUCKET_LIST.fieldNames()), f"{root}/lists")
     stream = stream_stage(spark, f"{root}/lists", BUCKET_LIST)
     store_stream(stream, f"{root}/stored", f"{root}/checkpoint").awaitTermination()
     short, long = (

@@ -70,20 +70,25 @@ def _row_cells() -> dict[str, Column]:
     }
 
 
+def _rows_of(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Line items with their order. Both grow together, so neither is ever broadcast."""
+    items = _lineitem(spark, sf_dir)
+    return items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items and end markers as records; a cell that is missing is null."""
     orders = _orders(spark, sf_dir).select(
         "o_orderkey", (F.col("o_orderkey") % 31 != 0).alias("end"), once(file_name=_file_name())
     )
     cells = _row_cells()
-    items = _lineitem(spark, sf_dir).select(
-        "l_orderkey", *[c.alias(name) for name, c in cells.items()]
-    )
     complete = F.lit(True)
     for name in cells:
         complete = complete & F.col(name).isNotNull()
-    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "file_name", complete.alias("headers_ok"), *cells
+    rows = (
+        _rows_of(spark, sf_dir, orders)
+        .select("file_name", *[c.alias(name) for name, c in cells.items()])
+        .select("file_name", complete.alias("headers_ok"), *cells)
     )
     ends = orders.filter("end").select(
         "file_name",
@@ -156,10 +161,8 @@ def write_deliveries(spark: SparkSession, sf_dir: str, path: str, parts: int = 1
         line = F.when(is_digit, text) if line is None else line.when(is_digit, text)
 
     part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts)).cast("int")
-    rows = (
-        _lineitem(spark, sf_dir)
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select("file_name", part.alias("part"), F.lit(1).alias("seq"), line.alias("value"))
+    rows = _rows_of(spark, sf_dir, orders).select(
+        "file_name", part.alias("part"), F.lit(1).alias("seq"), line.alias("value")
     )
     file_lines = orders.select("file_name", "prio", "end").distinct()
     headers = file_lines.select(

@@ -36,9 +36,10 @@ class HoldFile(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.file.exists()
-        expected, held, first, last, active = self.file.get() if known else (None, 0, None, None, 0)
-        if known:
+        # Each call on the state is a round trip, so none is made without need.
+        before = self.file.get()
+        expected, held, first, last, active = before or (None, 0, None, None, 0)
+        if before:
             self.handle.deleteTimer(active + self.idle_ms)
         # A status first: then a release is at the very arrival that makes it complete.
         for row in sorted(rows, key=lambda r: (r.expected is None, r.arrival or 0)):
@@ -53,16 +54,18 @@ class HoldFile(StatefulProcessor):
                     yield self._release(key, first, last, held, True)
                 expected, held, first, last = None, 0, None, None
         if expected is None and held == 0:
-            self.file.clear()
+            if before:
+                self.file.clear()
             return
         now = timerValues.getCurrentProcessingTimeInMs()
         self.file.update((expected, held, first, last, now))
         self.handle.registerTimer(now + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.file.exists():
+        before = self.file.get()
+        if not before:
             return
-        _, held, first, last, active = self.file.get()
+        _, held, first, last, active = before
         idle_at = active + self.idle_ms
         if timerValues.getCurrentProcessingTimeInMs() < idle_at:
             self.handle.registerTimer(idle_at)

@@ -21,7 +21,9 @@ class ReconcileFile(StatefulProcessor):
         self.counts = handle.getValueState("counts", "declared bigint, seen bigint, good bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        declared, seen, good = self.counts.get() if self.counts.exists() else (None, 0, 0)
+        # Each call on the state is a round trip, so none is made without need.
+        before = self.counts.get()
+        declared, seen, good = before or (None, 0, 0)
         for row in sorted(rows, key=lambda r: r.arrival):
             if row.countRecord is not None:
                 declared = row.countRecord
@@ -30,10 +32,10 @@ class ReconcileFile(StatefulProcessor):
             if declared is not None and declared == seen:
                 yield Row(file_name=key[0], countGoodRecords=good)
                 declared, seen, good = None, 0, 0
-        if declared is None and seen == 0:
-            self.counts.clear()
-        else:
+        if declared is not None or seen:
             self.counts.update((declared, seen, good))
+        elif before:
+            self.counts.clear()
 
     def close(self) -> None:
         pass
