@@ -25,6 +25,11 @@ def of_good_files(rows: DataFrame, as_of=None) -> DataFrame:
     return rows.filter(names.is_good_name(F.col("file_name"), as_of))
 
 
+def of_bad_files(rows: DataFrame, as_of=None) -> DataFrame:
+    """The other rows; on a file source this opens only the files that fail."""
+    return rows.filter(~names.is_good_name(F.col("file_name"), as_of))
+
+
 def mask_fields(files: DataFrame) -> DataFrame:
     """Add what the name says: product, client, user, date."""
     return files.select("*", *names.mask_fields(F.col("file_name")))

@@ -56,7 +56,7 @@ def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) ->
     spark = lines.sparkSession
     if has_batch(spark, layout.progress, arrival, by="arrival"):
         return
-    names = files.check_files(lines.select("file_name").distinct(), as_of)
+    bad_names = files.of_bad_files(lines, as_of).select("file_name").distinct()
     good_lines = files.of_good_files(lines, as_of)
     headers = stage_once(delimited.file_headers(good_lines), "headers")
     records = delimited.header_records(good_lines, headers, is_staged=True)
@@ -64,7 +64,7 @@ def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) ->
 
     checked = read_batch(spark, layout.checked, CHECKED, arrival, by="arrival")
     assembled = checked.filter("reason is null and not is_end")
-    rejects = files.failed_files(names).unionByName(delimited.without_id_column(headers))
+    rejects = files.failed_files(files.check_files(bad_names, as_of)).unionByName(delimited.without_id_column(headers))
     write_batch(rejects, layout.file_rejects, arrival, by="arrival")
     write_batch(rows.row_rejects(checked), layout.row_rejects, arrival, by="arrival")
     write_batch(rows.failed_rows(assembled), layout.row_failures, arrival, by="arrival")
