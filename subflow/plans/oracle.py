@@ -117,7 +117,7 @@ items AS (
 _STORED = '"startDate", "endDate", duration, price'
 
 
-def _failure(alias: str = "") -> str:
+def _failure() -> str:
     price = "CASE WHEN isnan(price) THEN '\"NaN\"' ELSE CAST(price AS VARCHAR) END"
     return (
         "'Expected valid SubscriptionData but got: {\"id\":' || id || ',\"startDate\":\"' "
