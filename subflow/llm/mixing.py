@@ -78,27 +78,22 @@ def _code_points(value) -> bytes | None:
 def capped_shares(scratch: Scratch, sources: DataFrame, total: int) -> DataFrame:
     """``target`` per source: shares of ``total`` by ``weight``, none above its ``most``.
 
-    What a source can't take is shared again by weight among those below their most.
-    Each pass needs two sums of the table of sources.
+    What a source can't take is shared again by weight among those below their most. The
+    words per unit of weight only rise, so a source once at its most stays there. Each
+    pass needs two sums of the table of sources.
     """
-    left, weight = float(total), None
-    fixed = F.lit(False)
-    rate = 0.0
-    while True:
-        free = sources.filter(~fixed)
+    rate, before = 0.0, -1.0
+    while rate > before:
+        before = rate
+        full = F.col("weight") * F.lit(rate) > F.col("most")
         sums = sources.agg(
-            F.sum(F.when(fixed, F.col("most")).otherwise(0)).alias("taken"),
-            F.sum(F.when(~fixed, F.col("weight")).otherwise(0)).alias("weight"),
+            F.sum(F.when(full, F.col("most")).otherwise(0)).alias("taken"),
+            F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("weight"),
         ).first()
-        left, weight = total - float(sums["taken"] or 0), float(sums["weight"] or 0)
-        if weight <= 0:
-            break
-        rate = left / weight
-        full = F.col("weight") * F.lit(rate) > F.col("most")
-        if not free.filter(full).limit(1).count():
+        if not sums["weight"]:
             break
-        fixed = fixed | full
-    target = F.when(fixed, F.col("most").cast("double")).otherwise(F.col("weight") * F.lit(rate))
+        rate = max(rate, (total - float(sums["taken"])) / float(sums["weight"]))
+    target = F.least(F.col("weight") * F.lit(rate), F.col("most").cast("double"))
     return scratch.stage(sources.withColumn("target", target), "targets")
 
 
@@ -124,18 +119,17 @@ def entropy_balance(
             step = F.when(F.col("size") > 0, (F.col("target") - F.col("taken")) / floor).otherwise(0.0)
             step = F.greatest(F.least(step, F.lit(MAX_STEP)), F.lit(-MAX_STEP))
             gap = F.abs(F.col("target") - F.col("taken")) / F.greatest("size", F.lit(1))
-            steps = scratch.stage(both.select(column, step.alias("step"), gap.alias("gap")), "steps")
-            worst = max(worst, steps.agg(F.max("gap")).first()[0] or 0.0)
-            moves = steps.select(F.col(column).alias("_value"), "step")
-            moved = now.join(moves, now[column].eqNullSafe(F.col("_value")))
-            moved = moved.withColumn("log_rate", F.col("log_rate") + F.col("step")).drop("_value", "step")
+            moves = both.select(F.col(column).alias("_value"), step.alias("_step"), gap.alias("gap"))
+            moved = now.drop("gap").join(moves, now[column].eqNullSafe(F.col("_value")))
+            moved = moved.withColumn("log_rate", F.col("log_rate") + F.col("_step")).drop("_value", "_step")
             moved = scratch.stage(moved, "rates")
-            scratch.drop(now, steps)
+            scratch.drop(now)
             now = moved
+            worst = max(worst, now.agg(F.max("gap")).first()[0] or 0.0)
         if worst < TOLERANCE:
             break
     rate = F.least(F.exp("log_rate"), F.lit(float(most)))
-    return now.withColumn("rate", rate).drop("log_rate")
+    return now.withColumn("rate", rate).drop("log_rate", "gap")
 
 
 def copies(sizes: np.ndarray, rate: float) -> np.ndarray:
@@ -173,10 +167,9 @@ def plan_mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies, taken`` of every document."""
+    """``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken`` of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "mix")
-    read = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = scratch.stage(read, "sizes")
+    sized = scratch.stage(docs.select("doc_id", "source", *_measured()), "sizes")
     per_source = scratch.stage(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sources")
     total = per_source.agg(F.sum("size")).first()[0] or 0
     weight = F.get(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int"))
@@ -204,6 +197,11 @@ def plan_mix(
     return dealt.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "n")
 
 
+def _measured() -> list[Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [word_count(text).alias("size"), F.xxhash64(text).alias("hash")]
+
+
 def _key(column: str) -> Column:
     return F.to_json(F.struct(F.col(column).alias("v")))
 
@@ -211,24 +209,20 @@ def _key(column: str) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The documents as the mix takes them, each as often as it has copies.
 
-    Documents without words take no part in the targets and stay once. Rows that repeat
-    an id are told apart by size; those equal in both get the copies of one of them each.
+    Documents without words take no part in the targets and stay once. A row is known by
+    its id, source and text; rows equal in these give as many rows as they have copies
+    together.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     plan = plan_mix(docs, scratch, weights, max_repeats)
+    row = ["doc_id", "source", "size", "hash"]
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    # Equal rows are summed and dealt out again, so that none multiplies the other.
-    decided = plan.groupBy("doc_id", "source", "size").agg(F.sum(times).alias("times"), F.count("*").alias("rows"))
-    decided = scratch.stage(decided, "copies")
-    mine = docs.select("*", word_count(F.col("text")).alias("_size"))
-    to = decided.toDF("_id", "_src", "_n", "_times", "_rows")
-    same = (
-        mine["doc_id"].eqNullSafe(to["_id"]) & mine["source"].eqNullSafe(to["_src"]) & (mine["_size"] == to["_n"])
-    )
-    joined = mine.join(to, same)
-    even = F.floor(F.col("_times") / F.col("_rows")).cast("int")
-    return (
-        joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), even)))
-        .filter(F.col("_copy") < even)
-        .select(*docs.columns)
-    )
+    decided = plan.groupBy(*row).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows"))
+    decided = scratch.stage(decided.filter("_times > 0"), "copies").withColumnsRenamed({c: f"_{c}" for c in row})
+    mine = docs.select("*", *[c.alias(f"_my_{name}") for c, name in zip(_measured(), row[2:], strict=True)])
+    same = mine["doc_id"].eqNullSafe(F.col("_doc_id")) & mine["source"].eqNullSafe(F.col("_source"))
+    same &= (F.col("_my_size") == F.col("_size")) & (F.col("_my_hash") == F.col("_hash"))
+    once = mine.join(decided.filter("_rows = 1"), same)
+    again = mine.join(decided.filter("_rows > 1"), same).dropDuplicates([f"_{c}" for c in row])
+    copies_of = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
+    return once.unionByName(again).withColumn("_copy", copies_of).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import minhash, quality
+from subflow.llm import minhash, mixing, quality
 from subflow.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings)
 
 
+def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -23,5 +28,6 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op5_entropy_mix": op5_entropy_mix,
     "op7_quality_outliers": op7_quality_outliers,
 }
