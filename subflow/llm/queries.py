@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import minhash, mixing, quality
+from subflow.llm import minhash, mixing, packing, quality
 from subflow.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
+
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash.Settings(words=3, percent=85)
@@ -20,6 +24,11 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path(TOKENIZER)
+    return packing.token_files(table(spark, sf_dir, "documents"), tokenizer, END_ID)
+
+
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -29,5 +38,6 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op5_entropy_mix": op5_entropy_mix,
+    "op6_packed_tokens": op6_packed_tokens,
     "op7_quality_outliers": op7_quality_outliers,
 }
