@@ -155,7 +155,7 @@ class Writer:
         self.docs = _Documents([], [], [])
         self.fs.create_dir(self.folder, recursive=True)
         self.made = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.made)
+        self.out = self.fs.open_output_stream(self.made, compression=None)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.ids.append(0 if doc_id is None else doc_id)
