@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import minhash, mixing, packing, quality, warc
+from subflow.llm import extraction, minhash, mixing, packing, quality, warc
 from subflow.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -42,6 +46,7 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_warc_normaliser": op3_warc_normaliser,
+    "op4_main_text": op4_main_text,
     "op5_entropy_mix": op5_entropy_mix,
     "op6_packed_tokens": op6_packed_tokens,
     "op7_quality_outliers": op7_quality_outliers,
