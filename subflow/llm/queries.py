@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import decontamination, extraction, minhash, mixing, packing, quality, warc
+from subflow.llm import bytecnn, decontamination, extraction, minhash, mixing, packing, quality, warc
 from subflow.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +48,11 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bytecnn.score(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_warc_normaliser": op3_warc_normaliser,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packed_tokens": op6_packed_tokens,
     "op7_quality_outliers": op7_quality_outliers,
     "op9_qgram_decontamination": op9_qgram_decontamination,
+    "op10_byte_network": op10_byte_network,
 }
