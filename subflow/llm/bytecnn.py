@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. In a chunk,
 learned filters run over embedded bytes; each filter's highest response in the chunk is
-kept. A text's vector is the mean and the maximum of its chunks' vectors, and a small
-layer turns it into one probability. Scoring goes through texts of any length piece by
+kept. A text's vector is the mean, the maximum and the minimum of its chunks' vectors (a
+chunk that repeats itself has low responses only), and a small layer turns it into one probability. Scoring goes through texts of any length piece by
 piece.
 
 Training runs on the driver over a bounded sample: at most ``SAMPLE_PER_CLASS`` labelled
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from subflow.llm.common import texts_of
 
 SAMPLE_PER_CLASS = 1500
-SAMPLE_CHUNKS = 12
-EPOCHS = 14
-CHUNK, STEP = 512, 480
+SAMPLE_CHUNKS = 24
+STEPS, PER_STEP = 700, 32
+CHUNK, STEP = 128, 112
 KERNEL, STRIDE, EMBEDDING, FILTERS, HIDDEN = 8, 2, 8, 24, 16
 PADDING = 256
 THRESHOLD = 0.3
-CHUNKS_AT_ONCE = 256
+CHUNKS_AT_ONCE = 1024
 
 
 def chunks_of(text: str) -> np.ndarray:
@@ -58,7 +58,7 @@ class Network:
             "embedding": normal(257, EMBEDDING) * 0.5,
             "filters": normal(KERNEL * EMBEDDING, FILTERS) / np.float32(np.sqrt(KERNEL * EMBEDDING)),
             "filter_bias": np.zeros(FILTERS, np.float32),
-            "dense": normal(2 * FILTERS, HIDDEN) / np.float32(np.sqrt(2 * FILTERS)),
+            "dense": normal(3 * FILTERS, HIDDEN) / np.float32(np.sqrt(3 * FILTERS)),
             "dense_bias": np.zeros(HIDDEN, np.float32),
             "out": normal(HIDDEN) / np.float32(np.sqrt(HIDDEN)),
             "out_bias": np.zeros(1, np.float32),
@@ -94,7 +94,8 @@ class Network:
         active = np.maximum(top, 0)
         counts = np.diff(np.append(starts, len(top)))
         mean = np.add.reduceat(active, starts, axis=0) / counts[:, None]
-        return np.concatenate([mean, np.maximum.reduceat(active, starts, axis=0)], axis=1)
+        ends = [f.reduceat(active, starts, axis=0) for f in (np.maximum, np.minimum)]
+        return np.concatenate([mean, *ends], axis=1)
 
     def logits(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.maximum(vectors @ self.p["dense"] + self.p["dense_bias"], 0)
@@ -144,10 +145,12 @@ class Network:
         counts = np.diff(np.append(starts, len(top)))
         owner = np.repeat(np.arange(n), counts)
         active = np.maximum(top, 0)
-        best = active == vectors[owner, FILTERS:]
-        share = best / np.maximum(np.add.reduceat(best, starts, axis=0)[owner], 1)
-        to_top = (to_vectors[owner, :FILTERS] / counts[owner, None] + to_vectors[owner, FILTERS:] * share) * (top > 0)
-        to_top = to_top.astype(np.float32)
+        to_top = to_vectors[owner, :FILTERS] / counts[owner, None]
+        for k in (1, 2):  # the maximum's and the minimum's share goes to the chunks that have it
+            part = slice(k * FILTERS, (k + 1) * FILTERS)
+            equal = active == vectors[owner, part]
+            to_top += to_vectors[owner, part] * equal / np.add.reduceat(equal, starts, axis=0)[owner]
+        to_top = (to_top * (top > 0)).astype(np.float32)
         g["filter_bias"] = to_top.sum(axis=0)
         places = where[:, :, None] * STRIDE + np.arange(KERNEL)
         bytes_ = chunks[np.arange(len(chunks))[:, None, None], places]
@@ -159,27 +162,23 @@ class Network:
         g["embedding"][PADDING] = 0
         return g
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Network:
-        """Adam over the sample; ``texts`` are the chunks of each text."""
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> Network:
+        """Adam over batches that are half of each class; ``texts`` are the chunks of each text."""
         random = np.random.default_rng(11)
+        classes = [np.flatnonzero(labels == q) for q in (0, 1)]
         one = {k: np.zeros_like(v) for k, v in self.p.items()}
         two = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, batch = 0, 32
-        total = epochs * -(-len(texts) // batch)
-        for _ in range(epochs):
-            order = random.permutation(len(texts))
-            for at in range(0, len(order), batch):
-                chosen = order[at : at + batch]
-                sizes = [len(texts[i]) for i in chosen]
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
-                g = self.gradients(np.concatenate([texts[i] for i in chosen]), starts, labels[chosen])
-                step += 1
-                rate = 0.004 * (1 - 0.95 * step / total)
-                for k, v in g.items():
-                    one[k] = 0.9 * one[k] + 0.1 * v
-                    two[k] = 0.999 * two[k] + 0.001 * v * v
-                    move = one[k] / (1 - 0.9**step) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
-                    self.p[k] -= (rate * move).astype(np.float32)
+        for step in range(1, steps + 1):
+            chosen = np.concatenate([random.choice(c, PER_STEP // 2) for c in classes])
+            sizes = [len(texts[i]) for i in chosen]
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
+            g = self.gradients(np.concatenate([texts[i] for i in chosen]), starts, labels[chosen])
+            rate = 0.004 * (1 - 0.95 * step / steps)
+            for k, v in g.items():
+                one[k] = 0.9 * one[k] + 0.1 * v
+                two[k] = 0.999 * two[k] + 0.001 * v * v
+                move = one[k] / (1 - 0.9**step) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+                self.p[k] -= (rate * move).astype(np.float32)
         return self
 
 
