@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import bytecnn, decontamination, extraction, minhash, mixing, packing, quality, warc
+from subflow.llm import bytecnn, decontamination, extraction, minhash, mixing, packing, pii, quality, warc
 from subflow.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base, "base_failed", "kept", "distance")
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line per item found in a document; documents that hold none have no line."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_entropy_mix": op5_entropy_mix,
     "op6_packed_tokens": op6_packed_tokens,
     "op7_quality_outliers": op7_quality_outliers,
+    "op8_contextual_pii": op8_contextual_pii,
     "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_byte_network": op10_byte_network,
 }
