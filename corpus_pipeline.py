@@ -4,21 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import minhash
+from subflow.llm import decontamination, minhash, mixing, packing, quality
 from subflow.llm.common import Scratch, table
+from subflow.llm.queries import END_ID, TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or lie far from their language and source, go."""
+    return quality.keep_good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.keep_one(docs)
+    """One document of each group of near copies stays: five words, a similarity of 0.8."""
+    return minhash.keep_one(docs, minhash.Settings(words=5, percent=80))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or with edits, go."""
+    return decontamination.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as files of packed token ids, and what these hold of each document."""
+    return packing.token_files(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
-STAGES: list[tuple[str, Stage]] = [("minhash_near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mixing", mix_sources),
+    ("token_files", token_files),
+]
 
+# Robust estimates, MinHash, alignments and tokens are beyond SQL; the tests hold the
+# stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -378,8 +378,10 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     found = scratch.stage(near_duplicates(docs, settings).select("doc_id", "kept"), "decided")
     gone = found.filter("not kept").select("doc_id").distinct()
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    again = again.select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
+    again = scratch.stage(again.select("doc_id"), "again")
+    if not again.limit(1).count():
+        return left.select(*docs.columns)
     once = left.join(again, "doc_id", "left_anti")
     repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    return once.unionByName(repeated).select(*docs.columns)

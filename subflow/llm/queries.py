@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from subflow.llm import bytecnn, decontamination, extraction, minhash, mixing, packing, pii, quality, warc
+from subflow.llm import bytecnn, decontamination, extraction, langid, minhash, mixing, packing, pii, quality, warc
 from subflow.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings)
 
 
+def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_language_fusion": op2_language_fusion,
     "op3_warc_normaliser": op3_warc_normaliser,
     "op4_main_text": op4_main_text,
     "op5_entropy_mix": op5_entropy_mix,
