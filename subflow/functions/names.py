@@ -51,11 +51,6 @@ def file_date(name: Column) -> Column:
     return _date_of(F.substring(name, *DATE_PLACE))
 
 
-def has_valid_date(name: Column, as_of=None) -> Column:
-    """False for a date after ``as_of``, null for a date that cannot be read."""
-    return mask_date(name) <= as_date(as_of)
-
-
 def is_good_name(name: Column, as_of=None) -> Column:
     """Valid name and a date not after ``as_of``; never null."""
     date_ok = F.coalesce(file_date(name) <= as_date(as_of), F.lit(False))

@@ -48,15 +48,6 @@ def end_records(records: DataFrame) -> DataFrame:
     return records.filter(is_end_row())
 
 
-def good_header_records(records: DataFrame) -> DataFrame:
-    """Data records keyed by exactly the five columns, in any order."""
-    return data_records(records).filter("headers_ok")
-
-
-def bad_header_records(records: DataFrame) -> DataFrame:
-    return data_records(records).filter(~F.col("headers_ok"))
-
-
 def file_success(assembled: DataFrame) -> DataFrame:
     """(file, rows assembled) for every file that has its end marker.
 

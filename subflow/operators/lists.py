@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from subflow.functions.cells import epoch_day
 from subflow.functions.rules import is_more_year
-from subflow.operators.spread import attach_per_key, spread_over
+from subflow.operators.spread import attach_per_key
 from subflow.schemas import ITEM_COLUMNS, PACKET_COLUMNS, STORED_COLUMNS
+from subflow.workspace import staged
 
 LIST_ROWS = 100_000
 
@@ -25,25 +26,36 @@ def stored_items(rows: DataFrame) -> DataFrame:
 
 
 def bucket_lists(rows: DataFrame, list_rows: int = LIST_ROWS, **spread) -> DataFrame:
-    """(file, isMoreYear, part, list), the list in order of its items; no empty lists.
+    """(file, isMoreYear, part, parts, list), the list in order of its items; none empty.
 
-    A file's bucket is one list as long as it has at most ``list_rows`` rows. A
-    larger one comes as several lists of about that size, told apart by ``part``;
-    together they hold every row once. So a large file is never in one task.
+    A file's bucket comes in ``parts`` lists of about ``list_rows`` rows, numbered from 0,
+    that together hold every row once; so a large file is never in one task, and a
+    reader sees whether a list is the whole bucket. Which list a row is in follows from
+    the row alone. Copies of a row are counted first and dealt out to the parts in turn.
     """
-    items = stored_items(rows).withColumn("bucket", F.struct("file_name", "isMoreYear"))
-    large = (
-        items.groupBy("bucket")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > list_rows)
-        .withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int"))
+    bucket = F.struct("file_name", "isMoreYear")
+    counted = (
+        stored_items(rows)
+        .withColumn("bucket", bucket)
+        .groupBy("bucket", *ITEM_COLUMNS)
+        .agg(F.count("*").alias("copies"))
     )
-    placed = attach_per_key(items, large, on="bucket", weight="n", how="left", **spread)
-    part = spread_over(F.coalesce("parts", F.lit(1)), *ITEM_COLUMNS)
+    counted = staged(counted, "items")
+    sizes = counted.groupBy("bucket").agg(F.sum("copies").alias("n"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int"))
+    placed = attach_per_key(counted, sizes, on="bucket", weight="n", **spread)
+    # Of n copies over p parts, those from the row's own part on get one more.
+    first = F.pmod(F.xxhash64(*ITEM_COLUMNS), F.col("parts")).cast("int")
+    turns = F.least(F.col("copies"), F.col("parts").cast("bigint")).cast("int")
+    dealt = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
+    here = F.floor((F.col("copies") - F.col("turn") - 1) / F.col("parts")) + 1
+    copies = F.array_repeat(F.struct(*ITEM_COLUMNS), here.cast("int"))
     return (
-        placed.withColumn("part", part)
-        .groupBy("file_name", "isMoreYear", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*ITEM_COLUMNS))).alias("list"))
+        dealt.withColumn("part", F.pmod(first + F.col("turn"), F.col("parts")))
+        .withColumn("copies", copies)
+        .groupBy("bucket", "part", "parts")
+        .agg(F.sort_array(F.flatten(F.collect_list("copies"))).alias("list"))
+        .select("bucket.*", "part", "parts", "list")
     )
 
 

@@ -29,40 +29,42 @@ def attach_per_key(
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Join ``rows`` with ``per_key`` on ``on``; ``weight`` counts the rows of a key.
+    """Join ``rows`` with ``per_key`` on ``on``; ``weight`` is a count that isn't taken over.
 
-    The per-key table is staged (unless it ``is_staged`` already) and measured. Small, it is broadcast and the rows
-    are not shuffled at all. Otherwise the rows are shuffled by key, and those of a
-    hot key by key and salt, with the key's row repeated once per salt. The salt
-    comes from the row's values and its task's number: a repeated task sends every
-    row the same way again, and copies of one row part by the tasks that hold them.
+    The per-key table is staged (unless it ``is_staged`` already) and measured. Small, it
+    is broadcast and the rows are not shuffled at all. Otherwise the rows are counted by
+    key, combined before the shuffle, and then shuffled by key, those of a hot key by key
+    and salt, with the key's row repeated once per salt; this holds for keys that
+    ``per_key`` lacks as well. The salt comes from the row's values and its task's
+    number: a repeated task sends every row the same way again, and copies of one row
+    part by the tasks that hold them.
     """
     if not is_staged:
         per_key = staged(per_key, "per-key")
     size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))) + 32), F.lit(0))
-    measured = per_key.agg(
-        size.alias("bytes"), F.coalesce(F.sum(weight), F.lit(0)).alias("total")
-    ).first()
+    measured = per_key.agg(size.alias("bytes")).first()["bytes"]
     value_columns = [c for c in per_key.columns if c not in (on, weight)]
-    if measured["bytes"] <= broadcast_bytes:
+    if measured <= broadcast_bytes:
         return rows.join(F.broadcast(per_key.select(on, *value_columns)), on, how)
 
-    keys = per_key.groupBy(on).agg(F.sum(weight).alias("_n"))
-    share = F.ceil(F.col("_n") * hot_share / F.lit(max(measured["total"], 1)))
-    hot = keys.filter(F.col("_n") * hot_share > measured["total"]).select(
-        on, (share * TASKS_PER_SHARE).cast("int").alias("_salts")
+    counts = staged(rows.groupBy(on).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    share = F.ceil(F.col("_n") * hot_share / F.lit(total))
+    # A null key has no partner, but its rows are split like others.
+    hot = counts.filter(F.col("_n") * hot_share > total).select(
+        F.col(on).alias("_hot"), (share * TASKS_PER_SHARE).cast("int").alias("_salts")
     )
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot)  # fewer than hot_share lines
     salts = F.coalesce("_salts", F.lit(1))
     salted_rows = (
-        rows.join(hot, on, "left")
+        rows.join(hot, rows[on].eqNullSafe(F.col("_hot")), "left")
         .withColumn("_salt", spread_over(salts, *rows.columns))
-        .drop("_salts")
+        .drop("_salts", "_hot")
     )
     salted_keys = (
         per_key.select(on, *value_columns)
-        .join(hot, on, "left")
+        .join(hot, F.col(on) == F.col("_hot"), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
+        .drop("_salts", "_hot")
     )
     return salted_rows.join(salted_keys, [on, "_salt"], how).drop("_salt")

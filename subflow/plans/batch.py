@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subflow.operators import files, gate, lists, rows, status
 from subflow.schemas import CHECKED
-from subflow.sinks.tables import store_items
+from subflow.sinks.tables import new_batch_id, store_items
 from subflow.sources import delimited
 from subflow.workspace import staged
 
@@ -62,8 +62,13 @@ class Outcome:
         """Good rows with ``is_complete``."""
         return gate.gate(self.good_rows, self.statuses)
 
-    def store(self, path: str, batch_id: int = 0) -> None:
-        """All good rows to the two tables: complete files or not, each row is released."""
+    def store(self, path: str, batch_id: int | None = None) -> None:
+        """All good rows to the two tables: complete files or not, each row is released.
+
+        Rows are added to those that are there. A run that may be repeated gives its own
+        ``batch_id``; then it replaces what it wrote before.
+        """
+        batch_id = new_batch_id() if batch_id is None else batch_id
         store_items(lists.stored_items(self.good_rows), path, batch_id)
 
 

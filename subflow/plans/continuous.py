@@ -1,5 +1,6 @@
-"""The same run on a stream of files, as three streaming queries over stage tables.
+"""The same run on a stream of files, as streaming queries over stage tables.
 
+* names: names of new files -> files rejected by their name, which are never opened
 * arrivals: lines of new files -> checked rows, rejects and counts, per micro-batch
 * statuses: counts -> reconciled files
 * releases: reconciled files and counts -> released rows -> the two stored tables
@@ -13,17 +14,26 @@ from subflow.operators import files, lists, rows, status
 from subflow.plans.batch import checked_records
 from subflow.schemas import (
     CHECKED,
-    COLLECTOR_STATUS,
+    FILE_FAIL,
     PACKET_COLUMNS,
     PROGRESS,
+    RECONCILED,
     RELEASE,
     RELEASED,
 )
-from subflow.sinks.tables import ensure_table, has_batch, read_batch, store_items, write_batch
+from subflow.sinks.tables import (
+    ensure_table,
+    is_published,
+    publish_batch,
+    read_batch,
+    store_items,
+    write_batch,
+)
 from subflow.sources import delimited, staged
 from subflow.streaming import gate as stream_gate
+from subflow.streaming import reconcile
 from subflow.streaming.progress import file_progress, row_progress
-from subflow.streaming.reconcile import reconcile_stream
+from subflow.workspace import discard, remove
 from subflow.workspace import staged as stage_once
 
 
@@ -38,6 +48,7 @@ class Layout:
         self.releases = f"{root}/releases"
         self.released = f"{root}/released"
         self.stored = f"{root}/stored"
+        self.name_rejects = f"{root}/name_rejects"
         self.file_rejects = f"{root}/file_rejects"
         self.row_rejects = f"{root}/row_rejects"
         self.row_failures = f"{root}/row_failures"
@@ -46,17 +57,34 @@ class Layout:
         return f"{self.root}/checkpoints/{query}"
 
 
+def names_query(names: DataFrame, layout: Layout, as_of=None, **trigger) -> StreamingQuery:
+    """Files that fail by their name, from the listing alone."""
+    rejects = files.failed_files(files.check_files(names, as_of))
+    return staged.append_stream(
+        rejects,
+        layout.name_rejects,
+        layout.checkpoint("names"),
+        **(trigger or {"processingTime": "1 second"}),
+    )
+
+
+def read_file_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
+    """All rejected files: by name, and those without a # column."""
+    read = lambda path: spark.read.schema(FILE_FAIL).parquet(path)
+    return read(layout.name_rejects).unionByName(read(layout.file_rejects))
+
+
 def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) -> None:
     """One micro-batch of lines: rows first, their counts last.
 
     Counts appear only once the rows they count are all there. A repeated
     micro-batch replaces its own partition of every table; if its counts are there,
-    it was done, and writing them again would count its rows twice downstream.
+    it was done. The counts appear whole and under a name that stays, so the streams
+    that read them see them once.
     """
     spark = lines.sparkSession
-    if has_batch(spark, layout.progress, arrival, by="arrival"):
+    if is_published(spark, layout.progress, arrival, by="arrival"):
         return
-    bad_names = files.of_bad_files(lines, as_of).select("file_name").distinct()
     good_lines = files.of_good_files(lines, as_of)
     headers = stage_once(delimited.file_headers(good_lines), "headers")
     records = delimited.header_records(good_lines, headers, is_staged=True)
@@ -64,7 +92,7 @@ def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) ->
 
     checked = read_batch(spark, layout.checked, CHECKED, arrival, by="arrival")
     assembled = checked.filter("reason is null and not is_end")
-    rejects = files.failed_files(files.check_files(bad_names, as_of)).unionByName(delimited.without_id_column(headers))
+    rejects = delimited.without_id_column(headers)
     write_batch(rejects, layout.file_rejects, arrival, by="arrival")
     write_batch(rows.row_rejects(checked), layout.row_rejects, arrival, by="arrival")
     write_batch(rows.failed_rows(assembled), layout.row_failures, arrival, by="arrival")
@@ -73,12 +101,15 @@ def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) ->
     progress = file_progress(files.file_success(checked), arrival).unionByName(
         row_progress(counts, arrival)
     )
-    write_batch(progress, layout.progress, arrival, by="arrival")
+    publish_batch(progress, layout.progress, arrival, by="arrival")
+    discard(headers)
 
 
 def arrivals_query(lines: DataFrame, layout: Layout, as_of=None, **trigger) -> StreamingQuery:
+    """Rows of the files with a good name; the others are not opened."""
     return (
-        lines.writeStream.foreachBatch(
+        files.of_good_files(lines, as_of)
+        .writeStream.foreachBatch(
             lambda batch, arrival: stage_arrival(batch, arrival, layout, as_of)
         )
         .option("checkpointLocation", layout.checkpoint("arrivals"))
@@ -87,10 +118,27 @@ def arrivals_query(lines: DataFrame, layout: Layout, as_of=None, **trigger) -> S
     )
 
 
+_WITH_ARRIVAL = T.StructType([*CHECKED.fields, T.StructField("arrival", T.LongType())])
+
+
 def read_checked(spark: SparkSession, layout: Layout) -> DataFrame:
     """All records so far, by arrival."""
-    schema = T.StructType([*CHECKED.fields, T.StructField("arrival", T.LongType())])
-    return spark.read.schema(schema).parquet(layout.checked)
+    return spark.read.schema(_WITH_ARRIVAL).parquet(layout.checked)
+
+
+def read_arrivals(spark: SparkSession, layout: Layout, arrivals: list[int]) -> DataFrame:
+    """Records of some arrivals; the folders of the others are not even listed."""
+    if not arrivals:
+        return spark.createDataFrame([], _WITH_ARRIVAL)
+    paths = [f"{layout.checked}/arrival={a}" for a in arrivals]
+    reader = spark.read.schema(_WITH_ARRIVAL).option("basePath", layout.checked)
+    return reader.parquet(*paths)
+
+
+def remove_arrivals(spark: SparkSession, layout: Layout, arrivals: list[int]) -> None:
+    """Remove the records of arrivals whose rows have all been released."""
+    for arrival in arrivals:
+        remove(spark, f"{layout.checked}/arrival={arrival}")
 
 
 def _progress_stream(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -98,8 +146,11 @@ def _progress_stream(spark: SparkSession, layout: Layout) -> DataFrame:
     return staged.stream_stage(spark, layout.progress, PROGRESS)
 
 
-def statuses_query(spark: SparkSession, layout: Layout, **trigger) -> StreamingQuery:
-    statuses = reconcile_stream(_progress_stream(spark, layout))
+def statuses_query(
+    spark: SparkSession, layout: Layout, idle_ms: int = reconcile.IDLE_MS, **trigger
+) -> StreamingQuery:
+    idle = None if trigger.get("availableNow") else idle_ms
+    statuses = reconcile.reconcile_stream(_progress_stream(spark, layout), idle)
     return staged.append_stream(
         statuses,
         layout.statuses,
@@ -109,14 +160,19 @@ def statuses_query(spark: SparkSession, layout: Layout, **trigger) -> StreamingQ
 
 
 def release_batch(releases: DataFrame, batch_id: int, layout: Layout) -> None:
-    """Write the releases first, so that the stateful step runs once; then their rows."""
+    """Write the releases first, so that the stateful step runs once; then their rows.
+
+    A batch without releases leaves nothing behind.
+    """
     spark = releases.sparkSession
     write_batch(releases, layout.releases, batch_id)
     written = read_batch(spark, layout.releases, RELEASE, batch_id)
     if written.isEmpty():
+        remove(spark, f"{layout.releases}/batch_id={batch_id}")
         return
-    good = rows.good_rows_with_arrival(read_checked(spark, layout))
-    released = stream_gate.released_rows(written, good, is_staged=True)
+    released = stream_gate.released_rows(
+        written, lambda some: rows.good_rows_with_arrival(read_arrivals(spark, layout, some))
+    )
     write_batch(released, layout.released, batch_id)
     out = read_batch(spark, layout.released, RELEASED, batch_id)
     store_items(lists.stored_items(out.select(*PACKET_COLUMNS)), layout.stored, batch_id)
@@ -125,7 +181,8 @@ def release_batch(releases: DataFrame, batch_id: int, layout: Layout) -> None:
 def releases_query(
     spark: SparkSession, layout: Layout, idle_ms: int = stream_gate.IDLE_MS, **trigger
 ) -> StreamingQuery:
-    statuses = staged.stream_stage(spark, layout.statuses, COLLECTOR_STATUS)
+    found = staged.stream_stage(spark, layout.statuses, RECONCILED)
+    statuses = found.filter("is_reconciled").drop("is_reconciled")
     releases = stream_gate.gate_stream(statuses, _progress_stream(spark, layout), idle_ms)
     return (
         releases.writeStream.foreachBatch(

@@ -9,16 +9,17 @@ from subflow.operators import files, gate, lists, rows, status
 from subflow.plans import batch, continuous
 from subflow.schemas import (
     BUCKET_LIST,
-    COLLECTOR_STATUS,
     FILE_FAIL,
     PACKET_COLUMNS,
     PROGRESS,
+    RECONCILED,
     ROW_REJECT,
     ROW_STATUS,
 )
 from subflow.sinks.tables import (
     LONG_TABLE,
     SHORT_TABLE,
+    publish_batch,
     read_batch,
     read_stored,
     store_items,
@@ -34,7 +35,8 @@ from subflow.workspace import new_path, staged
 
 AS_OF = orders.AS_OF
 IDLE_MS = 1_000
-STREAM_SECONDS = 600
+# Rows of a delivery's part file, about; what is written stays in proportion to the input.
+ROWS_PER_PART = 250_000
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -70,16 +72,27 @@ def _good(spark: SparkSession, sf: str) -> DataFrame:
     return rows.good_rows(_checked(spark, sf))
 
 
-def _run(spark: SparkSession, sf: str) -> batch.Outcome:
-    """All results of one parse: what needs the rows more than once reads the staged table."""
-    checked = staged(batch.checked_records(_records(spark, sf), AS_OF), "checked")
-    return batch.Outcome(checked, files.failed_files(_checked_files(spark, sf)))
-
-
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return status.status_counts(_checked(spark, sf))
 
 
+def _sent(checked: DataFrame) -> DataFrame:
+    """Statuses as they arrive, apart from the rows they are of: some are lost, some doubled.
+
+    In files whose five digits are a multiple of 5 the status of row 1 is lost; where they
+    are a multiple of 7 that of row 2 comes twice.
+    """
+    number = F.substring("file_name", 10, 5).try_cast("int")
+    times = F.when((F.col("id") == 1) & (number % 5 == 0), 0)
+    times = times.when((F.col("id") == 2) & (number % 7 == 0), 2).otherwise(1)
+    return checked.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).drop("_time")
+
+
+def _statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose statuses, as they arrived, are as many as the rows they declared."""
+    return status.reconcile(_file_success(spark, sf), status.status_counts(_sent(_checked(spark, sf))))
+
+
 def _file_success(spark: SparkSession, sf: str) -> DataFrame:
     return files.file_success(_assembled(spark, sf))
 
@@ -92,7 +105,10 @@ def bucket_totals(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _items(spark, sf)
         .groupBy("isMoreYear")
-        .agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("price"),
+        )
     )
 
 
@@ -115,7 +131,9 @@ def mask_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def header_check(spark: SparkSession, sf: str) -> DataFrame:
-    return files.data_records(_records(spark, sf)).select("file_name", "id_text", "headers_ok")
+    """Each row of the written files, by whether its file's header names its cells."""
+    records = delimited.read_records(spark, _deliveries(spark, sf), AS_OF, nested=True)
+    return files.data_records(records).select("file_name", "id_text", "headers_ok")
 
 
 def end_markers(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +187,7 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf).statuses
+    return _statuses(spark, sf)
 
 
 def held_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +195,8 @@ def held_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(_run(spark, sf).released)
+    good = staged(_good(spark, sf), "good")
+    return _out(gate.gate(good, _statuses(spark, sf)))
 
 
 def bucket_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,6 +207,8 @@ def bucket_lists(spark: SparkSession, sf: str) -> DataFrame:
     return built.select(
         "file_name",
         "isMoreYear",
+        "part",
+        "parts",
         F.size("list").cast("bigint").alias("n"),
         F.array_join(F.transform("list", item), ",").alias("items"),
     )
@@ -199,7 +220,7 @@ def list_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf: str, table: str) -> DataFrame:
     path = new_path(spark, "stored")
-    store_items(_items(spark, sf), path)
+    store_items(_items(spark, sf), path, 0)
     return read_stored(spark, path, table)
 
 
@@ -214,8 +235,9 @@ def store_rows_long(spark: SparkSession, sf: str) -> DataFrame:
 # The file sources: the tables are written out as files, which are then read.
 
 
-def _deliveries(spark: SparkSession, sf: str, parts: int = 2) -> str:
+def _deliveries(spark: SparkSession, sf: str, parts: int | None = None) -> str:
     path = new_path(spark, "deliveries")
+    parts = parts or 2 + orders.row_count(spark, sf) // ROWS_PER_PART
     orders.write_deliveries(spark, sf, path, parts)
     return path
 
@@ -264,7 +286,7 @@ def json_rejects(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "json-rows")
     orders.write_json_rows(spark, sf, path)
     rejects = json_rows.json_rejects(spark.read.text(path))
-    return rejects.select(F.get_json_object("value", "$.id").cast("bigint").alias("id"))
+    return rejects.select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), "value")
 
 
 # The streams: stage tables made from the order tables, read as streams.
@@ -283,25 +305,27 @@ def _stage_rows(spark: SparkSession, sf: str, root: str) -> continuous.Layout:
     return layout
 
 
+def _arrived(spark: SparkSession, layout: continuous.Layout, arrival: int | None = None) -> DataFrame:
+    """Assembled rows of an arrival, or of all."""
+    rows_ = continuous.read_checked(spark, layout).filter("reason is null and not is_end")
+    return rows_ if arrival is None else rows_.filter(F.col("arrival") == arrival)
+
+
 def _stage_progress(spark: SparkSession, layout: continuous.Layout, arrivals: list[int]) -> None:
-    checked = continuous.read_checked(spark, layout)
     for arrival in arrivals:
-        here = checked.filter(F.col("arrival") == arrival)
-        assembled = here.filter("reason is null and not is_end")
-        counts = status.status_counts(assembled)
-        write_batch(row_progress(counts, arrival), layout.progress, arrival, by="arrival")
+        counts = status.status_counts(_arrived(spark, layout, arrival))
+        publish_batch(row_progress(counts, arrival), layout.progress, arrival, by="arrival")
 
 
 def _stage_statuses(spark: SparkSession, layout: continuous.Layout) -> None:
-    checked = continuous.read_checked(spark, layout)
-    assembled = checked.filter("reason is null and not is_end")
-    counts = status.status_counts(assembled)
-    statuses = status.reconcile(files.file_success(checked), counts)
+    success = files.file_success(continuous.read_checked(spark, layout))
+    counts = status.status_counts(_sent(_arrived(spark, layout)))
+    statuses = status.reconcile(success, counts).withColumn("is_reconciled", F.lit(True))
     write_stage(statuses, layout.statuses)
 
 
 def _release(spark: SparkSession, layout: continuous.Layout) -> None:
-    run_until_idle(continuous.releases_query(spark, layout, IDLE_MS), STREAM_SECONDS)
+    run_until_idle(continuous.releases_query(spark, layout, IDLE_MS))
 
 
 def _released(spark: SparkSession, layout: continuous.Layout) -> DataFrame:
@@ -310,15 +334,15 @@ def _released(spark: SparkSession, layout: continuous.Layout) -> DataFrame:
 
 
 def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses of even rows, then the declared numbers, then odd rows: a micro-batch each."""
     layout = _stage_rows(spark, sf, new_path(spark, "stream-reconcile"))
-    _stage_progress(spark, layout, [0, 1])
     success = files.file_success(continuous.read_checked(spark, layout))
-    # The declared counts come in between the two arrivals of rows, by file order.
-    write_batch(file_progress(success, 1), f"{layout.root}/declared", 1, by="arrival")
-    declared = stream_stage(spark, f"{layout.root}/declared", PROGRESS)
-    counts = stream_stage(spark, layout.progress, PROGRESS)
+    counts = [status.status_counts(_sent(_arrived(spark, layout, a))) for a in (0, 1)]
+    lines = [row_progress(counts[0], 0), file_progress(success, 1), row_progress(counts[1], 2)]
+    for arrival, progress in enumerate(lines):
+        publish_batch(progress, layout.progress, arrival, by="arrival")
     query = (
-        reconcile_stream(declared.unionByName(counts))
+        reconcile_stream(stream_stage(spark, layout.progress, PROGRESS, max_files=1), idle_ms=None)
         .writeStream.format("parquet")
         .option("path", layout.statuses)
         .option("checkpointLocation", layout.checkpoint("statuses"))
@@ -326,7 +350,8 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return read_stage(spark, layout.statuses, COLLECTOR_STATUS)
+    found = read_stage(spark, layout.statuses, RECONCILED)
+    return found.filter("is_reconciled").drop("is_reconciled")
 
 
 def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,7 +366,7 @@ def stream_idle_release(spark: SparkSession, sf: str) -> DataFrame:
     """No file is ever reconciled, so all rows leave by the timer."""
     layout = _stage_rows(spark, sf, new_path(spark, "stream-idle"))
     _stage_progress(spark, layout, [0, 1])
-    write_stage(spark.createDataFrame([], COLLECTOR_STATUS), layout.statuses)
+    write_stage(spark.createDataFrame([], RECONCILED), layout.statuses)
     _release(spark, layout)
     return _released(spark, layout)
 
@@ -388,8 +413,11 @@ def stream_files(spark: SparkSession, sf: str) -> DataFrame:
     """From delivered files to released rows, all by streams."""
     path = _deliveries(spark, sf, parts=1)
     layout = continuous.Layout(new_path(spark, "stream-files"))
-    lines = delimited.stream_lines(spark, path, nested=True)
+    # Fewer files at a time than there are, so that files come in several arrivals.
+    lines = delimited.stream_lines(spark, path, nested=True, max_files=40)
+    names = delimited.stream_names(spark, path, nested=True)
     now = {"availableNow": True}
+    continuous.names_query(names, layout, AS_OF, **now).awaitTermination()
     continuous.arrivals_query(lines, layout, AS_OF, **now).awaitTermination()
     continuous.statuses_query(spark, layout, **now).awaitTermination()
     _release(spark, layout)

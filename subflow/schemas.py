@@ -7,8 +7,9 @@ ID, START, END, DURATION, PRICE = "#", "StartDate", "EndDate", "Duration", "Pric
 COLUMNS = (ID, START, END, DURATION, PRICE)
 END_MARK = "end"
 
-_TEXT, _LONG, _DOUBLE, _FLAG, _DATE = (
+_TEXT, _INT, _LONG, _DOUBLE, _FLAG, _DATE = (
     T.StringType(),
+    T.IntegerType(),
     T.LongType(),
     T.DoubleType(),
     T.BooleanType(),
@@ -43,10 +44,10 @@ ROW_REJECT = T.StructType(
 )
 FILE_SUCCESS = _schema(file_name=_TEXT, countRecord=_LONG)
 FILE_FAIL = _schema(file_name=_TEXT, errors=_ERRORS)
-ROW_FAIL = T.StructType([*PACKET.fields, *_schema(errors=_ERRORS).fields])
 ROW_STATUS = T.StructType([*PACKET.fields, *_schema(is_valid=_FLAG, errors=_ERRORS).fields])
 COLLECTOR_STATUS = _schema(file_name=_TEXT, countGoodRecords=_LONG)
-BUCKET_LIST = _schema(isMoreYear=_FLAG, list=T.ArrayType(STORED_ITEM))
+# The list of a file's bucket, or a numbered part of it.
+BUCKET_LIST = _schema(isMoreYear=_FLAG, part=_INT, parts=_INT, list=T.ArrayType(STORED_ITEM))
 
 # A record with all that is known of it.
 CHECKED = T.StructType(
@@ -60,9 +61,9 @@ CHECKED = T.StructType(
 
 # What one arrival (one batch of staged rows) adds to a file.
 PROGRESS = _schema(file_name=_TEXT, arrival=_LONG, countRecord=_LONG, seen=_LONG, good=_LONG)
-RELEASE = _schema(
-    file_name=_TEXT, first_arrival=_LONG, last_arrival=_LONG, held=_LONG, is_complete=_FLAG
-)
+RELEASE = _schema(file_name=_TEXT, arrivals=T.ArrayType(_LONG), held=_LONG, is_complete=_FLAG)
+# A reconciled file; or one that was idle for too long with counts that did not meet.
+RECONCILED = T.StructType([*COLLECTOR_STATUS.fields, *_schema(is_reconciled=_FLAG).fields])
 
 # Released rows: complete file, or let go by the timer.
 RELEASED = T.StructType([*PACKET.fields, *_schema(is_complete=_FLAG).fields])

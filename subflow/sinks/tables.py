@@ -1,12 +1,14 @@
 """Tables in a folder, written per batch so that a repeated batch replaces itself."""
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subflow.operators.lists import explode_lists
 from subflow.schemas import STORED_COLUMNS, STORED_ROW
+from subflow.workspace import exists, move_only_part
 
 # The two stored tables.
 SHORT_TABLE = "subscription"
@@ -25,13 +27,23 @@ def read_batch(
     return spark.read.schema(schema).parquet(f"{path}/{by}={batch_id}")
 
 
-def has_batch(spark: SparkSession, path: str, batch_id: int, by: str = "batch_id") -> bool:
-    """Whether that partition has been written to its end."""
-    try:
-        spark.read.format("binaryFile").load(f"{path}/{by}={batch_id}/_SUCCESS")
-    except AnalysisException:
-        return False
-    return True
+def publish_batch(df: DataFrame, path: str, batch_id: int, by: str) -> None:
+    """A small partition as one file that appears whole, under a name that stays.
+
+    A stream reads every file name once. So a batch that is published again, after any
+    failure, is not read again: if the file is there, nothing is written.
+    """
+    spark = df.sparkSession
+    final = f"{path}/{by}={batch_id}/lines.parquet"
+    if exists(spark, final):
+        return
+    made = f"{path}/_new-{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(made)
+    move_only_part(spark, made, final)
+
+
+def is_published(spark: SparkSession, path: str, batch_id: int, by: str) -> bool:
+    return exists(spark, f"{path}/{by}={batch_id}/lines.parquet")
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, by: str) -> None:
@@ -39,8 +51,16 @@ def ensure_table(spark: SparkSession, path: str, schema: T.StructType, by: str)
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy(by).parquet(path)
 
 
-def store_items(items: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Rows with their bucket flag to the two tables, in one pass and without a shuffle."""
+def new_batch_id() -> int:
+    """A number no other batch has."""
+    return uuid.uuid4().int >> 65
+
+
+def store_items(items: DataFrame, path: str, batch_id: int) -> None:
+    """Rows with their bucket flag to the two tables, in one pass and without a shuffle.
+
+    A batch replaces what an earlier try under its id wrote, and nothing else.
+    """
     table = F.when(F.col("isMoreYear"), F.lit(LONG_TABLE)).otherwise(F.lit(SHORT_TABLE))
     (
         items.select(
@@ -55,7 +75,7 @@ def store_items(items: DataFrame, path: str, batch_id: int = 0) -> None:
     )
 
 
-def store_lists(lists: DataFrame, path: str, batch_id: int = 0) -> None:
+def store_lists(lists: DataFrame, path: str, batch_id: int) -> None:
     """Bucketed lists to the two tables; usable as a ``foreachBatch`` function's body."""
     store_items(explode_lists(lists), path, batch_id)
 

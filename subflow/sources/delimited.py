@@ -3,7 +3,11 @@
 A delivery is a file in a folder, or a folder ``file_name=<name>`` of part files
 that each start with a header line, as Spark writes one large delivery. The text
 source splits large files, so lines reach many tasks; the first line of every file
-is found in one pass and attached to the others.
+is found first and attached to the others.
+
+The text is scanned three times: for the number of each file's first line, for the
+text of the first lines, and for the rows. Nothing is sorted or shuffled but a line
+per file and task.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,21 +17,33 @@ from subflow.functions.cells import cells_by_header, id_positions, layouts, once
 from subflow.functions.names import no_id_column_error
 from subflow.operators.files import of_good_files
 from subflow.operators.spread import attach_per_key
-from subflow.schemas import RECORD
+from subflow.schemas import ID, RECORD
 
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def _name(path: Column, base_name: Column) -> Column:
+def _decoded(name: Column) -> Column:
+    """``%20`` and the like as the characters they stand for; a plus sign stays one."""
+    plain = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(plain, name)
+
+
+def _name(path: Column, is_uri: bool) -> Column:
+    """The delivery's name, as it is in the folder, from a file's path or its URI.
+
+    A folder ``file_name=<name>`` has some characters escaped once more, by its writer.
+    """
+    name = lambda c: _decoded(c) if is_uri else c
     folder = F.regexp_extract(path, r"/file_name=([^/]+)/[^/]+$", 1)
-    return F.when(folder != "", folder).otherwise(base_name)
+    own = F.element_at(F.split(path, "/"), -1)
+    return F.when(folder != "", _decoded(name(folder))).otherwise(name(own))
 
 
 def _lines(reader, path: str, nested: bool) -> DataFrame:
     text = reader.format("text").option("recursiveFileLookup", str(nested).lower()).load(path)
     return text.select(
         "value",
-        _name(F.col("_metadata.file_path"), F.col("_metadata.file_name")).alias("file_name"),
+        _name(F.col("_metadata.file_path"), is_uri=True).alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
@@ -56,26 +72,35 @@ def list_files(spark: SparkSession, path: str, nested: bool = False) -> DataFram
         .load(path)
         .select("path")
     )
-    base_name = F.element_at(F.split("path", "/"), -1)
-    return listing.select(_name(F.col("path"), base_name).alias("file_name")).distinct()
+    return listing.select(_name(F.col("path"), is_uri=False).alias("file_name")).distinct()
+
+
+def stream_names(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """The names of the files now in a folder, then of each new one; no content is read."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema)
+    listing = reader.option("recursiveFileLookup", str(nested).lower()).load(path)
+    return listing.select(_name(F.col("path"), is_uri=False).alias("file_name"))
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
     """Per physical file: its first line, what that says of the columns, its line count.
 
-    A file's first line is the first that the task with its first block reads.
+    A file's first line is the first that the task with its first block reads. Its number
+    is a least of numbers, which is combined without sorting the lines. The text of a
+    first line is needed only if it names the # column, so a second scan passes on no
+    other lines than those with that character; both scans number lines alike.
     """
     at_start = F.col("block_start") == 0
-    first = (
-        lines.withColumn("seq", F.monotonically_increasing_id())
-        .groupBy("file_path", "file_name")
-        .agg(
-            F.min_by("value", F.when(at_start, F.col("seq"))).alias("header_line"),
-            F.count("*").alias("lines"),
-        )
+    numbered = lines.withColumn("seq", F.monotonically_increasing_id())
+    first = numbered.groupBy("file_path", "file_name").agg(
+        F.min(F.when(at_start, F.col("seq"))).alias("seq"), F.count("*").alias("lines")
     )
-    header = split_cells(F.ltrim(F.col("header_line"), F.lit(BYTE_ORDER_MARK)))
-    return first.withColumn("header", header).select(
+    named = numbered.filter(at_start & F.contains("value", F.lit(ID)))
+    named = named.select("file_path", "seq", F.col("value").alias("header_line"))
+    found = first.join(named, ["file_path", "seq"], "left")
+    header = split_cells(F.ltrim(F.coalesce("header_line", F.lit("")), F.lit(BYTE_ORDER_MARK)))
+    return found.withColumn("header", header).select(
         "file_path",
         "file_name",
         "header_line",

@@ -3,18 +3,25 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subflow.functions.cells import iso_date
+from subflow.functions.cells import iso_date, once
 from subflow.schemas import SUBSCRIPTION
 
-_TEXT = "id bigint, startDate string, endDate string, duration bigint, price double"
-_DOUBLES = "id double, duration double"
+# Numbers are read as they stand, so that a quoted one can be told from a bare one and a
+# fraction from a whole number, all in one parse.
+_FIELDS = "id variant, startDate string, endDate string, duration variant, price variant"
+
+
+def _bare(field: str, kind: str) -> Column:
+    """A number that isn't quoted, as ``kind``; anything else is a fault."""
+    value = F.col(f"json.{field}")
+    is_number = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(is_number, F.try_variant_get(value, "$", kind))
 
 
 def _whole(field: str) -> Column:
-    """A number; the fraction of one like 1.5 is cut off."""
-    as_double = F.from_json("value", _DOUBLES)[field]
-    cut = F.when(~F.isnan(as_double), as_double).try_cast("bigint")
-    return F.coalesce(F.col(f"json.{field}"), cut)
+    """A whole number; the fraction of one like 1.5 is cut off."""
+    exact = _bare(field, "decimal(38,18)").try_cast("bigint")
+    return F.coalesce(exact, _bare(field, "double").try_cast("bigint"))
 
 
 def parse_json_rows(lines: DataFrame) -> DataFrame:
@@ -22,15 +29,17 @@ def parse_json_rows(lines: DataFrame) -> DataFrame:
 
     Dates are ISO texts and numbers are bare: a quoted number is a fault.
     """
-    price = F.col("json.price")
-    parsed = lines.withColumn("json", F.from_json("value", _TEXT)).select(
+    json = lines.select("value", once(json=F.from_json("value", _FIELDS)))
+    price = _bare("price", "double")
+    parsed = json.select(
         "value",
-        _whole("id").alias("id"),
-        iso_date(F.col("json.startDate")).alias("startDate"),
-        iso_date(F.col("json.endDate")).alias("endDate"),
-        _whole("duration").alias("duration"),
-        # A quoted "NaN" or "Infinity" would pass as a double.
-        F.when(~F.isnan(price) & (F.abs(price) != float("inf")), price).alias("price"),
+        once(
+            id=_whole("id"),
+            startDate=iso_date(F.col("json.startDate")),
+            endDate=iso_date(F.col("json.endDate")),
+            duration=_whole("duration"),
+            price=F.when(~F.isnan(price) & (F.abs(price) != float("inf")), price),
+        ),
     )
     complete = F.lit(True)
     for name in SUBSCRIPTION.fieldNames():

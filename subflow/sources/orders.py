@@ -23,6 +23,10 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
+def row_count(spark: SparkSession, sf_dir: str) -> int:
+    return _lineitem(spark, sf_dir).count()
+
+
 def _digits(number: Column, n: int) -> Column:
     return F.lpad((number % 10**n).cast("string"), n, "0")
 
@@ -60,11 +64,14 @@ def _row_cells() -> dict[str, Column]:
     end = F.when(part % 7 == 0, ship).otherwise(F.date_add(ship, days))
     price = F.col("l_extendedprice")
     return {
-        "id_text": F.col("l_linenumber").cast("string"),
+        "id_text": F.when(part % 43 == 0, F.lit("first")).otherwise(F.col("l_linenumber").cast("string")),
         "start_text": F.when(part % 23 == 0, F.lit("2000-02-30")).otherwise(ship.cast("string")),
         "end_text": end.cast("string"),
-        "duration_text": (days + F.when(part % 11 == 0, 1).otherwise(0)).cast("string"),
+        "duration_text": F.when(part % 47 == 0, F.lit("long")).otherwise(
+            (days + F.when(part % 11 == 0, 1).otherwise(0)).cast("string")
+        ),
         "price_text": F.when(part % 29 == 0, None)
+        .when(part % 41 == 0, F.lit("dear"))
         .when(part % 19 == 0, F.lit("NaN"))
         .otherwise(F.when(part % 13 == 0, -price).otherwise(price).cast("string")),
     }
@@ -126,7 +133,9 @@ def _delivery_name(prio: Column) -> Column:
             _digits(year, 5),
             F.lit("_"),
             F.concat(F.lit("0101"), year),
-            F.lit(".csv"),
+            # Any character may stand before "csv".
+            F.when(prio == "1", F.lit(" ")).when(prio == "2", F.lit("%")).when(prio == "3", F.lit("+")).otherwise(F.lit(".")),
+            F.lit("csv"),
         )
     )
 
@@ -195,7 +204,7 @@ def write_json_rows(spark: SparkSession, sf_dir: str, path: str) -> None:
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
             cells["start_text"].alias("startDate"),
             cells["end_text"].alias("endDate"),
-            cells["duration_text"].cast("bigint").alias("duration"),
+            cells["duration_text"].try_cast("bigint").alias("duration"),
             p.alias("price"),
         )
     )

@@ -1,7 +1,7 @@
 """The gate on a stream: a file's rows leave when complete, or when it goes idle."""
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -21,7 +21,8 @@ IDLE_MS = 10_000
 class HoldFile(StatefulProcessor):
     """Counts the good rows a file holds and names the arrivals they came in.
 
-    A release covers whole arrivals, first to last; what comes later starts anew.
+    A release covers whole arrivals; what comes later starts anew. An arrival counts
+    once, however often its line is read.
     """
 
     def __init__(self, idle_ms: int = IDLE_MS) -> None:
@@ -31,69 +32,62 @@ class HoldFile(StatefulProcessor):
         self.handle = handle
         self.file = handle.getValueState(
             "file",
-            "expected bigint, held bigint, first_arrival bigint, last_arrival bigint, "
-            "last_active bigint",
+            "expected bigint, held bigint, arrivals array<bigint>, last_active bigint",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # Each call on the state is a round trip, so none is made without need.
         before = self.file.get()
-        expected, held, first, last, active = before or (None, 0, None, None, 0)
+        expected, held, arrivals, active = before or (None, 0, [], 0)
+        arrivals = list(arrivals)
         if before:
             self.handle.deleteTimer(active + self.idle_ms)
         # A status first: then a release is at the very arrival that makes it complete.
         for row in sorted(rows, key=lambda r: (r.expected is None, r.arrival or 0)):
             if row.expected is not None:
                 expected = row.expected
-            if row.held:
+            if row.held and row.arrival not in arrivals:
                 held += row.held
-                first = row.arrival if first is None else min(first, row.arrival)
-                last = row.arrival if last is None else max(last, row.arrival)
+                arrivals.append(row.arrival)
             if expected is not None and held == expected:
                 if held:
-                    yield self._release(key, first, last, held, True)
-                expected, held, first, last = None, 0, None, None
+                    yield self._release(key, arrivals, held, True)
+                expected, held, arrivals = None, 0, []
         if expected is None and held == 0:
             if before:
                 self.file.clear()
             return
         now = timerValues.getCurrentProcessingTimeInMs()
-        self.file.update((expected, held, first, last, now))
+        self.file.update((expected, held, arrivals, now))
         self.handle.registerTimer(now + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before = self.file.get()
         if not before:
             return
-        _, held, first, last, active = before
+        _, held, arrivals, active = before
         idle_at = active + self.idle_ms
         if timerValues.getCurrentProcessingTimeInMs() < idle_at:
             self.handle.registerTimer(idle_at)
             return
         if held:
-            yield self._release(key, first, last, held, False)
+            yield self._release(key, list(arrivals), held, False)
         self.file.clear()
 
     @staticmethod
-    def _release(key, first, last, held, complete) -> Row:
-        return Row(
-            file_name=key[0],
-            first_arrival=first,
-            last_arrival=last,
-            held=held,
-            is_complete=complete,
-        )
+    def _release(key, arrivals, held, complete) -> Row:
+        return Row(file_name=key[0], arrivals=sorted(arrivals), held=held, is_complete=complete)
 
     def close(self) -> None:
         pass
 
 
 def gate_stream(statuses: DataFrame, progress: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Releases: file, arrivals first to last, number of rows, complete or by timeout.
+    """Releases: file, its arrivals, number of rows, complete or by timeout.
 
     ``statuses`` are the reconciled counts, ``progress`` the counts of good rows per
     arrival; either may come first. Each new line restarts a file's idle time. State
-    is five numbers per file that has not been released, and ends with the release;
+    is a few numbers per file that has not been released, and ends with the release;
     a file with no good row leaves no state behind.
     """
     with_state_store(progress.sparkSession)
@@ -118,14 +112,19 @@ def gate_stream(statuses: DataFrame, progress: DataFrame, idle_ms: int = IDLE_MS
     )
 
 
-def released_rows(releases: DataFrame, rows: DataFrame, **spread) -> DataFrame:
-    """The rows a table of releases lets go; ``rows`` holds good rows with ``arrival``.
+def released_rows(
+    releases: DataFrame, read_rows: Callable[[list[int]], DataFrame], **spread
+) -> DataFrame:
+    """The rows a table of releases lets go.
 
-    Only the arrivals that some release covers are read. The releases of a file
-    cover different arrivals, so every row leaves once.
+    ``read_rows`` gives the good rows of some arrivals, with ``arrival``. Only arrivals
+    that a release names are read, and a row meets the release of its file and arrival
+    alone, so every row leaves once.
     """
-    span = releases.agg(F.min("first_arrival"), F.max("last_arrival")).first()
-    covered = rows.filter(F.col("arrival").between(*span)) if span[0] is not None else rows.limit(0)
-    joined = attach_per_key(covered, releases, on="file_name", weight="held", **spread)
-    in_release = F.col("arrival").between(F.col("first_arrival"), F.col("last_arrival"))
-    return joined.filter(in_release).select(*PACKET_COLUMNS, "is_complete")
+    named = releases.select("file_name", F.explode("arrivals").alias("arrival"), "is_complete")
+    arrivals = [r["arrival"] for r in named.select("arrival").distinct().collect()]
+    key = F.struct("file_name", "arrival").alias("key")
+    rows = read_rows(sorted(arrivals)).select(key, *PACKET_COLUMNS)
+    per_key = named.select(key, "is_complete", F.lit(1).alias("n"))
+    joined = attach_per_key(rows, per_key, on="key", weight="n", **spread)
+    return joined.select(*PACKET_COLUMNS, "is_complete")

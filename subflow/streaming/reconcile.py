@@ -7,50 +7,91 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from subflow.schemas import COLLECTOR_STATUS
+from subflow.schemas import RECONCILED
 from subflow.streaming.session import with_state_store
 
 # Workers get the processor with the query and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+IDLE_MS = 3_600_000
+
 
 class ReconcileFile(StatefulProcessor):
-    """Adds up a file's counts until they meet; then says how many rows were good."""
+    """Adds up a file's counts until they meet; then says how many rows were good.
+
+    An arrival's line counts once, however often it is read.
+    """
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "declared bigint, seen bigint, good bigint")
+        self.handle = handle
+        self.counts = handle.getValueState(
+            "counts",
+            "declared bigint, seen bigint, good bigint, lines array<bigint>, last_active bigint",
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # Each call on the state is a round trip, so none is made without need.
         before = self.counts.get()
-        declared, seen, good = before or (None, 0, 0)
-        for row in sorted(rows, key=lambda r: r.arrival):
+        declared, seen, good, lines, active = before or (None, 0, 0, [], 0)
+        lines = set(lines)
+        if before and self.idle_ms:
+            self.handle.deleteTimer(active + self.idle_ms)
+        for row in sorted(rows, key=lambda r: (r.arrival, r.countRecord is None)):
+            line = 2 * row.arrival + (row.countRecord is None)
+            if line in lines:
+                continue
+            lines.add(line)
             if row.countRecord is not None:
                 declared = row.countRecord
+                meets = seen == declared
+            else:
+                # Counted row by row, the number would be met on the way.
+                meets = declared is not None and seen < declared <= seen + row.seen
             seen += row.seen
             good += row.good
-            if declared is not None and declared == seen:
-                yield Row(file_name=key[0], countGoodRecords=good)
-                declared, seen, good = None, 0, 0
+            if meets:
+                yield Row(file_name=key[0], countGoodRecords=good, is_reconciled=True)
+                declared, seen, good, lines = None, 0, 0, set()
         if declared is not None or seen:
-            self.counts.update((declared, seen, good))
+            now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+            self.counts.update((declared, seen, good, sorted(lines), now))
+            if self.idle_ms:
+                self.handle.registerTimer(now + self.idle_ms)
         elif before:
             self.counts.clear()
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.counts.get()
+        if not before:
+            return
+        idle_at = before[4] + self.idle_ms
+        if timerValues.getCurrentProcessingTimeInMs() < idle_at:
+            self.handle.registerTimer(idle_at)
+            return
+        yield Row(file_name=key[0], countGoodRecords=before[2], is_reconciled=False)
+        self.counts.clear()
+
     def close(self) -> None:
         pass
 
 
-def reconcile_stream(progress: DataFrame) -> DataFrame:
-    """(file, good rows) as soon as a file's counts meet, whichever came last.
+def reconcile_stream(progress: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """(file, good rows, is_reconciled) as soon as a file's counts meet, whichever came last.
 
-    Counts are compared after each line of progress. The state of a file is three
-    numbers, gone once it is reconciled.
+    Counts are compared after each line of progress. Where one arrival brings more rows
+    than are missing, the declared number is met within it, and all its good rows count.
+    A file that had more rows than declared before it was declared, or has no number or
+    too few rows, is given up after the idle time: it comes out as not reconciled. So the
+    state, a few numbers per open file, ends for every file. Without an idle time nothing
+    is given up; a run over what is there now needs this, as one with timers never ends.
     """
     with_state_store(progress.sparkSession)
     return progress.groupBy("file_name").transformWithState(
-        statefulProcessor=ReconcileFile(),
-        outputStructType=COLLECTOR_STATUS,
+        statefulProcessor=ReconcileFile(idle_ms),
+        outputStructType=RECONCILED,
         outputMode="append",
-        timeMode="none",
+        timeMode="ProcessingTime" if idle_ms else "none",
     )

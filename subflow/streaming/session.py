@@ -24,18 +24,18 @@ def is_idle(query: StreamingQuery) -> bool:
     )
 
 
-def run_until_idle(query: StreamingQuery, seconds: float) -> None:
+def run_until_idle(query: StreamingQuery, seconds: float | None = None) -> None:
     """Let the query take all input and its timers clear all state, then stop it.
 
     A query with timers runs a batch at every trigger, so waiting for it to have
-    nothing to do would not end. Raises if it is not idle after ``seconds``.
+    nothing to do would not end. With ``seconds``, raises if it is not idle after these.
     """
-    deadline = time.monotonic() + seconds
+    deadline = time.monotonic() + seconds if seconds else None
     try:
         while not is_idle(query):
             if not query.isActive:
                 raise query.exception() or RuntimeError("the stream has stopped")
-            if time.monotonic() > deadline:
+            if deadline and time.monotonic() > deadline:
                 raise TimeoutError(f"not idle: {query.lastProgress}")
             time.sleep(0.2)
         # Stop between two batches where possible, not in the middle of one.

@@ -40,4 +40,38 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._staged_path)
+
+
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _at(spark, path)
+    return system.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _at(spark, path)
+    system.delete(target, True)
+
+
+def move_only_part(spark: SparkSession, folder: str, to: str) -> None:
+    """Give the one part file of a folder another place and name, and remove the folder."""
+    system, source = _at(spark, folder)
+    _, target = _at(spark, to)
+    (part,) = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(source, "part-*"))
+    system.mkdirs(target.getParent())
+    if not system.rename(part.getPath(), target) and not system.exists(target):
+        raise OSError(f"{to} could not be written")
+    system.delete(source, True)
