@@ -70,7 +70,7 @@ def names_query(names: DataFrame, layout: Layout, as_of=None, **trigger) -> Stre
 
 def read_file_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
     """All rejected files: by name, and those without a # column."""
-    read = lambda path: spark.read.schema(FILE_FAIL).parquet(path)
+    read = lambda path: spark.read.schema(FILE_FAIL).parquet(path).select(*FILE_FAIL.fieldNames())
     return read(layout.name_rejects).unionByName(read(layout.file_rejects))
 
 

@@ -85,5 +85,32 @@ def test_large_lists_come_in_parts_and_whole(spark, skewed):
     assert len(hot) >= 15 and max(hot) < 4000
     others = Counter(r.file_name for r in sizes if r.file_name != "hot")
     assert set(others.values()) == {1}
+    whole = built.groupBy("file_name", "isMoreYear", "parts").agg(F.count("*").alias("n"))
+    assert whole.filter("n > parts").count() == 0
     want = as_counter(lists.stored_items(skewed).drop("file_name"))
     assert as_counter(lists.explode_lists(built)) == want
+
+
+def test_lists_do_not_depend_on_how_the_rows_are_split(spark, skewed):
+    built = [
+        as_counter(lists.bucket_lists(rows, list_rows=1000).withColumn("list", F.to_json("list")))
+        for rows in (skewed, skewed.orderBy(F.rand(3)).coalesce(3))
+    ]
+    assert built[0] == built[1]
+    copies = lists.bucket_lists(skewed, list_rows=1000).filter("file_name = 'hot'")
+    copies = copies.select(F.size(F.filter("list", lambda i: i["id"] == -1)).alias("n")).filter("n > 0")
+    assert copies.count() > 4
+
+
+def test_a_hot_key_that_the_other_side_lacks_reaches_many_tasks(spark, skewed):
+    per_key = skewed.filter("file_name != 'hot'").groupBy("file_name").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_key = per_key.withColumn("x", F.lit(1))
+        joined = attach_per_key(skewed, per_key, "file_name", "n", "left", broadcast_bytes=-1)
+        tasks = joined.filter("file_name = 'hot'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < N / 3 / 4

@@ -2,15 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from subflow.operators.rows import good_rows_with_arrival
 from subflow.plans import continuous
 from subflow.plans.batch import ingest_folder
-from subflow.schemas import COLLECTOR_STATUS, PROGRESS
+from subflow.schemas import COLLECTOR_STATUS, PROGRESS, RECONCILED, RELEASE
 from subflow.sinks.tables import write_batch
 from subflow.sources import delimited
 from subflow.sources.staged import append_stream, stream_stage
-from subflow.streaming.gate import gate_stream
+from subflow.streaming.gate import gate_stream, released_rows
 from subflow.streaming.reconcile import reconcile_stream
 from subflow.streaming.session import run_until_idle
+from subflow.workspace import exists, remove
 
 HEAD = "#,StartDate,EndDate,Duration,Price"
 TODAY = "2026-12-01"
@@ -26,9 +28,9 @@ def test_reconcile_in_either_order(spark, tmp_path):
     table, out = str(tmp_path / "progress"), str(tmp_path / "out")
 
     def run():
-        stream = reconcile_stream(stream_stage(spark, table, PROGRESS))
+        stream = reconcile_stream(stream_stage(spark, table, PROGRESS), idle_ms=None)
         append_stream(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
-        return {r.file_name: r.countGoodRecords for r in spark.read.schema(COLLECTOR_STATUS).parquet(out).collect()}
+        return {r.file_name: r.countGoodRecords for r in spark.read.schema(RECONCILED).parquet(out).collect()}
 
     progress(spark, table, 0, ("declared first", 3, 0, 0), ("rows first", None, 2, 1), ("empty", 0, 0, 0),
              ("too many", None, 3, 3), ("never declared", None, 1, 1))
@@ -39,6 +41,33 @@ def test_reconcile_in_either_order(spark, tmp_path):
     assert run() == {"empty": 0, "declared first": 2, "rows first": 2}
 
 
+def test_reconcile_counts_an_arrival_once_and_meets_within_one(spark, tmp_path):
+    table, out = str(tmp_path / "progress"), str(tmp_path / "out")
+
+    def run():
+        stream = reconcile_stream(stream_stage(spark, table, PROGRESS), idle_ms=None)
+        append_stream(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
+        return {r.file_name: r.countGoodRecords for r in spark.read.schema(RECONCILED).parquet(out).collect()}
+
+    progress(spark, table, 0, ("twice", 4, 0, 0), ("twice", None, 2, 2), ("over", 3, 0, 0), ("over", None, 2, 1))
+    assert run() == {}
+    # The same arrival again, under other file names.
+    progress(spark, table, 0, ("twice", 4, 0, 0), ("twice", None, 2, 2))
+    assert run() == {}
+    progress(spark, table, 1, ("twice", None, 2, 1), ("over", None, 5, 4))
+    assert run() == {"twice": 3, "over": 5}
+
+
+def test_files_that_never_meet_are_given_up(spark, tmp_path):
+    table, out = str(tmp_path / "progress"), str(tmp_path / "out")
+    progress(spark, table, 0, ("short", 9, 0, 0), ("short", None, 2, 1), ("undeclared", None, 1, 1), ("fine", 0, 0, 0))
+    stream = reconcile_stream(stream_stage(spark, table, PROGRESS), idle_ms=500)
+    query = append_stream(stream, out, str(tmp_path / "checkpoint"), processingTime="0 seconds")
+    run_until_idle(query, 60)
+    got = {(r.file_name, r.countGoodRecords, r.is_reconciled) for r in spark.read.schema(RECONCILED).parquet(out).collect()}
+    assert got == {("short", 1, False), ("undeclared", 1, False), ("fine", 0, True)}
+
+
 def test_gate_in_either_order_by_timer_and_for_late_rows(spark, tmp_path):
     table, statuses, out = (str(tmp_path / n) for n in ("progress", "statuses", "out"))
 
@@ -57,7 +86,7 @@ def test_gate_in_either_order_by_timer_and_for_late_rows(spark, tmp_path):
         )
         run_until_idle(query, 60)
         return {
-            (r.file_name, r.first_arrival, r.last_arrival, r.held, r.is_complete)
+            (r.file_name, tuple(r.arrivals), r.held, r.is_complete)
             for r in spark.read.parquet(out).collect()
         }
 
@@ -65,16 +94,16 @@ def test_gate_in_either_order_by_timer_and_for_late_rows(spark, tmp_path):
     progress(spark, table, 0, ("status first", None, 3, 2), ("one short", None, 1, 1),
              ("no status", None, 4, 3), ("only bad rows", None, 2, 0))
     first = {
-        ("status first", 0, 0, 2, True),
-        ("one short", 0, 0, 1, False),
-        ("no status", 0, 0, 3, False),
+        ("status first", (0,), 2, True),
+        ("one short", (0,), 1, False),
+        ("no status", (0,), 3, False),
     }
     assert run() == first
     # The state is gone: late rows start anew and wait for their own timer.
     progress(spark, table, 1, ("one short", None, 1, 1), ("no status", None, 1, 1), ("new", None, 1, 1))
     progress(spark, table, 2, ("new", None, 1, 1))
     status(("new", 2))
-    late = {("one short", 1, 1, 1, False), ("no status", 1, 1, 1, False), ("new", 1, 2, 2, True)}
+    late = {("one short", (1,), 1, False), ("no status", (1,), 1, False), ("new", (1, 2), 2, True)}
     assert run() == first | late
 
 
@@ -92,11 +121,14 @@ def test_stream_of_files_equals_batch(spark, tmp_path):
     deliver(folder, "AAB", 0, 2)
     deliver(folder, "AAC", 2, 0, end=False)
     (folder / "plain.csv").write_text("x")
+    (folder / "hollow.csv").write_text("")
     layout = continuous.Layout(str(tmp_path / "run"))
     now = {"availableNow": True}
 
     def run():
         lines = delimited.stream_lines(spark, str(folder), max_files=2)
+        names = delimited.stream_names(spark, str(folder))
+        continuous.names_query(names, layout, TODAY, **now).awaitTermination()
         continuous.arrivals_query(lines, layout, TODAY, **now).awaitTermination()
         continuous.statuses_query(spark, layout, **now).awaitTermination()
         run_until_idle(continuous.releases_query(spark, layout, 500), 90)
@@ -111,8 +143,10 @@ def test_stream_of_files_equals_batch(spark, tmp_path):
     assert released.count() == 9
     stored = spark.read.parquet(layout.stored)
     assert stored.count() == 9
+    rejects = continuous.read_file_rejects(spark, layout)
+    assert sorted(map(str, rejects.collect())) == sorted(map(str, batch.file_rejects.collect()))
+    assert rejects.count() == 2  # one of them empty, so that no line could have told its name
     for table, expected in (
-        (layout.file_rejects, batch.file_rejects),
         (layout.row_failures, batch.row_failures),
         (layout.row_rejects, batch.row_rejects),
     ):
@@ -128,6 +162,42 @@ def test_a_repeated_arrival_counts_once(spark, tmp_path):
     lines = delimited.read_lines(spark, str(folder))
     for _ in range(2):
         continuous.stage_arrival(lines, 0, layout, TODAY)
+    # Nor does one that failed between its rows and its counts.
+    remove(spark, f"{layout.checked}/arrival=0/_SUCCESS")
+    continuous.stage_arrival(lines, 0, layout, TODAY)
     counts = spark.read.parquet(layout.progress).agg(F.sum("seen"), F.sum("countRecord")).first()
     assert tuple(counts) == (5, 5)
     assert continuous.read_checked(spark, layout).count() == 6
+
+
+def test_a_release_reads_its_own_arrivals_only(spark, tmp_path):
+    """One late row of a large file brings back one arrival, and not the rows around it."""
+    folder = tmp_path / "in"
+    layout = continuous.Layout(str(tmp_path / "run"))
+    for arrival in range(4):
+        folder.mkdir(exist_ok=True)
+        deliver(folder, f"AA{arrival}", 5, 0)
+        lines = delimited.read_lines(spark, str(folder)).filter(F.col("file_name").startswith(f"AA{arrival}"))
+        continuous.stage_arrival(lines, arrival, layout, TODAY)
+    name = "AA3_1234_12345_01012021.csv"
+    other = "AA0_1234_12345_01012021.csv"
+    releases = spark.createDataFrame([(name, [3], 5, True), (other, [0, 3], 5, False)], RELEASE)
+    asked = []
+
+    def read(arrivals):
+        asked.append(arrivals)
+        return good_rows_with_arrival(continuous.read_arrivals(spark, layout, arrivals))
+
+    for limit in ({}, {"broadcast_bytes": -1}):
+        out = released_rows(releases, read, **limit)
+        got = {(r.file_name, r.is_complete): r["count"] for r in out.groupBy("file_name", "is_complete").count().collect()}
+        assert got == {(name, True): 5, (other, False): 5}
+    assert asked == [[0, 3]] * 2
+    paths = {f.split("/arrival=")[1][0] for f in continuous.read_arrivals(spark, layout, [0, 3]).inputFiles()}
+    assert paths == {"0", "3"}
+
+
+def test_a_batch_without_releases_leaves_nothing(spark, tmp_path):
+    layout = continuous.Layout(str(tmp_path / "run"))
+    continuous.release_batch(spark.createDataFrame([], RELEASE), 0, layout)
+    assert not exists(spark, f"{layout.releases}/batch_id=0")
