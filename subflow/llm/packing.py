@@ -19,8 +19,9 @@ is written beside its place and then moved there, so a repeated task replaces it
 equal one.
 
 Words are encoded once per Python worker: the tokenizer splits at white space and between
-a letter and the punctuation that ends a word, so a text's ids are those of its pieces,
-which a bounded memory holds. Texts with special tokens in them are encoded whole.
+a letter and the punctuation that ends a word, so a text's ids are those of its words, and
+a word's those of its two pieces. A bounded memory holds them. Texts with special tokens
+in them are encoded whole.
 
 Results in special cases: a null or empty text has the end id alone. Rows without an id
 come first. Rows that repeat are documents of their own. An empty table gives no file and
@@ -47,18 +48,16 @@ from subflow.llm.common import Scratch, file_system, publish, texts_of
 
 MAGIC = b"FWBITS01"
 BLOCK_IDS = 1 << 14
-# Pieces that a worker remembers; when there are more, it starts anew.
-REMEMBERED = 400_000
+# Words and pieces that a worker remembers; when there are more, it starts anew.
+REMEMBERED = 500_000
 TEXTS_AT_ONCE = 64
 # Pieces that go to the tokenizer as one text, between special tokens.
 PIECES_AT_ONCE = 512
 
-# A letter, the ASCII punctuation after it, and then white space or the end. Letters are
-# ASCII or U+00C0 to U+00FF without the two signs there; the apostrophe is left out, as the
-# tokenizer keeps some letters with it.
-_ENDING = re.compile(
-    rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)"
-)
+# A word that ends in a letter and then ASCII punctuation. Letters are ASCII or U+00C0 to
+# U+00FF without the two signs there; the apostrophe is left out, as the tokenizer keeps
+# some letters with it.
+_ENDING = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 def width(vocabulary: int) -> int:
@@ -83,7 +82,7 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers, by way of remembered pieces."""
+    """Ids of texts as little-endian 32-bit numbers, by way of remembered words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,29 +95,31 @@ class Encoder:
         self.between, self.between_id = (
             next((token.content, number) for number, token in special.items()) if special else ("", -1)
         )
-        self.pieces: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.special or any(s in t for s in self.special) for t in texts]
-        split = [
-            [] if w else _ENDING.sub(rb"\1 \2", t.encode("utf-8", "replace").lower()).split()
-            for t, w in zip(texts, whole, strict=True)
-        ]
-        new = set().union(*split) - self.pieces.keys()
-        if len(self.pieces) + len(new) > REMEMBERED:
-            self.pieces.clear()
+        split = [[] if w else t.encode("utf-8", "replace").lower().split() for t, w in zip(texts, whole, strict=True)]
+        new = {word for word in set().union(*split) if word not in self.known}
+        if len(self.known) + 2 * len(new) > REMEMBERED:
+            self.known.clear()
             new = set().union(*split)
-        self._learn(list(new))
-        known = self.pieces
+        self._learn(new)
+        known = self.known
         return [
-            self._whole(t) if w else b"".join([known[piece] for piece in pieces])
-            for t, w, pieces in zip(texts, whole, split, strict=True)
+            self._whole(t) if w else b"".join([known[word] for word in words])
+            for t, w, words in zip(texts, whole, split, strict=True)
         ]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        ended = [(word, *match.groups()) for word in words if (match := _ENDING.fullmatch(word))]
+        pieces = words.difference(word for word, _, _ in ended)
+        pieces.update(piece for _, *pair in ended for piece in pair)
+        new = [piece for piece in pieces if piece not in known]
         groups = [new[i : i + PIECES_AT_ONCE] for i in range(0, len(new), PIECES_AT_ONCE)]
         joined = [self.between.join([piece.decode("utf-8") for piece in group]) for group in groups]
         for group, made in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
@@ -126,8 +127,10 @@ class Encoder:
             ends = (np.flatnonzero(ids == self.between_id) * 4).tolist()
             data, start = ids.tobytes(), 0
             for piece, end in zip(group, [*ends, len(data)], strict=True):
-                self.pieces[piece] = data[start:end]
+                known[piece] = data[start:end]
                 start = end + 4
+        for word, core, tail in ended:
+            known[word] = known[core] + known[tail]
 
 
 @lru_cache(maxsize=1)
