@@ -67,6 +67,19 @@ def publish(fs: pafs.FileSystem, made: str, final: str) -> None:
         fs.move(made, final)
 
 
+def without(docs: DataFrame, gone: DataFrame, same: Column, scratch: Scratch) -> DataFrame:
+    """``docs`` without those that a line of ``gone`` is the same as.
+
+    ``gone`` is written and measured; up to ``BROADCAST_BYTES`` it goes to every task and
+    the documents stay where they are, beyond that both sides are shuffled.
+    """
+    gone = scratch.stage(gone, "gone")
+    width = 8 * len(gone.columns)
+    if gone.count() * width <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, same, "left_anti")
+
+
 def word_count(text: Column) -> Column:
     """How many `[^\\x20\\x09-\\x0D]+` a text holds; null holds none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, " " * len(WHITE_SPACE))

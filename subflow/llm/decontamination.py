@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subflow.llm.common import Scratch, texts_of
+from subflow.llm.common import Scratch, texts_of, without
 
 Q = 8
 # Edits that an item may have, as a share of its folded characters.
@@ -282,6 +282,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"), "text")
     found = contaminated(keyed, benchmark, scratch, ("_id", "_hash"))
-    bad = scratch.stage(found.select("_id", "_hash").distinct(), "bad")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    return without(docs, found.select("_id", "_hash").distinct(), same, scratch)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subflow.llm.common import BROADCAST_BYTES, Scratch, texts_of
+from subflow.llm.common import BROADCAST_BYTES, Scratch, mixed, texts_of, without
 from subflow.llm.components import components
 from subflow.llm.shingles import set_key, shared, shingle_set
 from subflow.operators.spread import attach_per_key
@@ -96,8 +96,6 @@ def _samples(shingles: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def _bands(samples: np.ndarray, settings: Settings) -> np.ndarray:
-    from subflow.llm.common import mixed
-
     rows = samples.reshape(-1, settings.bands, settings.rows).astype(np.uint64)
     out = np.broadcast_to(np.arange(settings.bands, dtype=np.uint64), rows.shape[:2]).copy()
     with np.errstate(over="ignore"):
@@ -108,8 +106,6 @@ def _bands(samples: np.ndarray, settings: Settings) -> np.ndarray:
 
 def _odd_sketches(samples: np.ndarray) -> np.ndarray:
     """One row of bytes per document: the parity of the samples at each of the bits."""
-    from subflow.llm.common import mixed
-
     n, k = samples.shape
     position = np.arange(k, dtype=np.uint64) << np.uint64(32)
     bit = mixed(position[None, :] | samples.astype(np.uint64)) % np.uint64(SKETCH_BITS)
@@ -376,9 +372,9 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "kept")
     found = scratch.stage(near_duplicates(docs, settings).select("doc_id", "kept"), "decided")
-    gone = found.filter("not kept").select("doc_id").distinct()
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = without(docs, gone, docs["doc_id"] == F.col("_gone"), scratch)
     again = scratch.stage(again.select("doc_id"), "again")
     if not again.limit(1).count():
         return left.select(*docs.columns)

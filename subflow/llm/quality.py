@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subflow.functions.cells import once
-from subflow.llm.common import BROADCAST_BYTES, WHITE_SPACE, Scratch
+from subflow.llm.common import BROADCAST_BYTES, WHITE_SPACE, Scratch, without
 from subflow.operators.spread import attach_per_key
 
 # Fixed values of the base rules.
@@ -319,4 +319,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"), "text", "lang", "source")
     bad = judged(keyed, scratch, ["_id", "_hash"]).filter("not kept").select("_id", "_hash").distinct()
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    return docs.join(scratch.stage(bad, "bad"), same, "left_anti")
+    return without(docs, bad, same, scratch)
