@@ -269,7 +269,9 @@ def contaminated(
                         lines.append((ready.ids[n], start, end, edits))
                 hits = pd.DataFrame(lines, columns=["item_id", "start", "end", "edits"])
                 known = batch[list(id_cols)].iloc[rows].reset_index(drop=True)
-                yield pd.concat([known, hits], axis=1).astype({"item_id": "Int64"})
+                yield pd.concat([known, hits], axis=1).astype(
+                    {"item_id": "Int64", "start": "int64", "end": "int64", "edits": "int32"}
+                )
 
         part = scratch.stage(chosen.mapInPandas(search, schema), "found")
         found = part if found is None else found.unionByName(part)

@@ -170,10 +170,10 @@ def count_features(pages: DataFrame) -> DataFrame:
                 for token in found if marked else ():
                     kept = token.inside and not token.excluded
                     (inside if kept else outside)[token.feature] += 1 if token.words is None else token.words
-            names = [*{**inside, **outside}]
-            yield pd.DataFrame(
-                {"feature": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]}
-            )
+            if names := [*{**inside, **outside}]:
+                yield pd.DataFrame(
+                    {"feature": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]}
+                )
 
     counts = pages.select("html").mapInPandas(count, "feature string, inside bigint, outside bigint")
     return counts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))

@@ -160,7 +160,7 @@ def fused(rows: DataFrame, languages: list[str], scratch: Scratch) -> DataFrame:
     known = placed.filter("text_lang is not null")
     counts = known.groupBy("host", "domain", "suffix", "declared", "text_lang").agg(F.count("*").alias("n"))
     counts = scratch.stage(counts, "counts")
-    world = _counts(counts, [], n, "world").first()["world"] or [0.0] * n
+    world = [x or 0.0 for x in _counts(counts, [], n, "world").first()["world"]]
     all_pages = F.array(*[F.lit(float(x)) for x in world])
     base = F.array(*[F.lit((x + 1) / (sum(world) + n)) for x in world])
     zeros = F.array(*[F.lit(0.0)] * n)
