@@ -148,7 +148,7 @@ class Network:
         to_top = to_vectors[owner, :FILTERS] / counts[owner, None]
         for k in (1, 2):  # the maximum's and the minimum's share goes to the chunks that have it
             part = slice(k * FILTERS, (k + 1) * FILTERS)
-            equal = active == vectors[owner, part]
+            equal = (active == vectors[owner, part]).astype(np.float32)
             to_top += to_vectors[owner, part] * equal / np.add.reduceat(equal, starts, axis=0)[owner]
         to_top = (to_top * (top > 0)).astype(np.float32)
         g["filter_bias"] = to_top.sum(axis=0)

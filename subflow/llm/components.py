@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from subflow.llm.common import Scratch
 
+# Edges are a small part of what they come from, and so are the files that hold them.
+SHARE = 1 / 16
+
 
 def _summary(edges: DataFrame) -> tuple[int, int]:
     """Equal for equal sets of edges."""
@@ -43,12 +46,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     The root is the least node of a component. Each round is written to shared storage,
     and the rounds, about the logarithm of the longest path, end when nothing changes.
     """
-    now = scratch.stage(edges.filter("a != b").select("a", "b").distinct(), "edges")
+    now = scratch.stage(edges.filter("a != b").select("a", "b").distinct(), "edges", SHARE)
     before = None
     while (seen := _summary(now)) != before and seen[0]:
         before = seen
-        wide = scratch.stage(_star(now, large=True), "large-star")
+        wide = scratch.stage(_star(now, large=True), "large-star", SHARE)
         scratch.drop(now)
-        now = scratch.stage(_star(wide, large=False), "small-star")
+        now = scratch.stage(_star(wide, large=False), "small-star", SHARE)
         scratch.drop(wide)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -299,18 +299,19 @@ def near_duplicates(
         .groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
         "classes",
+        share=1 / 8,
     )
     firsts = classes.filter("rep is not null").select("key", "rep")
     about = signed.join(firsts, "key").filter("doc_id = rep")
-    reps = scratch.stage(about.select("key", "rep", "n_shingles", "sketch", "bands"), "reps")
+    reps = scratch.stage(about.select("key", "rep", "n_shingles", "sketch", "bands"), "reps", 1 / 4)
     in_buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     ends = in_buckets.groupBy("bucket").agg(F.min("rep").alias("hub_rep"), F.max("rep").alias("high"))
     shared_buckets = ends.filter("hub_rep != high").select("bucket", "hub_rep")
     members = in_buckets.join(shared_buckets, "bucket").filter("rep != hub_rep")
-    members = scratch.stage(members, "members")
+    members = scratch.stage(members, "members", 1 / 4)
 
-    pairs = scratch.stage(_against_hubs(members.select("rep", "hub_rep"), reps, settings), "pairs")
-    links = scratch.stage(_confirmed(texts, pairs, settings), "links")
+    pairs = scratch.stage(_against_hubs(members.select("rep", "hub_rep"), reps, settings), "pairs", 1 / 4)
+    links = scratch.stage(_confirmed(texts, pairs, settings), "links", 1 / 2)
     scratch.drop(pairs)
     roots = components(scratch, links)
 
@@ -319,7 +320,7 @@ def near_duplicates(
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     labels = _labelled(reps.select("rep", "key"), roots).join(degree, "key", "left")
     left = _pending(members.select("bucket", "rep"), labels.fillna(0, ["links"]))
-    left = scratch.stage(left, "left")
+    left = scratch.stage(left, "left", 1 / 4)
     scratch.drop(members)
     most = left.groupBy("bucket").agg(F.max("links").alias("links"))
     second = (
@@ -330,23 +331,24 @@ def near_duplicates(
     )
     met = left.join(second, "bucket").filter("rep != hub_rep")
     across = met.filter("label != hub_label").select("rep", "hub_rep")
-    pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs")
-    more = scratch.stage(_confirmed(texts, pairs, settings), "links")
+    pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs", 1 / 4)
+    more = scratch.stage(_confirmed(texts, pairs, settings), "links", 1 / 2)
     scratch.drop(pairs)
     links = links.union(more)
     roots = components(scratch, links)
 
     rest = _pending(met.select("bucket", "rep"), _labelled(reps.select("rep", "key"), roots))
     rest = rest.join(reps.select("key", "n_shingles", "sketch"), "key")
-    rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest")
+    rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest", 1 / 4)
     scratch.drop(left, reps)
-    roots = components(scratch, links.union(_in_blocks(texts, rest, settings)))
+    last = scratch.stage(_in_blocks(texts, rest, settings), "links", 1 / 2)
+    roots = components(scratch, links.union(last))
     scratch.drop(rest)
 
     labelled = _labelled(classes, roots)
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = scratch.stage(
-        labelled.join(least, "root").select("key", "component_id", "n"), "components"
+        labelled.join(least, "root").select("key", "component_id", "n"), "components", 1 / 8
     )
     result = attach_per_key(
         signed.select("doc_id", "n_shingles", "key").filter("key is not null"),
@@ -371,11 +373,11 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     Of rows that repeat an id, one stays. A row without an id always stays.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.stage(near_duplicates(docs, settings).select("doc_id", "kept"), "decided")
+    found = scratch.stage(near_duplicates(docs, settings).select("doc_id", "kept"), "decided", 1 / 4)
     gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     left = without(docs, gone, docs["doc_id"] == F.col("_gone"), scratch)
-    again = scratch.stage(again.select("doc_id"), "again")
+    again = scratch.stage(again.select("doc_id"), "again", 1 / 16)
     if not again.limit(1).count():
         return left.select(*docs.columns)
     once = left.join(again, "doc_id", "left_anti")
