@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 # Fixed values. The dot before "csv" stands for any character.
 NAME_PATTERN = r"^\w{3}_\d{4}_\d{5}_\d{8}.csv$"
-DATE_PATTERN = r"(\d{8})"
 DATE_PLACE = (16, 8)  # in a valid name
 BAD_NAME = "filename doesn't correct"
 BAD_DATE = "date later than now"
@@ -38,16 +37,8 @@ def _date_of(digits: Column) -> Column:
     return F.when(~digits.endswith("0000"), date)
 
 
-def mask_date(name: Column) -> Column:
-    """The first eight digits of any name as a date.
-
-    31022021 is 2021-02-28; month 13, day 0 or 32 and year 0 give null.
-    """
-    return _date_of(F.regexp_extract(name, DATE_PATTERN, 1))
-
-
 def file_date(name: Column) -> Column:
-    """The same for a name known to be valid, where the digits have their place."""
+    """The date in a valid name: 31022021 is 2021-02-28; month 13, day 0 or 32 and year 0 give null."""
     return _date_of(F.substring(name, *DATE_PLACE))
 
 

@@ -51,7 +51,6 @@ def test_name_mask(spark, name, ok):
 def test_mask_date(spark, digits, date):
     name = f"KLM_1234_12345_{digits}.csv"
     want = date and datetime.date.fromisoformat(date)
-    assert values(spark, [name], names.mask_date(F.col("v"))) == [want]
     assert values(spark, [name], names.file_date(F.col("v"))) == [want]
 
 
