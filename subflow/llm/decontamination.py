@@ -284,5 +284,6 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"), "text")
     found = contaminated(keyed, benchmark, scratch, ("_id", "_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    return without(docs, found.select("_id", "_hash").distinct(), same, scratch)
+    same = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_hash == F.col("_gone_hash"))
+    gone = found.select("_id", "_hash").distinct().toDF("_gone_id", "_gone_hash")
+    return without(docs, gone, same, scratch)

@@ -217,12 +217,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     plan = plan_mix(docs, scratch, weights, max_repeats)
     row = ["doc_id", "source", "size", "hash"]
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    decided = plan.groupBy(*row).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows"))
-    decided = scratch.stage(decided.filter("_times > 0"), "copies").withColumnsRenamed({c: f"_{c}" for c in row})
-    mine = docs.select("*", *[c.alias(f"_my_{name}") for c, name in zip(_measured(), row[2:], strict=True)])
-    same = mine["doc_id"].eqNullSafe(F.col("_doc_id")) & mine["source"].eqNullSafe(F.col("_source"))
-    same &= (F.col("_my_size") == F.col("_size")) & (F.col("_my_hash") == F.col("_hash"))
-    once = mine.join(decided.filter("_rows = 1"), same)
-    again = mine.join(decided.filter("_rows > 1"), same).dropDuplicates([f"_{c}" for c in row])
-    copies_of = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
-    return once.unionByName(again).withColumn("_copy", copies_of).select(*docs.columns)
+    decided = plan.groupBy(*row).agg(F.sum(times).cast("int").alias("_mix_times"), F.count("*").alias("_mix_rows"))
+    decided = scratch.stage(decided.filter("_mix_times > 0"), "copies").withColumnsRenamed({c: f"_mix_{c}" for c in row})
+    mine = docs.select("*", *[c.alias(f"_mix_my_{name}") for c, name in zip(_measured(), row[2:], strict=True)])
+    same = mine["doc_id"].eqNullSafe(F.col("_mix_doc_id")) & mine["source"].eqNullSafe(F.col("_mix_source"))
+    same &= (F.col("_mix_my_size") == F.col("_mix_size")) & (F.col("_mix_my_hash") == F.col("_mix_hash"))
+    once = mine.join(decided.filter("_mix_rows = 1"), same)
+    again = mine.join(decided.filter("_mix_rows > 1"), same).dropDuplicates([f"_mix_{c}" for c in row])
+    copies_of = F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))
+    return once.unionByName(again).withColumn("_mix_copy", copies_of).select(*docs.columns)

@@ -318,5 +318,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"), "text", "lang", "source")
     bad = judged(keyed, scratch, ["_id", "_hash"]).filter("not kept").select("_id", "_hash").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    return without(docs, bad, same, scratch)
+    same = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_hash == F.col("_gone_hash"))
+    return without(docs, bad.toDF("_gone_id", "_gone_hash"), same, scratch)
