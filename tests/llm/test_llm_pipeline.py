@@ -2,12 +2,14 @@
 
 import public_tokenizers
 import pytest
+from compare import difference
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from subflow.llm import decontamination, minhash, mixing, quality
 from subflow.llm.common import Scratch, table
+from subflow.llm.oracle import ORACLE
 from subflow.llm.queries import QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -54,6 +56,11 @@ def test_a_line_for_every_row(spark, name, by):
     assert QUERIES[name](spark, TABLES).count() == table(spark, TABLES, by).count()
 
 
+@pytest.mark.parametrize("name", ORACLE)
+def test_query_equals_its_sql(spark, name):
+    assert difference(QUERIES[name](spark, TABLES), ORACLE[name], TABLES) == ""
+
+
 def test_planted_items_are_found(spark):
     """Every document that holds an item's words is found, and no other with few edits."""
     plain = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t or "").split())
