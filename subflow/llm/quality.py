@@ -4,8 +4,9 @@ Each text gives counts of its words, symbols, repeated lines and repeated runs o
 words. The base rules reject short and repetitive texts. Of the others, a vector of
 transformed statistics is held against its language and source: location and scatter are
 minimum-covariance-determinant estimates, that is, they come from the closest share
-``INLIERS`` of the group, found again in concentration steps from medians and
-interquartile ranges, then from all that lie within the usual distance. A text is
+``INLIERS`` of the group, found again in concentration steps from medians and median
+absolute deviations, then from all that lie within the usual distance. So a group stands
+junk up to nearly half of its texts; beyond, junk is what is usual in it. A text is
 rejected when its squared Mahalanobis distance is one that only ``REJECTED_SHARE`` of a normal
 cloud exceeds.
 
@@ -40,7 +41,7 @@ MAX_REPEAT_PERCENT = 30
 # The statistics, each with the least standard deviation that counts.
 FLOORS = {"log_words": 0.5, "log_word_length": 0.1, "symbols": 0.1, "lines_again": 0.15, "words_again": 0.15}
 NAMES = list(FLOORS)
-INLIERS = 0.75
+INLIERS = 0.5
 CONCENTRATION_STEPS = 2
 PRIOR_DOCS = 50.0
 # Share of a normal cloud that lies beyond the distance at which a text is rejected.
@@ -249,20 +250,27 @@ def _with_distance(scratch: Scratch, rows: DataFrame, estimates: DataFrame) -> D
     return near.withColumn("distance", _distance()).drop("centre", "inverse")
 
 
-def _first_sums(rows: DataFrame) -> DataFrame:
-    """Medians and interquartile ranges of each group, in the form of sums.
+def _first_sums(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Medians and median absolute deviations of each group, in the form of sums.
 
-    A normal cloud's interquartile range is 1.349 standard deviations.
+    A normal cloud's standard deviation is 1.4826 median absolute deviations.
     """
-    quarters = [F.percentile_approx(a, [0.25, 0.5, 0.75], 1000).alias(f"q_{a}") for a in NAMES]
-    found = rows.groupBy("group").agg(F.count("*").alias("n"), *quarters)
+    middles = rows.groupBy("group").agg(
+        F.count("*").alias("n"), *[F.percentile_approx(a, 0.5, 1000).alias(f"q_{a}") for a in NAMES]
+    )
+    middles = scratch.stage(middles, "middles")
+    near = attach_per_key(
+        rows, middles, on="group", weight="n", is_staged=True, broadcast_bytes=BROADCAST_BYTES
+    )
+    away = [F.percentile_approx(F.abs(F.col(a) - F.col(f"q_{a}")), 0.5, 1000).alias(f"d_{a}") for a in NAMES]
+    found = near.groupBy("group").agg(*away).join(middles, "group")
     columns = []
     for i, a in enumerate(NAMES):
-        middle = F.col(f"q_{a}")[1]
+        middle = F.col(f"q_{a}")
         columns.append((middle * F.col("n")).alias(f"s_{a}"))
         for b in NAMES[: i + 1]:
-            spread = (F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349 if a == b else F.lit(0.0)
-            columns.append(((spread * spread + middle * F.col(f"q_{b}")[1]) * F.col("n")).alias(f"p_{a}_{b}"))
+            spread = F.col(f"d_{a}") * 1.4826 if a == b else F.lit(0.0)
+            columns.append(((spread * spread + middle * F.col(f"q_{b}")) * F.col("n")).alias(f"p_{a}_{b}"))
     return found.select("group", "n", *columns)
 
 
@@ -277,7 +285,7 @@ def judged(docs: DataFrame, scratch: Scratch, keep: list[str], text_col: str = "
     )
     fit = rows.filter("not base_failed").select("group", *NAMES)
     groups = scratch.stage(rows.groupBy("group", "tongue").agg(F.count("*").alias("n")), "groups")
-    estimates = _estimates(groups, scratch.stage(_first_sums(fit), "start"), 1.0)
+    estimates = _estimates(groups, scratch.stage(_first_sums(scratch, fit), "start"), 1.0)
     for _ in range(CONCENTRATION_STEPS):
         near = _with_distance(scratch, fit, estimates)
         limits = near.groupBy("group").agg(

@@ -85,6 +85,15 @@ def test_chi_square_quantiles():
     assert quality.chi_square_quantile(0.975, 5) == pytest.approx(12.832502, abs=1e-5)
 
 
+def test_a_group_may_be_two_fifths_junk(documents, words):
+    pick = random.Random(21)
+    rows = [(i, " ".join(words(pick.randrange(30, 300))), "en", "hot") for i in range(300)]
+    junk = lambda: " ".join(w + "#*$%"[: pick.randrange(1, 5)] for w in words(pick.randrange(30, 300)))
+    rows += [(1000 + i, junk(), "en", "hot") for i in range(200)]
+    kept = {r.doc_id for r in quality.judge(documents(rows)).collect() if r.kept}
+    assert kept == set(range(300))
+
+
 def test_good_rows_stay_as_they_are(documents, words, judged):
     docs = documents(judged[0]).withColumnsRenamed({"n_chars": "distance"})
     good = quality.keep_good(docs)
