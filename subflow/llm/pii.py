@@ -151,8 +151,8 @@ def identifier(text: str, words: list[re.Match], i: int) -> tuple[int, int] | No
 
 
 def _contexts(text: str) -> np.ndarray:
-    """A slot of the bit table for the two words before each word."""
-    numbers = word_numbers(re.sub(r"[0-9]", "9", text))
+    """A slot of the bit table for the two words before each word, folded as in patterns."""
+    numbers = word_numbers(_plain(text))
     padded = np.concatenate((np.zeros(2, np.uint64), numbers))
     with np.errstate(over="ignore"):
         both = mixed(padded[:-2] * np.uint64(0x9E3779B97F4A7C15) + padded[1:-1])

@@ -161,6 +161,17 @@ def test_contexts_find_what_no_form_matches(documents, words):
     assert pii.personal_data(documents([])).collect() == []
 
 
+@pytest.mark.parametrize("before", ["Über uns", "Écrivez À", "Звоните Нам", "Ελάτε ΕΔΩΣ"])
+def test_contexts_with_capitals_beyond_ascii(documents, words, before):
+    plain = [(i, " ".join(words(30))) for i in range(20)]
+    taught = [(100 + i, f"{' '.join(words(5))} {before} +1 (168) 555-52{i:02} {' '.join(words(5))}") for i in range(8)]
+    # Lower and upper case are one context, so these count in its total.
+    text = f"so {before} 555 7788 99 now"
+    found = {r.doc_id: r for r in pii.personal_data(documents([*plain, *taught, (500, text), (501, text.lower())])).collect()}
+    at = text.index("555")
+    assert found[500].spans == found[501].spans == f"phone:{at}:{at + len('555 7788 99')}"
+
+
 ITEM = "The quick answer, found by nobody at all, is that seven brown horses jumped over the frozen river twice."
 
 
