@@ -21,7 +21,7 @@ equal one.
 Words are encoded once per Python worker: the tokenizer splits at white space and between
 a letter and the punctuation that ends a word, so a text's ids are those of its words, and
 a word's those of its two pieces. A bounded memory holds them. Texts with special tokens
-in them are encoded whole.
+in them, in whatever case, are encoded whole.
 
 Results in special cases: a null or empty text has the end id alone. Rows without an id
 come first. Rows that repeat are documents of their own. An empty table gives no file and
@@ -91,15 +91,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         special = self.tokenizer.get_added_tokens_decoder()
-        self.special = [token.content for token in special.values()]
+        # Words are lower-cased, so what is special in lower case alone must not be one either.
+        self.special = [token.content.encode().lower() for token in special.values()]
         self.between, self.between_id = (
             next((token.content, number) for number, token in special.items()) if special else ("", -1)
         )
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.special or any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.encode("utf-8", "replace").lower().split() for t, w in zip(texts, whole, strict=True)]
+        lower = [t.encode("utf-8", "replace").lower() for t in texts]
+        whole = [not self.special or any(s in t for s in self.special) for t in lower]
+        split = [[] if w else t.split() for t, w in zip(lower, whole, strict=True)]
         new = {word for word in set().union(*split) if word not in self.known}
         if len(self.known) + 2 * len(new) > REMEMBERED:
             self.known.clear()

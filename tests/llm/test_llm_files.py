@@ -161,6 +161,13 @@ def test_pieces_give_the_librarys_ids(library, monkeypatch):
             assert np.frombuffer(data, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("special", ["<|EndOfText|>", "<|STARTOFTEXT|>", "<|endoftext|>", "<|startoftext|>"])
+def test_special_tokens_in_any_case(library, special):
+    texts = [special, f"{special}abc", f"{special}7 x", f"One {special}é two, x{special}y.", f"{special} {special.upper()}b", "plain words"]
+    for text, data in zip(texts, packing.Encoder(TOKENIZER).encode(texts), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files(spark, documents, library, words):
     rows = [(i * 7 % 101, " ".join(words(i % 40)) + ", Ünd. \U0001f600") for i in range(101)]
     rows += [(200, None), (201, ""), (202, "word. " * 40_000), (5, "again"), (None, "no id")]
