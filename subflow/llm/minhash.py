@@ -13,8 +13,9 @@ lies in different components of a bucket is compared in blocks of bounded size;
 link is lost, and a group of copies costs time in proportion to its size.
 
 Results in special cases: a null or empty text, or one without words, has an empty set
-and is linked with nothing. Rows that repeat a document are copies of it. A row without
-an id is no class's smallest and gets a null component; it is kept. Only the id and
+and is linked with nothing. Rows that repeat a document are copies of it. Texts that share
+an id are documents of their own: classes are known by number, and one whose first id is
+another's too takes its number from its key. A row without an id is no class's smallest and gets a null component; it is kept. Only the id and
 text columns are read, so other columns may have any name. An empty table gives an
 empty result.
 """
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subflow.llm.common import BROADCAST_BYTES, Scratch, mixed, texts_of, without
@@ -114,8 +115,12 @@ def _odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1)
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def signatures(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, key, bands, sketch`` of every document; no key for an empty set."""
+    """``doc_id, hash, n_shingles, key, bands, sketch`` of every document; no key for an empty set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,6 +134,7 @@ def signatures(docs: DataFrame, settings: Settings, id_col: str, text_col: str)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
+                    "hash": batch["hash"],
                     "n_shingles": [len(s) for s in sets],
                     "key": [set_key(s) if len(s) else None for s in sets],
                     "bands": [bands[at[i]] if i in at else None for i in range(len(sets))],
@@ -136,8 +142,10 @@ def signatures(docs: DataFrame, settings: Settings, id_col: str, text_col: str)
                 }
             )
 
-    schema = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_id bigint, hash bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"
+    chosen = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), _text_hash(text_col).alias("hash"), F.col(text_col).alias("text")
+    )
     return chosen.mapInPandas(sign, schema)
 
 
@@ -214,17 +222,29 @@ def _labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _pending(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, rep) of the buckets that still hold more than one component."""
-    labelled = members.join(labels, "rep").withColumn("label", F.xxhash64("root"))
+    """Members (bucket, number) of the buckets that still hold more than one component."""
+    labelled = members.join(labels, "number").withColumn("label", F.xxhash64("root"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     return labelled.join(several.filter("low != high").select("bucket"), "bucket")
 
 
 def _against_hubs(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (rep, hub_rep) that size and odd sketch allow, with their keys."""
-    about = reps.select("rep", "key", F.col("n_shingles").alias("n"), "sketch")
-    hub_about = about.toDF("hub_rep", "hub", "hub_n", "hub_sketch")
-    return _alike(pairs.distinct().join(about, "rep").join(hub_about, "hub_rep"), settings)
+    """The pairs (number, hub_number) that size and odd sketch allow, with their keys."""
+    about = reps.select("number", "rep", "key", F.col("n_shingles").alias("n"), "sketch")
+    hub_about = about.toDF("hub_number", "hub_rep", "hub", "hub_n", "hub_sketch")
+    met = pairs.distinct().join(about, "number").join(hub_about, "hub_number")
+    return _alike(met.drop("number", "hub_number"), settings)
+
+
+def _numbered(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """``key, rep, number`` of the classes with an id: the id, or where classes share it, one by the key."""
+    firsts = classes.filter("rep is not null").select("key", "rep")
+    reused = firsts.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("is_reused"))
+    reused = scratch.stage(reused, "reused", 1 / 16)
+    if not reused.limit(1).count():
+        return firsts.withColumn("number", F.col("rep"))
+    number = F.when(F.col("is_reused"), F.xxhash64("key")).otherwise(F.col("rep"))
+    return firsts.join(reused, "rep", "left").select("key", "rep", number.alias("number"))
 
 
 def _in_blocks(docs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
@@ -251,9 +271,9 @@ def _in_blocks(docs: DataFrame, members: DataFrame, settings: Settings) -> DataF
     limit = settings.sketch_limit
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
+        sets = _sets(group, settings.words)
         group = group.drop_duplicates("key")
         keys = [bytes(k) for k in group["key"]]
-        sets = _sets(group, settings.words)
         bits, size = _bits(group["sketch"]), group["n_shingles"].to_numpy()
         root = {k: bytes(r) for k, r in zip(keys, group["root"], strict=True)}
         above: dict[bytes, bytes] = {}
@@ -290,6 +310,11 @@ def near_duplicates(
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; see the module's text."""
+    return _decided(docs, settings, id_col, text_col).drop("hash")
+
+
+def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_duplicates``, with the text's hash."""
     settings = settings or Settings()
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -301,16 +326,16 @@ def near_duplicates(
         "classes",
         share=1 / 8,
     )
-    firsts = classes.filter("rep is not null").select("key", "rep")
+    firsts = _numbered(scratch, classes)
     about = signed.join(firsts, "key").filter("doc_id = rep")
-    reps = scratch.stage(about.select("key", "rep", "n_shingles", "sketch", "bands"), "reps", 1 / 4)
-    in_buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    ends = in_buckets.groupBy("bucket").agg(F.min("rep").alias("hub_rep"), F.max("rep").alias("high"))
-    shared_buckets = ends.filter("hub_rep != high").select("bucket", "hub_rep")
-    members = in_buckets.join(shared_buckets, "bucket").filter("rep != hub_rep")
+    reps = scratch.stage(about.select("key", "rep", "number", "n_shingles", "sketch", "bands"), "reps", 1 / 4)
+    in_buckets = reps.select("number", F.explode("bands").alias("bucket"))
+    ends = in_buckets.groupBy("bucket").agg(F.min("number").alias("hub_number"), F.max("number").alias("high"))
+    shared_buckets = ends.filter("hub_number != high").select("bucket", "hub_number")
+    members = in_buckets.join(shared_buckets, "bucket").filter("number != hub_number")
     members = scratch.stage(members, "members", 1 / 4)
 
-    pairs = scratch.stage(_against_hubs(members.select("rep", "hub_rep"), reps, settings), "pairs", 1 / 4)
+    pairs = scratch.stage(_against_hubs(members.select("number", "hub_number"), reps, settings), "pairs", 1 / 4)
     links = scratch.stage(_confirmed(texts, pairs, settings), "links", 1 / 2)
     scratch.drop(pairs)
     roots = components(scratch, links)
@@ -318,26 +343,26 @@ def near_duplicates(
     # The first hub has met all of its bucket and has left it. Where several components
     # remain, the class with most links is held against the others.
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    labels = _labelled(reps.select("rep", "key"), roots).join(degree, "key", "left")
-    left = _pending(members.select("bucket", "rep"), labels.fillna(0, ["links"]))
+    labels = _labelled(reps.select("number", "key"), roots).join(degree, "key", "left")
+    left = _pending(members.select("bucket", "number"), labels.fillna(0, ["links"]))
     left = scratch.stage(left, "left", 1 / 4)
     scratch.drop(members)
     most = left.groupBy("bucket").agg(F.max("links").alias("links"))
     second = (
         left.join(most, ["bucket", "links"])
         .groupBy("bucket")
-        .agg(F.min("rep").alias("hub_rep"))
-        .join(labels.select(F.col("rep").alias("hub_rep"), F.xxhash64("root").alias("hub_label")), "hub_rep")
+        .agg(F.min("number").alias("hub_number"))
+        .join(labels.select(F.col("number").alias("hub_number"), F.xxhash64("root").alias("hub_label")), "hub_number")
     )
-    met = left.join(second, "bucket").filter("rep != hub_rep")
-    across = met.filter("label != hub_label").select("rep", "hub_rep")
+    met = left.join(second, "bucket").filter("number != hub_number")
+    across = met.filter("label != hub_label").select("number", "hub_number")
     pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs", 1 / 4)
     more = scratch.stage(_confirmed(texts, pairs, settings), "links", 1 / 2)
     scratch.drop(pairs)
     links = links.union(more)
     roots = components(scratch, links)
 
-    rest = _pending(met.select("bucket", "rep"), _labelled(reps.select("rep", "key"), roots))
+    rest = _pending(met.select("bucket", "number"), _labelled(reps.select("number", "rep", "key"), roots))
     rest = rest.join(reps.select("key", "n_shingles", "sketch"), "key")
     rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest", 1 / 4)
     scratch.drop(left, reps)
@@ -351,14 +376,16 @@ def near_duplicates(
         labelled.join(least, "root").select("key", "component_id", "n"), "components", 1 / 8
     )
     result = attach_per_key(
-        signed.select("doc_id", "n_shingles", "key").filter("key is not null"),
+        signed.select("doc_id", "hash", "n_shingles", "key").filter("key is not null"),
         by_key,
         on="key",
         weight="n",
         is_staged=True,
         broadcast_bytes=BROADCAST_BYTES,
-    ).select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    ).select("doc_id", "hash", "n_shingles", "component_id")
+    alone = signed.filter("key is null").select(
+        "doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id")
+    )
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return (
         result.union(alone)
@@ -370,15 +397,24 @@ def near_duplicates(
 def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The documents without those that a smaller id stands for; columns as they were.
 
-    Of rows that repeat an id, one stays. A row without an id always stays.
+    Rows are known by id and text, so a text goes only if it is a near copy itself. Of an
+    id's texts that are none, that of the least hash stays, once. A row without an id
+    always stays.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.stage(near_duplicates(docs, settings).select("doc_id", "kept"), "decided", 1 / 4)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    left = without(docs, gone, docs["doc_id"] == F.col("_gone"), scratch)
-    again = scratch.stage(again.select("doc_id"), "again", 1 / 16)
-    if not again.limit(1).count():
+    found = scratch.stage(_decided(docs, settings).select("doc_id", "hash", "kept"), "decided", 1 / 4)
+    gone = found.filter("not kept").select("doc_id", "hash")
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id")
+    again = again.agg(F.count("*").alias("n"), F.min("hash").alias("first")).filter("n > 1")
+    again = scratch.stage(again.select("doc_id", "first"), "again", 1 / 16)
+    is_repeated = again.limit(1).count() > 0
+    if is_repeated:
+        others = found.filter("kept").join(again, "doc_id").filter("hash != first")
+        gone = gone.union(others.select("doc_id", "hash"))
+    gone = gone.distinct().toDF("_gone_id", "_gone_hash")
+    same = (docs["doc_id"] == F.col("_gone_id")) & (_text_hash("text") == F.col("_gone_hash"))
+    left = without(docs, gone, same, scratch)
+    if not is_repeated:
         return left.select(*docs.columns)
     once = left.join(again, "doc_id", "left_anti")
     repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -88,6 +88,21 @@ def test_one_of_each_group_stays(spark, documents, words):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 7, 8]
 
 
+def test_an_ids_texts_are_judged_apart(documents, words):
+    """A near copy goes without the other text of its id; links between texts of one id count."""
+    a, b, chain = words(60), words(40), words(60)
+    ends = [chain[:1] + words(2) + chain[3:], chain[:-3] + words(2) + chain[-1:]]
+    rows = [(1, " ".join(a)), (2, " ".join(a) + " more"), (2, " ".join(b))]
+    # The middle one links 9 with a text of 10 that 9's doesn't meet; 10 has both.
+    rows += [(10, " ".join(chain)), (10, " ".join(ends[0])), (9, " ".join(ends[1]))]
+    found = minhash.near_duplicates(documents(rows)).collect()
+    five = [len(shingles(t, 5)) for _, t in rows]
+    want = [(1, 1), (2, 1), (2, 2), (10, 9), (10, 9), (9, 9)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted((d, n, c) for (d, c), n in zip(want, five))
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_one(documents(rows + rows[2:3])).collect())
+    assert kept == sorted([rows[0], rows[2], rows[5]])
+
+
 def test_empty_table(documents):
     assert minhash.near_duplicates(documents([])).collect() == []
     assert minhash.keep_one(documents([])).collect() == []
