@@ -6,6 +6,11 @@ page that its markup or its class names call something else), every tag below ze
 its name. One linear scan finds the contiguous run with the highest sum. What lies in it
 and isn't in an excluded part, is put out block by block.
 
+A form, or an element whose names hold a hint, may be the wrapper of the whole page. It is
+no part of its own if it holds most of the page's words and ``LIFTED`` times those that no
+part holds, and the article where one is marked; comments never are a wrapper. An article below a wrapper that isn't in a part
+by its element (a menu, a footer, what is hidden) counts anew, if no other stands free.
+
 The weights are log-odds from labelled pages: those that mark their article themselves
 (``<article>``, ``<main>``, ``itemprop="articleBody"``) label their own tokens as inside
 or outside. Spark counts tokens by feature over all such pages; features are names of a
@@ -39,15 +44,21 @@ BLOCKS = set(
 )
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split()
+    "samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 EXCLUDED = set(
     "head title nav footer header aside form menu dialog search button select option textarea input fieldset "
-    "label legend script style noscript template iframe object embed applet svg math canvas audio video map".split()
+    "label legend script style noscript template iframe object embed applet svg canvas audio video map "
+    "annotation annotation-xml".split()
 )
 RAW = "script style textarea title noscript template iframe xmp noembed noframes".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = ("article", "main")
+FORMS = ("form", "fieldset")
+# A wrapper holds so many times the words that no part holds.
+LIFTED = 4
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 # Words in class, id or role that name a part other than the article.
@@ -58,6 +69,7 @@ _HINT = re.compile(
     r"complementary|contentinfo|navigation|search)(?:$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|shoutbox)(?:$|[\s_-])", re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _BODY = re.compile(r"""itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?main""", re.I)
@@ -82,28 +94,76 @@ class Token:
         self.breaks, self.excluded, self.inside = breaks, excluded, inside
 
 
+class Wrapper:
+    """An element that is a part by a hint or as a form, with the words below it and its own."""
+
+    __slots__ = ("above", "may_lift", "in_article", "words", "own", "articles", "free")
+
+    def __init__(self, above, may_lift, in_article):
+        self.above, self.may_lift, self.in_article = above, may_lift, in_article
+        self.words = self.own = self.articles = self.free = 0
+
+
+def wrapping(wrappers: list[Wrapper]) -> tuple[frozenset[int], bool]:
+    """Those that wrap the page, and whether articles in parts count anew.
+
+    The first stands for the page. At most one at a time holds most of its words.
+    """
+    for part in wrappers:
+        part.articles = part.free
+    for part in reversed(wrappers[1:]):  # those below come later
+        wrappers[part.above].words += part.words
+        wrappers[part.above].articles += part.articles
+    page = wrappers[0]
+    lifted, last, own, free = set(), 0, page.own, page.free
+    for i, part in enumerate(wrappers[1:], 1):
+        if part.above != last or not part.may_lift or 2 * part.words <= page.words or part.words < LIFTED * own:
+            continue
+        # Where articles are marked, what has none of them wraps none.
+        if part.in_article or not free and (part.articles or not page.articles):
+            lifted.add(i)
+            last, own, free = i, own + part.own, free + part.free
+    return frozenset(lifted), not free and page.articles > 0
+
+
 def tokens(page: str) -> tuple[list[Token], bool]:
     """The page's tokens, and whether it marks its article."""
+    found, marked, wrappers = _tokens(page, frozenset(), False)
+    if len(wrappers) > 1:
+        lifted, anew = wrapping(wrappers)
+        if lifted or anew:
+            found, marked, _ = _tokens(page, lifted, anew)
+    return found, marked
+
+
+def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token], bool, list[Wrapper]]:
     found: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, starts an excluded part, starts the article
-    excluded = links = inside = 0
+    # Name, how much it adds to the excluded parts, starts the article, fixed part, wrapper.
+    stack: list[tuple[str, int, bool, bool, int]] = []
+    excluded = links = inside = fixed = 0
+    wrappers, within = [Wrapper(0, False, False)], 0
     block, marked, at = "", False, 0
 
     def text_token(raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
         n = len(text.split())
         if text:
+            if not fixed:
+                wrappers[within].words += n
+                wrappers[within].own += n
             feature = f"word {'apart' if excluded else (block or 'body') + (' link' if links else '')}"
             found.append(Token(feature, n, text, False, excluded > 0, inside > 0))
 
     def leave(index: int) -> None:
-        nonlocal excluded, links, inside, block
-        for name, apart, article in stack[index:]:
+        nonlocal excluded, links, inside, block, fixed, within
+        for name, apart, article, is_fixed, _ in stack[index:]:
             excluded -= apart
             inside -= article
             links -= name == "a"
+            fixed -= is_fixed
         del stack[index:]
-        block = next((name for name, _, _ in reversed(stack) if name in BLOCKS), "")
+        block = next((entry[0] for entry in reversed(stack) if entry[0] in BLOCKS), "")
+        within = stack[-1][4] if stack else 0
 
     for match in _TOKEN.finditer(page):
         if match.start() > at:
@@ -134,19 +194,32 @@ def tokens(page: str) -> tuple[list[Token], bool]:
                 leave(index)
         attributes = match["attr"] or ""
         apart = name in EXCLUDED
-        article = False
+        is_fixed = apart and name not in FORMS
+        article, named = False, ""
         if attributes:
-            if not apart and name not in ("html", "body", *MARKS):
+            if not is_fixed and name not in ("html", "body"):
                 named = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
-                apart = bool(_HINT.search(named)) or bool(_HIDDEN.search(attributes))
+                if name not in MARKS:
+                    is_fixed = bool(_HIDDEN.search(attributes))
+                    apart = apart or is_fixed or bool(_HINT.search(named))
             article = bool(_BODY.search(attributes))
         article = article or name in MARKS
         marked |= article
         # A part's own header is the article's, not the page's.
         if name == "header" and inside:
-            apart = False
+            apart = is_fixed = False
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, apart, article))
+            if apart and not is_fixed:
+                wrappers.append(Wrapper(within, not _COMMENTS.search(named), inside > 0))
+                within = len(wrappers) - 1
+                apart = within not in lifted
+            # An article that names itself something else, such as a comment, is none.
+            counts = article and not fixed and not inside and not _HINT.search(named)
+            wrappers[within].free += counts
+            if anew and counts:
+                apart = -excluded
+            stack.append((name, int(apart), article, is_fixed, within))
+            fixed += is_fixed
             excluded += apart
             inside += article
             links += name == "a"
@@ -156,7 +229,7 @@ def tokens(page: str) -> tuple[list[Token], bool]:
         found.append(Token(feature, None, "", name in BLOCKS, excluded > 0, inside > 0))
     if at < len(page):
         text_token(page[at:])
-    return found, marked
+    return found, marked, wrappers
 
 
 def count_features(pages: DataFrame) -> DataFrame:

@@ -123,6 +123,43 @@ def test_the_article_alone_is_main_text(spark, before, after):
     assert extraction.extract(pages.limit(0)).collect() == []
 
 
+MENU = "<nav><a href='/'>Home</a> and all the rest</nav>"
+FOOT = "<footer>All words of a footer line.</footer>"
+WRAPPERS = [
+    ("<form method=post>", "</form>"), ("<div class='layout with-sidebar'>", "</div>"), ("<div id=p class='page has-header'>", "</div>"),
+    ("<form><div class='nav-open'>", "</div></form>"),
+]
+
+
+@pytest.mark.parametrize("open_,close", WRAPPERS)
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_wrappers_of_the_page_are_no_parts(open_, close, mark):
+    weights = extraction.Weights({})
+    comments = f"<section class=comments><p>{'I agree with it. ' * 60}</p></section>"
+    aside = "<div class=sidebar><p>Other things to read</p></div>"
+    whole = f"<body>{open_}{MENU}<{mark}>{ARTICLE}</{mark}>{aside}{comments}{FOOT}{close}</body>"
+    assert extraction.main_text(whole, weights) == TEXT
+    assert extraction.main_text(f"<body><{mark}>{open_}{ARTICLE}{close}</{mark}></body>", weights) == TEXT
+    if mark != "div":  # a part that holds less than half of the words
+        more = f"<div class=related><p>{'Read this too. ' * 60}</p></div>"
+        assert extraction.main_text(f"{open_}<{mark}>{ARTICLE}</{mark}>{close}{more}", weights) == TEXT
+
+
+def test_parts_stay_parts():
+    weights = extraction.Weights({})
+    for part in ("<div class=comments><article class=comment>%s</article></div>", "<aside><article>%s</article></aside>", "<div class=sidebar>%s</div>", "<div hidden><article>%s</article></div>"):
+        page = f"<article>{ARTICLE}</article>{part % ('<p>' + 'Some other words. ' * 15 + '</p>')}"
+        assert extraction.main_text(page, weights) == TEXT, part
+        assert extraction.main_text(page.replace("<article>" + ARTICLE + "</article>", f"<div>{ARTICLE}</div>"), weights) == TEXT, part
+    assert extraction.main_text("<form>" * 2_000 + "word", weights) == "word"
+
+
+def test_formulas_are_text():
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>E=mc^2</annotation></semantics></math>"
+    page = f"<article><p>It holds that {formula} here and everywhere.</p></article>"
+    assert extraction.main_text(page, extraction.Weights({})) == "It holds that E=mc2 here and everywhere."
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 15, 16, 17, 20, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003, dtype=np.uint64).astype(np.uint32)
