@@ -18,7 +18,8 @@ document's q-grams off in one numpy step. The items are a stated set, held in bl
 number of items; a block means one more pass over the documents.
 
 Results in special cases: null, empty or letterless texts and items hold and occur in
-nothing. Items too short for the bound (it needs one shared q-gram) must occur exactly.
+nothing. The bound needs one shared q-gram, so items of less than two q-grams' length must
+occur exactly, and of those up to 31 characters some may have an edit less than their share.
 Equal items are all reported. Rows that repeat are searched alike. A row without an id is
 reported with a null id. Only id and text columns are read. An empty table on either side
 gives an empty result.
@@ -90,9 +91,8 @@ def _slots(grams: np.ndarray) -> np.ndarray:
 
 
 def budget(length: int, share: float = EDIT_SHARE) -> int:
-    """Edits allowed to an item of that length; none where the lemma would bound nothing."""
-    edits = int(share * length)
-    return edits if length - Q + 1 - Q * edits >= 1 else 0
+    """Edits allowed to an item of that length, at most as many as the lemma bounds."""
+    return max(0, min(int(share * length), (length - Q) // Q))
 
 
 @dataclass

@@ -229,6 +229,18 @@ def test_alignment_equals_the_whole_table():
         assert edits(item, text[got[1] : got[2]]) == want
 
 
+def test_short_items_have_the_edits_that_the_lemma_bounds():
+    q, share = decontamination.Q, decontamination.EDIT_SHARE
+    for m in range(1, 400):
+        bounded = [e for e in range(int(share * m) + 1) if m - q + 1 - q * e >= 1]
+        assert decontamination.budget(m) == max(bounded, default=0)
+    for item in ("seven brown horses xy", "seven brown horses jump overly"):  # 21 and 30 folded characters
+        made, _ = decontamination.folded(item)
+        items = decontamination.Items([1], [made]).prepare()
+        edited = item[: len(item) // 2] + "q" + item[len(item) // 2 + 1 :]
+        assert [e for *_, e in decontamination.occurrences(f"so {edited} it is", items)] == [1]
+
+
 def test_mix_meets_its_targets(documents, words):
     pick = random.Random(6)
     rows = [(i, " ".join(words(pick.randrange(1, 60))), "en", pick.choice(["b", "a", "é", None])) for i in range(400)]
