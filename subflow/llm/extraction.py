@@ -190,7 +190,7 @@ def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token],
             leave(len(stack) - 1)
         if name in BLOCKS:  # an open paragraph, and what is open in it, ends at the next block
             index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if index is not None and not any(n in BLOCKS for n, _, _ in stack[index + 1 :]):
+            if index is not None and not any(entry[0] in BLOCKS for entry in stack[index + 1 :]):
                 leave(index)
         attributes = match["attr"] or ""
         apart = name in EXCLUDED

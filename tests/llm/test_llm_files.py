@@ -154,6 +154,11 @@ def test_parts_stay_parts():
     assert extraction.main_text("<form>" * 2_000 + "word", weights) == "word"
 
 
+def test_what_is_open_in_a_paragraph_ends_with_it():
+    page = "<form><article><p>One <b>bold <i>text<p>Two</i> more<li><b>item<li>last<div><p>end</div></article></form>"
+    assert extraction.main_text(page, extraction.Weights({})) == "One bold text\n\nTwo more\n\nitem\n\nlast\n\nend"
+
+
 def test_formulas_are_text():
     formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>E=mc^2</annotation></semantics></math>"
     page = f"<article><p>It holds that {formula} here and everywhere.</p></article>"
