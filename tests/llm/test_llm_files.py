@@ -155,8 +155,8 @@ def test_parts_stay_parts():
 
 
 def test_what_is_open_in_a_paragraph_ends_with_it():
-    page = "<form><article><p>One <b>bold <i>text<p>Two</i> more<li><b>item<li>last<div><p>end</div></article></form>"
-    assert extraction.main_text(page, extraction.Weights({})) == "One bold text\n\nTwo more\n\nitem\n\nlast\n\nend"
+    page = "<form><article><p>One <b>bold <i>text<p>Two</i> more<li><b>item<li>last<div><p>the end of it</div></article></form>"
+    assert extraction.main_text(page, extraction.Weights({})) == "One bold text\n\nTwo more\n\nitem\n\nlast\n\nthe end of it"
 
 
 def test_formulas_are_text():
