@@ -18,10 +18,8 @@ id (rows that repeat an id by the hash of their texts), and each range is one fi
 is written beside its place and then moved there, so a repeated task replaces it with an
 equal one.
 
-Words are encoded once per Python worker: the tokenizer splits at white space and between
-a letter and the punctuation that ends a word, so a text's ids are those of its words, and
-a word's those of its two pieces. A bounded memory holds them. Texts with special tokens
-in them, in whatever case, are encoded whole.
+Words are encoded once per Python worker, as long as its memory of bounded bytes holds
+them (see ``encoding``).
 
 Results in special cases: a null or empty text has the end id alone. Rows without an id
 come first. Rows that repeat are documents of their own. An empty table gives no file and
@@ -31,8 +29,6 @@ an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import json
-import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,20 +40,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subflow.llm import encoding
 from subflow.llm.common import Scratch, file_system, publish, texts_of
 
 MAGIC = b"FWBITS01"
 BLOCK_IDS = 1 << 14
-# Words and pieces that a worker remembers; when there are more, it starts anew.
-REMEMBERED = 500_000
-TEXTS_AT_ONCE = 64
-# Pieces that go to the tokenizer as one text, between special tokens.
-PIECES_AT_ONCE = 512
-
-# A word that ends in a letter and then ASCII punctuation. Letters are ASCII or U+00C0 to
-# U+00FF without the two signs there; the apostrophe is left out, as the tokenizer keeps
-# some letters with it.
-_ENDING = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
+# Words and pieces that a worker remembers, 64 bytes for each at most.
+REMEMBERED = 1_000_000
 
 
 def width(vocabulary: int) -> int:
@@ -81,58 +70,9 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
-class Encoder:
-    """Ids of texts as little-endian 32-bit numbers, by way of remembered words."""
-
+class Encoder(encoding.Encoder):
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        special = self.tokenizer.get_added_tokens_decoder()
-        # Words are lower-cased, so what is special in lower case alone must not be one either.
-        self.special = [token.content.encode().lower() for token in special.values()]
-        self.between, self.between_id = (
-            next((token.content, number) for number, token in special.items()) if special else ("", -1)
-        )
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lower = [t.encode("utf-8", "replace").lower() for t in texts]
-        whole = [not self.special or any(s in t for s in self.special) for t in lower]
-        split = [[] if w else t.split() for t, w in zip(lower, whole, strict=True)]
-        new = {word for word in set().union(*split) if word not in self.known}
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        known = self.known
-        return [
-            self._whole(t) if w else b"".join([known[word] for word in words])
-            for t, w, words in zip(texts, whole, split, strict=True)
-        ]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        ended = [(word, *match.groups()) for word in words if (match := _ENDING.fullmatch(word))]
-        pieces = words.difference(word for word, _, _ in ended)
-        pieces.update(piece for _, *pair in ended for piece in pair)
-        new = [piece for piece in pieces if piece not in known]
-        groups = [new[i : i + PIECES_AT_ONCE] for i in range(0, len(new), PIECES_AT_ONCE)]
-        joined = [self.between.join([piece.decode("utf-8") for piece in group]) for group in groups]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, "<u4")
-            ends = (np.flatnonzero(ids == self.between_id) * 4).tolist()
-            data, start = ids.tobytes(), 0
-            for piece, end in zip(group, [*ends, len(data)], strict=True):
-                known[piece] = data[start:end]
-                start = end + 4
-        for word, core, tail in ended:
-            known[word] = known[core] + known[tail]
+        super().__init__(path, REMEMBERED)
 
 
 @lru_cache(maxsize=1)
@@ -253,12 +193,11 @@ def write_tokens(
         bits = width(max(made.vocabulary, end_id + 1))
         for batch in batches:
             ids, texts = batch["doc_id"].astype("Int64").tolist(), texts_of(batch["text"])
-            for at in range(0, len(ids), TEXTS_AT_ONCE):
+            for start, stop in encoding.slices(texts):
                 if writer is None:
                     number = int(batch["part"].iloc[0])
                     writer = Writer(folder, number, bits)
-                encoded = made.encode(texts[at : at + TEXTS_AT_ONCE])
-                for doc_id, data in zip(ids[at : at + TEXTS_AT_ONCE], encoded, strict=True):
+                for doc_id, data in zip(ids[start:stop], made.encode(texts[start:stop]), strict=True):
                     known = None if doc_id is pd.NA else doc_id
                     writer.add(known, np.frombuffer(data + end, "<u4"))
         if writer is not None:
