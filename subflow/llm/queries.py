@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from subflow.llm import bytecnn, decontamination, extraction, langid, minhash, mixing, packing, pii, quality, warc
+from pyspark.sql import functions as F
+
+from subflow.llm import (
+    alignment,
+    bestfit,
+    bytecnn,
+    decontamination,
+    extraction,
+    langid,
+    minhash,
+    mixing,
+    negatives,
+    packing,
+    pii,
+    quality,
+    warc,
+)
 from subflow.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 1
 
 
@@ -61,6 +77,22 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.whole_vectors(table(spark, sf_dir, "embeddings"), seventh)
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path(TOKENIZER)
+    return bestfit.packed(table(spark, sf_dir, "documents"), tokenizer, END_ID)
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    return alignment.cross_tokenizer(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language_fusion": op2_language_fusion,
@@ -72,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contextual_pii": op8_contextual_pii,
     "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_byte_network": op10_byte_network,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
