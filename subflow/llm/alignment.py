@@ -27,6 +27,7 @@ an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,22 +36,27 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subflow.llm.common import Scratch, mixed, texts_of
-from subflow.llm.encoding import RunTable, gathered, run_hashes, slices, starts_of
+from subflow.llm.encoding import RunTable, gathered, run_hashes, slices, starts_of, word_hashes
 
 # Characters (or one text) that are encoded and aligned at once.
-CHARS_AT_ONCE = 1_000_000
-# Windows whose alignment a worker remembers, bytes it holds for each on average, and most.
-REMEMBERED = 500_000
-BYTES_PER_WINDOW = 48
+CHARS_AT_ONCE = 500_000
+WORDS_AT_ONCE = 512
+# Words and windows that a worker remembers, the ids and bytes it holds for each on
+# average, and most.
+WORDS, WINDOWS = 1_000_000, 400_000
+IDS_PER_WORD, BYTES_PER_WINDOW = 8, 48
 LONGEST = 1024
 # Links that a task adds up before it sorts them anew.
 LINKS_AT_ONCE = 2_000_000
 
 SPACE_MARK = "▁"
+# A space at the beginning or end, or after other white space: not one between words.
+UNEVEN_SPACE = r"^ | $|[\s\x0b\x{85}\p{Z}] "
 _SEED = np.array([[0x243F6A8885A308D3], [0x13198A2E03707344]], np.uint64)
 
 
@@ -82,16 +88,6 @@ class Side(Runs):
         super().__init__(tokens)
         self.spaced = np.array([t.startswith(b" ") for t in tokens], bool)
 
-    def gives_back(self, ids: list[np.ndarray], raw: list[bytes]) -> list[bool]:
-        """Whether each text's tokens are its bytes."""
-        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-        made = self.join(flat).tobytes()
-        if made == b"".join(raw):
-            ends = np.concatenate(([0], np.cumsum(self.lengths[flat])))[np.cumsum([len(x) for x in ids])]
-            if (ends == np.cumsum([len(r) for r in raw])).all():
-                return [True] * len(raw)
-        return [self.join(some).tobytes() == r for some, r in zip(ids, raw, strict=True)]
-
 
 @dataclass
 class Tokens:
@@ -103,12 +99,10 @@ class Tokens:
     may_cut: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[np.ndarray], side: Side) -> Tokens:
-        per_text = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-        may_cut = side.spaced[flat]
+    def of(cls, ids: np.ndarray, per_text: np.ndarray, side: Side) -> Tokens:
+        may_cut = side.spaced[ids]
         may_cut[starts_of(per_text)[per_text > 0]] = True
-        return cls(flat, starts_of(side.lengths[flat]), per_text, may_cut)
+        return cls(ids, starts_of(side.lengths[ids]), per_text, may_cut)
 
 
 class Aligner:
@@ -132,7 +126,9 @@ class Aligner:
         self.link_type = "<u4" if self.side_a.n * self.side_b.n <= 1 << 32 else "<u8"
         self.link_bytes = np.dtype(self.link_type).itemsize
         self.decimal = Runs([f"{n},".encode() for n in range(max(self.side_a.n, self.side_b.n))])
-        self.windows = RunTable(REMEMBERED, BYTES_PER_WINDOW * REMEMBERED, np.uint8, LONGEST)
+        self.splits = self._splits_at_spaces()
+        self.known = RunTable(WORDS, IDS_PER_WORD * WORDS, np.uint32, LONGEST)
+        self.windows = RunTable(WINDOWS, BYTES_PER_WINDOW * WINDOWS, np.uint8, LONGEST)
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
@@ -140,20 +136,102 @@ class Aligner:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(SPACE_MARK, " ").encode()
 
-    def tokens(self, texts: list[str]) -> tuple[Tokens, Tokens]:
-        """All tokens of both sides; none where either side doesn't give the text back."""
+    def _splits_at_spaces(self) -> bool:
+        """Whether both sides encode what begins with a space and follows anything else apart from the rest.
+
+        The byte-level splitter does, as only a run of white space begins with a space and
+        goes on to one. A piece model does if no piece has a space after something else.
+        """
+        about = json.loads(self.a.to_str())
+        splitter = about["pre_tokenizer"] or {}
+        if about["normalizer"] or splitter.get("type") != "ByteLevel" or not splitter["use_regex"] or splitter["add_prefix_space"]:
+            return False
+        pieces = (self.b.id_to_piece(n) for n in range(self.side_b.n))
+        return not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in pieces)
+
+    def _encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of whole texts; none where either side doesn't give the text back."""
         made = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        ids_a = [np.array(e.ids, np.uint32) for e in made]
-        ids_b = [np.array(ids, np.uint32) for ids in self.b.encode(texts, num_threads=1)]
-        raw = [f" {t}".encode() if t else b"" for t in texts]
+        ids = [(np.array(e.ids, np.uint32), np.array(p, np.uint32)) for e, p in zip(made, self.b.encode(texts, num_threads=1), strict=True)]
         none = np.empty(0, np.uint32)
         for i, text in enumerate(texts):
-            if not text:
-                ids_a[i] = ids_b[i] = none
-        for i, whole in enumerate(zip(self.side_a.gives_back(ids_a, raw), self.side_b.gives_back(ids_b, raw), strict=True)):
-            if not all(whole):
-                ids_a[i] = ids_b[i] = none
-        return Tokens.of(ids_a, self.side_a), Tokens.of(ids_b, self.side_b)
+            raw = f" {text}".encode()
+            if not text or any(side.join(some).tobytes() != raw for side, some in zip((self.side_a, self.side_b), ids[i], strict=True)):
+                ids[i] = none, none
+        return ids
+
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_words``, of words that aren't remembered, each encoded as a text of its own."""
+        runs, n_a, n_b = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start : start + WORDS_AT_ONCE]
+            ((a, b),) = self._encoded([" ".join(some)])
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            cuts = [np.searchsorted(at, ends) for at in (np.cumsum(self.side_a.lengths[a]), np.cumsum(self.side_b.lengths[b]))]
+            if len(a):
+                upto_a, upto_b = (cut + 1 for cut in cuts)
+                each = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+                begins = np.stack((upto_a - each[0], len(a) + upto_b - each[1]), 1).ravel()
+                runs.append(gathered(np.concatenate((a, b)), begins, np.stack(each, 1).ravel()))
+            else:  # a word that doesn't come back as its bytes spoils those with it
+                pairs = self._encoded(some)
+                runs += [ids for pair in pairs for ids in pair]
+                each = (np.array([len(pair[k]) for pair in pairs]) for k in (0, 1))
+            for n, made in zip((n_a, n_b), each, strict=True):
+                n.append(made)
+        return np.concatenate(runs), np.concatenate(n_a), np.concatenate(n_b)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words: runs of A's ids and then B's, and how many ids of each side."""
+        key, check = word_hashes(words)
+        slot = self.known.find(key, check)
+        is_known = slot >= 0
+        n_a, n = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
+        known, n[is_known] = self.known.runs(slot[is_known])
+        n_a[is_known] = self.known.extra[slot[is_known]]
+        new = np.flatnonzero(~is_known)
+        made, n_a[new], n_b = self._learned(words.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+        n[new] = n_a[new] + n_b
+        self.known.add(key[new], check[new], made, n[new], n_a[new])
+        starts = np.zeros(len(slot), np.int64)
+        starts[is_known], starts[new] = starts_of(n[is_known]), len(known) + starts_of(n[new])
+        return gathered(np.concatenate((known, made)), starts, n), n_a, n - n_a
+
+    def tokens(self, texts: list[str]) -> tuple[Tokens, Tokens]:
+        """All tokens of both sides; none where either side doesn't give the text back.
+
+        Where words stand between single spaces, each different one is encoded once; other
+        texts are encoded whole.
+        """
+        column = pa.array(texts, pa.large_string())
+        whole = np.ones(len(texts), bool)
+        if self.splits:
+            whole = pc.match_substring_regex(column, UNEVEN_SPACE).to_numpy(zero_copy_only=False)
+        apart = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), column)
+        split = pc.split_pattern(apart, " ")
+        words = split.flatten().dictionary_encode()
+        runs, n_a, n_b = self._words(words.dictionary)
+        at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = split.offsets.to_numpy()
+        first, n_words = first[:-1] - first[0], np.diff(first)
+        # A text that is encoded whole is a word of its own, and stands in an empty one's place.
+        alone = np.flatnonzero(whole)
+        made = self._encoded([texts[i] for i in alone])
+        at[first[alone]] = len(n_a) + np.arange(len(alone))
+        runs = np.concatenate([runs, *(ids for pair in made for ids in pair)])
+        n_a = np.append(n_a, np.array([len(a) for a, _ in made], np.int64))
+        n_b = np.append(n_b, np.array([len(b) for _, b in made], np.int64))
+        # A text with a word that doesn't come back has no tokens.
+        text = np.repeat(np.arange(len(texts)), n_words)
+        lost = np.zeros(len(texts), bool)
+        lost[text[n_a[at] == 0]] = True
+        stays = ~lost[text]
+        at, text = at[stays], text[stays]
+        start = starts_of(n_a + n_b)
+        return tuple(
+            Tokens.of(gathered(runs, begin[at], n[at]), np.bincount(text, n[at], len(texts)).astype(np.int64), side)
+            for begin, n, side in ((start, n_a, self.side_a), (start + n_a, n_b, self.side_b))
+        )
 
     def _groups(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
         """Windows of ``n_a`` and ``n_b`` tokens: links, how many each has, groups as text, its lengths.

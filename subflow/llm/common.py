@@ -40,14 +40,8 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{label}"
 
-    def stage(self, df: DataFrame, label: str, share: float = 1.0) -> DataFrame:
-        """Write ``df`` and read it back; with ``share``, in so many of the shuffle's files.
-
-        A table that is small beside the texts needs fewer files than these, in proportion.
-        """
-        if share < 1:
-            shuffled = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.coalesce(max(2, round(shuffled * share)))
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it back."""
         path = self.path(label)
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)

@@ -84,7 +84,8 @@ def run_hashes(numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found[0], found[1]
 
 
-def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text of a large Arrow array."""
     _, offsets, data = words.buffers()
     at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
@@ -226,7 +227,7 @@ class Encoder:
 
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different words, one after the other, and how many each has."""
-        key, check = _word_hashes(words)
+        key, check = word_hashes(words)
         slot = self.known.find(key, check)
         is_known = slot >= 0
         lengths, starts = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)

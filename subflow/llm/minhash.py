@@ -37,9 +37,14 @@ from subflow.llm.shingles import set_key, shared, shingle_set
 from subflow.operators.spread import attach_per_key
 
 SKETCH_BITS = 1024
-# Members that one task holds against a hub, and classes in a block that is compared in full.
+# Members that one task holds against a hub; classes in a block that is compared in full,
+# and their shingles.
 CHUNK = 64
-BLOCK = 256
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
+# A table of bits that tells which documents' texts are wanted: bits for each, and most.
+BITS_EACH = 16
+MOST_BITS = 8 * BROADCAST_BYTES
 # A pair at the threshold is missed by the bands, or dropped by the sketch, this seldom.
 MISS = 1e-5
 DROP = 1e-6
@@ -168,9 +173,33 @@ def _alike(pairs: DataFrame, settings: Settings) -> DataFrame:
     return pairs.mapInPandas(keep, "key binary, rep bigint, hub binary, hub_rep bigint")
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bit(number: Column, bits: int) -> tuple[Column, Column]:
+    """The bitmap that a number's bit is in, and its place there."""
+    place = F.pmod(F.xxhash64(number), F.lit(bits)) + 1
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+
+
+def _texts_of(scratch: Scratch, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The documents whose id is a ``rep``, and a few more.
+
+    Which ids are wanted goes to the scan of the documents as bitmaps of bounded size, so
+    that their texts are shuffled and few others. Only where more are wanted than
+    ``MOST_BITS`` allows for, more others come along; joins drop these.
+    """
+    wanted = scratch.stage(reps.distinct(), "wanted")
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * wanted.count()).bit_length()))
+    bucket, place = _bit(F.col("rep"), bits)
+    maps = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_map"))
+    maps = scratch.stage(maps, "bits")
+    bucket, place = _bit(F.col("doc_id"), bits)
+    byte = F.conv(F.hex(F.substring("_map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = docs.withColumn("_place", place).join(F.broadcast(maps), bucket == F.col("_bucket"))
+    return here.filter(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1).select("doc_id", "text")
+
+
+def _with_texts(scratch: Scratch, docs: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
     """Texts of the classes in ``wanted`` (key, rep, ...): those of their first documents."""
-    texts = docs.join(wanted.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    texts = _texts_of(scratch, docs, reps)
     return wanted.join(texts, F.col("doc_id") == F.col("rep")).drop("doc_id")
 
 
@@ -184,7 +213,7 @@ def _sets(group: pd.DataFrame, words: int) -> dict[bytes, np.ndarray]:
     return found
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (key, hub) that are linked, by their full sets.
 
     The members of a hub are dealt to tasks in chunks, each with one copy of the hub.
@@ -208,8 +237,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFra
         keys = [k for k, s in sets.items() if settings.linked(shared(s, head), len(s), len(head))]
         return pd.DataFrame({"a": keys, "b": [hub] * len(keys)})
 
+    reps = pairs.select("rep").union(pairs.select("hub_rep"))
     return (
-        _with_texts(docs, members.union(heads))
+        _with_texts(scratch, docs, members.union(heads), reps)
         .groupBy("hub", "chunk")
         .applyInPandas(confirm, "a binary, b binary")
     )
@@ -225,7 +255,7 @@ def _pending(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (bucket, number) of the buckets that still hold more than one component."""
     labelled = members.join(labels, "number").withColumn("label", F.xxhash64("root"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return labelled.join(several.filter("low != high").select("bucket"), "bucket")
+    return _per_bucket(labelled, several.filter("low != high").select("bucket"))
 
 
 def _against_hubs(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
@@ -240,21 +270,29 @@ def _numbered(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """``key, rep, number`` of the classes with an id: the id, or where classes share it, one by the key."""
     firsts = classes.filter("rep is not null").select("key", "rep")
     reused = firsts.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("is_reused"))
-    reused = scratch.stage(reused, "reused", 1 / 16)
+    reused = scratch.stage(reused, "reused")
     if not reused.limit(1).count():
         return firsts.withColumn("number", F.col("rep"))
     number = F.when(F.col("is_reused"), F.xxhash64("key")).otherwise(F.col("rep"))
     return firsts.join(reused, "rep", "left").select("key", "rep", number.alias("number"))
 
 
-def _in_blocks(docs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
+def _per_bucket(rows: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """Rows with what is known of their bucket; the rows of one bucket may be many."""
+    per_bucket = per_bucket.withColumn("_n", F.lit(1))
+    return attach_per_key(rows, per_bucket, on="bucket", weight="_n", broadcast_bytes=BROADCAST_BYTES)
+
+
+def _in_blocks(scratch: Scratch, docs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
     """Links that join what lies in different components of a bucket, block against block.
 
-    Every pair of a bucket's members meets in one task that holds two blocks. Only links
-    that join components are put out, so a task's result is smaller than its input.
+    Every pair of a bucket's members meets in one task that holds two blocks, of bounded
+    members and shingles. Only links that join components are put out, so a task's result
+    is smaller than its input.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn(
+    blocks = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = members.groupBy("bucket").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    dealt = _per_bucket(members, sizes).withColumn(
         "block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -297,7 +335,7 @@ def _in_blocks(docs: DataFrame, members: DataFrame, settings: Settings) -> DataF
         return pd.DataFrame(found, columns=["a", "b"])
 
     return (
-        _with_texts(docs, dealt)
+        _with_texts(scratch, docs, dealt, members.select("rep"))
         .groupBy("bucket", "one", "two")
         .applyInPandas(link, "a binary, b binary")
     )
@@ -310,11 +348,11 @@ def near_duplicates(
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; see the module's text."""
-    return _decided(docs, settings, id_col, text_col).drop("hash")
+    return _decided(docs, settings, id_col, text_col).drop("hash", "root")
 
 
 def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``near_duplicates``, with the text's hash."""
+    """As ``near_duplicates``, with the text's hash and its component's root."""
     settings = settings or Settings()
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -324,19 +362,18 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
         .groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
         "classes",
-        share=1 / 8,
     )
     firsts = _numbered(scratch, classes)
     about = signed.join(firsts, "key").filter("doc_id = rep")
-    reps = scratch.stage(about.select("key", "rep", "number", "n_shingles", "sketch", "bands"), "reps", 1 / 4)
+    reps = scratch.stage(about.select("key", "rep", "number", "n_shingles", "sketch", "bands"), "reps")
     in_buckets = reps.select("number", F.explode("bands").alias("bucket"))
     ends = in_buckets.groupBy("bucket").agg(F.min("number").alias("hub_number"), F.max("number").alias("high"))
     shared_buckets = ends.filter("hub_number != high").select("bucket", "hub_number")
-    members = in_buckets.join(shared_buckets, "bucket").filter("number != hub_number")
-    members = scratch.stage(members, "members", 1 / 4)
+    members = _per_bucket(in_buckets, shared_buckets).filter("number != hub_number")
+    members = scratch.stage(members, "members")
 
-    pairs = scratch.stage(_against_hubs(members.select("number", "hub_number"), reps, settings), "pairs", 1 / 4)
-    links = scratch.stage(_confirmed(texts, pairs, settings), "links", 1 / 2)
+    pairs = scratch.stage(_against_hubs(members.select("number", "hub_number"), reps, settings), "pairs")
+    links = scratch.stage(_confirmed(scratch, texts, pairs, settings), "links")
     scratch.drop(pairs)
     roots = components(scratch, links)
 
@@ -345,35 +382,31 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     labels = _labelled(reps.select("number", "key"), roots).join(degree, "key", "left")
     left = _pending(members.select("bucket", "number"), labels.fillna(0, ["links"]))
-    left = scratch.stage(left, "left", 1 / 4)
+    left = scratch.stage(left, "left")
     scratch.drop(members)
-    most = left.groupBy("bucket").agg(F.max("links").alias("links"))
-    second = (
-        left.join(most, ["bucket", "links"])
-        .groupBy("bucket")
-        .agg(F.min("number").alias("hub_number"))
-        .join(labels.select(F.col("number").alias("hub_number"), F.xxhash64("root").alias("hub_label")), "hub_number")
-    )
-    met = left.join(second, "bucket").filter("number != hub_number")
+    first = F.min_by(F.struct("number", "label"), F.struct(-F.col("links"), "number"))
+    second = left.groupBy("bucket").agg(first.alias("hub"))
+    second = second.select("bucket", F.col("hub.number").alias("hub_number"), F.col("hub.label").alias("hub_label"))
+    met = _per_bucket(left, second).filter("number != hub_number")
     across = met.filter("label != hub_label").select("number", "hub_number")
-    pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs", 1 / 4)
-    more = scratch.stage(_confirmed(texts, pairs, settings), "links", 1 / 2)
+    pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs")
+    more = scratch.stage(_confirmed(scratch, texts, pairs, settings), "links")
     scratch.drop(pairs)
     links = links.union(more)
     roots = components(scratch, links)
 
     rest = _pending(met.select("bucket", "number"), _labelled(reps.select("number", "rep", "key"), roots))
     rest = rest.join(reps.select("key", "n_shingles", "sketch"), "key")
-    rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest", 1 / 4)
+    rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest")
     scratch.drop(left, reps)
-    last = scratch.stage(_in_blocks(texts, rest, settings), "links", 1 / 2)
+    last = scratch.stage(_in_blocks(scratch, texts, rest, settings), "links")
     roots = components(scratch, links.union(last))
     scratch.drop(rest)
 
     labelled = _labelled(classes, roots)
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = scratch.stage(
-        labelled.join(least, "root").select("key", "component_id", "n"), "components", 1 / 8
+        labelled.join(least, "root").select("key", "component_id", "root", "n"), "components"
     )
     result = attach_per_key(
         signed.select("doc_id", "hash", "n_shingles", "key").filter("key is not null"),
@@ -382,9 +415,9 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
         weight="n",
         is_staged=True,
         broadcast_bytes=BROADCAST_BYTES,
-    ).select("doc_id", "hash", "n_shingles", "component_id")
+    ).select("doc_id", "hash", "n_shingles", "component_id", "root")
     alone = signed.filter("key is null").select(
-        "doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root")
     )
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return (
@@ -395,27 +428,30 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The documents without those that a smaller id stands for; columns as they were.
+    """The documents without those that another one stands for; columns as they were.
 
-    Rows are known by id and text, so a text goes only if it is a near copy itself. Of an
-    id's texts that are none, that of the least hash stays, once. A row without an id
-    always stays.
+    A document is an id and a text: unlike texts that share an id all stay. Of a component
+    the text of its least id stays, the one of least hash if that id has several there,
+    once. A row without an id always stays, and so does one without words.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.stage(_decided(docs, settings).select("doc_id", "hash", "kept"), "decided", 1 / 4)
+    found = scratch.stage(_decided(docs, settings).select("doc_id", "hash", "root", "kept"), "decided")
     gone = found.filter("not kept").select("doc_id", "hash")
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id")
-    again = again.agg(F.count("*").alias("n"), F.min("hash").alias("first")).filter("n > 1")
-    again = scratch.stage(again.select("doc_id", "first"), "again", 1 / 16)
-    is_repeated = again.limit(1).count() > 0
+    several = found.filter("kept and doc_id is not null and root is not null").groupBy("root")
+    several = several.agg(F.count("*").alias("n"), F.min("hash").alias("first")).filter("n > 1")
+    several = scratch.stage(several.select("root", "first"), "several")
+    is_repeated = several.limit(1).count() > 0
     if is_repeated:
-        others = found.filter("kept").join(again, "doc_id").filter("hash != first")
-        gone = gone.union(others.select("doc_id", "hash"))
+        alike = scratch.stage(found.filter("kept and doc_id is not null").join(several, "root"), "alike")
+        gone = gone.union(alike.filter("hash != first").select("doc_id", "hash"))
+    known = lambda doc_id, text_hash: (docs["doc_id"] == F.col(doc_id)) & (_text_hash("text") == F.col(text_hash))
     gone = gone.distinct().toDF("_gone_id", "_gone_hash")
-    same = (docs["doc_id"] == F.col("_gone_id")) & (_text_hash("text") == F.col("_gone_hash"))
-    left = without(docs, gone, same, scratch)
+    left = without(docs, gone, known("_gone_id", "_gone_hash"), scratch)
     if not is_repeated:
         return left.select(*docs.columns)
-    once = left.join(again, "doc_id", "left_anti")
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).select(*docs.columns)
+    # Rows that repeat are rare, and few even then: one of each stays.
+    again = alike.filter("hash = first").groupBy("doc_id", "hash").count().filter("count > 1").toDF("_id", "_hash", "_n")
+    again = scratch.stage(again, "again")
+    once = left.join(again, known("_id", "_hash"), "left_anti")
+    repeated = left.join(again, known("_id", "_hash"), "left_semi").withColumn("_hash", _text_hash("text"))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash")).select(*docs.columns)
