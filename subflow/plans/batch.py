@@ -79,12 +79,16 @@ def ingest_folder(
     nested: bool = False,
     start_by_file_date: bool = False,
 ) -> Outcome:
-    """Check, read and judge all files of a folder; the text is parsed once."""
-    lines = files.of_good_files(delimited.read_lines(spark, path, nested), as_of)
-    headers = staged(delimited.file_headers(lines), "headers")
-    records = delimited.header_records(lines, headers, is_staged=True)
-    listed = files.check_files(delimited.list_files(spark, path, nested), as_of)
+    """Check, read and judge all files of a folder; the text is scanned and parsed once.
+
+    Every file gets a verdict, whatever its name, and an empty one too.
+    """
+    listed = staged(delimited.read_files(spark, path, nested), "files")
+    good = files.of_good_files(listed, as_of)
+    headers = staged(delimited.file_headers(good), "headers")
+    records = delimited.header_records(good, headers, is_staged=True)
+    names = files.check_files(listed.select("file_name").distinct(), as_of)
     return Outcome(
         checked=staged(checked_records(records, as_of, start_by_file_date), "checked"),
-        file_rejects=files.failed_files(listed).unionByName(delimited.without_id_column(headers)),
+        file_rejects=files.failed_files(names).unionByName(delimited.without_id_column(headers)),
     )

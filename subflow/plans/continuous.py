@@ -1,7 +1,7 @@
 """The same run on a stream of files, as streaming queries over stage tables.
 
 * names: names of new files -> files rejected by their name, which are never opened
-* arrivals: lines of new files -> checked rows, rejects and counts, per micro-batch
+* arrivals: new files -> checked rows, rejects and counts, per micro-batch
 * statuses: counts -> reconciled files
 * releases: reconciled files and counts -> released rows -> the two stored tables
 """
@@ -56,6 +56,10 @@ class Layout:
     def checkpoint(self, query: str) -> str:
         return f"{self.root}/checkpoints/{query}"
 
+    def log(self, query: str) -> str:
+        """Where a stream of files writes down what it has found."""
+        return f"{self.root}/found/{query}"
+
 
 def names_query(names: DataFrame, layout: Layout, as_of=None, **trigger) -> StreamingQuery:
     """Files that fail by their name, from the listing alone."""
@@ -74,20 +78,20 @@ def read_file_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
     return read(layout.name_rejects).unionByName(read(layout.file_rejects))
 
 
-def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) -> None:
-    """One micro-batch of lines: rows first, their counts last.
+def stage_arrival(arrived: DataFrame, arrival: int, layout: Layout, as_of=None) -> None:
+    """One micro-batch of files, or of lines: rows first, their counts last.
 
     Counts appear only once the rows they count are all there. A repeated
     micro-batch replaces its own partition of every table; if its counts are there,
     it was done. The counts appear whole and under a name that stays, so the streams
     that read them see them once.
     """
-    spark = lines.sparkSession
+    spark = arrived.sparkSession
     if is_published(spark, layout.progress, arrival, by="arrival"):
         return
-    good_lines = files.of_good_files(lines, as_of)
-    headers = stage_once(delimited.file_headers(good_lines), "headers")
-    records = delimited.header_records(good_lines, headers, is_staged=True)
+    good = files.of_good_files(arrived, as_of)
+    headers = stage_once(delimited.file_headers(good), "headers")
+    records = delimited.header_records(good, headers, is_staged=True)
     write_batch(checked_records(records, as_of), layout.checked, arrival, by="arrival")
 
     checked = read_batch(spark, layout.checked, CHECKED, arrival, by="arrival")
@@ -105,10 +109,10 @@ def stage_arrival(lines: DataFrame, arrival: int, layout: Layout, as_of=None) ->
     discard(headers)
 
 
-def arrivals_query(lines: DataFrame, layout: Layout, as_of=None, **trigger) -> StreamingQuery:
-    """Rows of the files with a good name; the others are not opened."""
+def arrivals_query(arrived: DataFrame, layout: Layout, as_of=None, **trigger) -> StreamingQuery:
+    """Rows of the files with a good name, from a stream of files or of lines; the others are not opened."""
     return (
-        files.of_good_files(lines, as_of)
+        files.of_good_files(arrived, as_of)
         .writeStream.foreachBatch(
             lambda batch, arrival: stage_arrival(batch, arrival, layout, as_of)
         )

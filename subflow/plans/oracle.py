@@ -166,6 +166,30 @@ files AS (
 """
 _CSV = "WITH " + _DELIVERIES + _VERDICT + _CELLS + _JUDGED
 
+# Orders of one day as one file of a flat folder.
+_FLAT = (
+    "WITH "
+    + """
+days AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d,
+    date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS k
+  FROM orders),
+files AS (
+  SELECT o_orderkey, k % 13 = 0 AS is_empty, k % 13 <> 0 AND k % 23 <> 0 AS has_end,
+    CASE WHEN k % 19 = 0 THEN '.' ELSE '' END || CASE WHEN k % 17 = 0 THEN '_L' ELSE 'FL' END || '0_'
+      || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || '_00000_' || strftime(d, '%d%m%Y') || '.csv' AS file_name
+  FROM days),
+"""
+    + _VERDICT
+    + _CELLS
+    + _JUDGED.replace("WHERE error IS NULL", "WHERE error IS NULL AND NOT is_empty")
+)
+_FLAT_VERDICTS = """
+  SELECT DISTINCT file_name, CASE WHEN error IS NOT NULL THEN error
+    WHEN is_empty THEN 'File ' || file_name || ' is not valid: header has no # column' END AS error
+  FROM verdicts
+"""
+
 _JSON = (
     "WITH "
     + _CELLS
@@ -254,6 +278,11 @@ FROM items GROUP BY file_name, "isMoreYear\"""",
     + """SELECT file_name, error, "countRecord", "countGoodRecords"
 FROM (SELECT DISTINCT file_name, error FROM verdicts)
 LEFT JOIN success USING (file_name) LEFT JOIN statuses USING (file_name)""",
+    "flat_files": _end(_FLAT + _PER_FILE)
+    + f"""SELECT file_name, error, "countRecord", "countGoodRecords", rejected
+FROM ({_FLAT_VERDICTS})
+LEFT JOIN success USING (file_name) LEFT JOIN statuses USING (file_name)
+LEFT JOIN (SELECT file_name, count(*) AS rejected FROM reasoned WHERE reason IS NOT NULL GROUP BY 1) USING (file_name)""",
     "csv_rows": _end(_CSV) + f"SELECT {_ROW}, is_valid FROM packets",
     "csv_row_rejects": _end(_CSV)
     + "SELECT file_name, reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY 1, 2",
@@ -277,4 +306,8 @@ FROM packets JOIN release USING (file_name) WHERE is_valid""",
     "stream_json": _JSON_ROWS,
     "stream_files": _end(_CSV + _PER_FILE)
     + f"SELECT {_ROW}, is_complete FROM packets JOIN release USING (file_name) WHERE is_valid",
+    "stream_flat_files": _end(_FLAT + _PER_FILE)
+    + f"""SELECT {_ROW}, is_complete, NULL AS error
+FROM packets JOIN release USING (file_name) WHERE is_valid
+UNION ALL SELECT file_name, NULL, NULL, NULL, NULL, NULL, NULL, error FROM ({_FLAT_VERDICTS}) WHERE error IS NOT NULL""",
 }

@@ -276,6 +276,26 @@ def csv_stored(spark: SparkSession, sf: str) -> DataFrame:
     return short.unionByName(long)
 
 
+def _flat_files(spark: SparkSession, sf: str) -> str:
+    path = new_path(spark, "flat")
+    orders.write_flat_files(spark, sf, path)
+    return path
+
+
+def flat_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file of a folder, empty and hidden ones too, with its verdict and its counts."""
+    path = _flat_files(spark, sf)
+    done = batch.ingest_folder(spark, path, AS_OF)
+    rejected = done.row_rejects.groupBy("file_name").agg(F.count("*").alias("rejected"))
+    return _out(
+        delimited.list_files(spark, path)
+        .join(done.file_rejects, "file_name", "left")
+        .join(done.file_success, "file_name", "left")
+        .join(done.statuses, "file_name", "left")
+        .join(rejected, "file_name", "left")
+    )
+
+
 def json_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "json-rows")
     orders.write_json_rows(spark, sf, path)
@@ -424,6 +444,22 @@ def stream_files(spark: SparkSession, sf: str) -> DataFrame:
     return _released(spark, layout)
 
 
+def stream_flat_files(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``stream_files``, from the listing of a flat folder; and what was rejected by name or as empty."""
+    path = _flat_files(spark, sf)
+    layout = continuous.Layout(new_path(spark, "stream-flat"))
+    # Fewer files at a time than there are.
+    names = delimited.stream_files(spark, path, layout.log("names"), max_files=1000).select("file_name")
+    found = delimited.stream_files(spark, path, layout.log("arrivals"), max_files=1000)
+    run_until_idle(continuous.names_query(names, layout, AS_OF))
+    run_until_idle(continuous.arrivals_query(found, layout, AS_OF))
+    continuous.statuses_query(spark, layout, availableNow=True).awaitTermination()
+    _release(spark, layout)
+    rejects = _out(continuous.read_file_rejects(spark, layout))
+    released = _released(spark, layout).withColumn("error", F.lit(None).cast("string"))
+    return released.unionByName(rejects, allowMissingColumns=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bucket_totals": bucket_totals,
     "file_check": file_check,
@@ -453,6 +489,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_rows": csv_rows,
     "csv_row_rejects": csv_row_rejects,
     "csv_stored": csv_stored,
+    "flat_files": flat_files,
     "json_rows": json_subscriptions,
     "json_rejects": json_rejects,
     "stream_reconcile": stream_reconcile,
@@ -462,4 +499,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_store": stream_store,
     "stream_json": stream_json,
     "stream_files": stream_files,
+    "stream_flat_files": stream_flat_files,
 }

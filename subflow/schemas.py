@@ -49,10 +49,12 @@ COLLECTOR_STATUS = _schema(file_name=_TEXT, countGoodRecords=_LONG)
 # The list of a file's bucket, or a numbered part of it.
 BUCKET_LIST = _schema(isMoreYear=_FLAG, part=_INT, parts=_INT, list=T.ArrayType(STORED_ITEM))
 
-# A record with all that is known of it.
+# A record with all that is known of it. Where it stood in its file: the byte it began at,
+# null if that isn't known.
 CHECKED = T.StructType(
     [
         *RECORD.fields,
+        *_schema(record_at=_LONG).fields,
         *_schema(is_end=_FLAG).fields,
         *SUBSCRIPTION.fields,
         *_schema(reason=_TEXT, is_valid=_FLAG, errors=_ERRORS).fields,

@@ -2,7 +2,7 @@
 
 In :func:`records` one order is one file and its line items are the rows. In
 :func:`write_deliveries` the orders of a status, priority and year make one
-file, written out as text. Some rows and names are made faulty by rules on the
+file, written out as text, and in :func:`write_flat_files` those of a day. Some rows and names are made faulty by rules on the
 keys, so that every check has something to find.
 """
 
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subflow.functions.cells import once
-from subflow.schemas import END_MARK, RECORD
+from subflow.schemas import COLUMNS, END_MARK, RECORD
+from subflow.sources.discovery import file_store, write_whole
 
 AS_OF = "2000-06-30"
 
@@ -194,6 +195,60 @@ def write_deliveries(spark: SparkSession, sf_dir: str, path: str, parts: int = 1
     )
 
 
+# Line items of a day's file, about; beyond, the day has several.
+_FLAT_ROWS = 20_000
+_FIRST_DAY = "1992-01-01"
+
+
+def write_flat_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """One file per order date, all in one folder; some with names that Spark's sources pass over.
+
+    By the day's number: every 13th file is empty, every 17th begins with ``_`` (a good
+    name), every 19th with ``.`` (a bad one), and every 23rd has no end marker. Some rows
+    have a surplus cell with a line break in quotes.
+    """
+    day = F.col("o_orderdate").cast("date")
+    number = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
+    days = _orders(spark, sf_dir).agg(F.countDistinct(day)).first()[0] or 1
+    chunks = 1 + row_count(spark, sf_dir) // (days * _FLAT_ROWS)
+    chunk = F.pmod(F.xxhash64("o_orderkey"), F.lit(chunks))
+    name = F.concat(
+        F.when(number % 19 == 0, F.lit(".")).otherwise(F.lit("")),
+        F.when(number % 17 == 0, F.lit("_L")).otherwise(F.lit("FL")),
+        _digits(chunk, 1),
+        F.lit("_"),
+        _digits(number, 4),
+        F.lit("_"),
+        _digits(chunk, 5),
+        F.lit("_"),
+        F.date_format(day, "ddMMyyyy"),
+        F.lit(".csv"),
+    )
+    orders = _orders(spark, sf_dir).select(
+        "o_orderkey", name.alias("file_name"), (number % 13 == 0).alias("is_empty"), (number % 23 != 0).alias("end")
+    )
+    cells = _row_cells()
+    short = F.concat_ws(",", *[cells[c] for c in ("id_text", "start_text", "end_text", "duration_text")])
+    note = F.when(F.col("l_partkey") % 31 == 0, F.lit(',"of, two\n""lines"""')).otherwise(F.lit(""))
+    line = F.when(cells["price_text"].isNull(), short).otherwise(F.concat(short, F.lit(","), cells["price_text"], note))
+    columns = ["file_name", "is_empty", "end", "l_orderkey", "l_linenumber", "value"]
+    rows = _rows_of(spark, sf_dir, orders).withColumn("value", line).select(*columns)
+    # A day may have orders without line items.
+    bare = orders.drop("o_orderkey").distinct()
+    rows = rows.unionByName(bare, allowMissingColumns=True)
+
+    def write(group):
+        group = group.sort_values(["l_orderkey", "l_linenumber"])
+        first = group.iloc[0]
+        closing = [END_MARK] if first["end"] else []
+        text = "" if first["is_empty"] else "\n".join([",".join(COLUMNS), *group["value"].dropna(), *closing])
+        store, folder = file_store(path)
+        write_whole(store, f"{folder}/{first['file_name']}", text.encode(), making=f"{folder}-making")
+        return group[["file_name"]].head(1)
+
+    rows.groupBy("file_name").applyInPandas(write, "file_name string").count()
+
+
 def write_json_rows(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Line items as JSON lines; some without a price, some with a quoted one."""
     cells = _row_cells()
