@@ -48,7 +48,7 @@ CHARS_AT_ONCE = 500_000
 WORDS_AT_ONCE = 512
 # Words and windows that a worker remembers, the ids and bytes it holds for each on
 # average, and most.
-WORDS, WINDOWS = 1_000_000, 400_000
+WORDS, WINDOWS = 700_000, 300_000
 IDS_PER_WORD, BYTES_PER_WINDOW = 8, 48
 LONGEST = 1024
 # Links that a task adds up before it sorts them anew.
