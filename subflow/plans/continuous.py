@@ -21,15 +21,10 @@ from subflow.schemas import (
     RELEASE,
     RELEASED,
 )
-from subflow.sinks.tables import (
-    ensure_table,
-    is_published,
-    publish_batch,
-    read_batch,
-    store_items,
-    write_batch,
-)
+from subflow.sinks.manifest import is_published, publish_batch
+from subflow.sinks.tables import read_batch, store_items, write_batch
 from subflow.sources import delimited, staged
+from subflow.sources.published import stream_published
 from subflow.streaming import gate as stream_gate
 from subflow.streaming import reconcile
 from subflow.streaming.progress import file_progress, row_progress
@@ -145,16 +140,16 @@ def remove_arrivals(spark: SparkSession, layout: Layout, arrivals: list[int]) ->
         remove(spark, f"{layout.checked}/arrival={arrival}")
 
 
-def _progress_stream(spark: SparkSession, layout: Layout) -> DataFrame:
-    ensure_table(spark, layout.progress, PROGRESS, by="arrival")
-    return staged.stream_stage(spark, layout.progress, PROGRESS)
+def progress_stream(spark: SparkSession, layout: Layout, query: str, max_batches: int | None = None) -> DataFrame:
+    """Counts of the arrivals, in their order, as a query of that name sees them."""
+    return stream_published(spark, layout.progress, PROGRESS, layout.log(f"{query}-progress"), max_batches)
 
 
 def statuses_query(
     spark: SparkSession, layout: Layout, idle_ms: int = reconcile.IDLE_MS, **trigger
 ) -> StreamingQuery:
     idle = None if trigger.get("availableNow") else idle_ms
-    statuses = reconcile.reconcile_stream(_progress_stream(spark, layout), idle)
+    statuses = reconcile.reconcile_stream(progress_stream(spark, layout, "statuses"), idle)
     return staged.append_stream(
         statuses,
         layout.statuses,
@@ -187,7 +182,7 @@ def releases_query(
 ) -> StreamingQuery:
     found = staged.stream_stage(spark, layout.statuses, RECONCILED)
     statuses = found.filter("is_reconciled").drop("is_reconciled")
-    releases = stream_gate.gate_stream(statuses, _progress_stream(spark, layout), idle_ms)
+    releases = stream_gate.gate_stream(statuses, progress_stream(spark, layout, "releases"), idle_ms)
     return (
         releases.writeStream.foreachBatch(
             lambda batch, batch_id: release_batch(batch, batch_id, layout)

@@ -11,22 +11,21 @@ from subflow.schemas import (
     BUCKET_LIST,
     FILE_FAIL,
     PACKET_COLUMNS,
-    PROGRESS,
     RECONCILED,
     ROW_REJECT,
     ROW_STATUS,
 )
+from subflow.sinks.manifest import publish_batch
 from subflow.sinks.tables import (
     LONG_TABLE,
     SHORT_TABLE,
-    publish_batch,
     read_batch,
     read_stored,
     store_items,
     write_batch,
 )
 from subflow.sources import delimited, json_rows, orders
-from subflow.sources.staged import read_stage, stream_stage, write_stage
+from subflow.sources.staged import append_stream, read_stage, stream_stage, write_stage
 from subflow.streaming.progress import file_progress, row_progress
 from subflow.streaming.reconcile import reconcile_stream
 from subflow.streaming.session import run_until_idle
@@ -361,15 +360,11 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     lines = [row_progress(counts[0], 0), file_progress(success, 1), row_progress(counts[1], 2)]
     for arrival, progress in enumerate(lines):
         publish_batch(progress, layout.progress, arrival, by="arrival")
-    query = (
-        reconcile_stream(stream_stage(spark, layout.progress, PROGRESS, max_files=1), idle_ms=None)
-        .writeStream.format("parquet")
-        .option("path", layout.statuses)
-        .option("checkpointLocation", layout.checkpoint("statuses"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    progress = continuous.progress_stream(spark, layout, "statuses", max_batches=1)
+    stream = reconcile_stream(progress, idle_ms=None)
+    query = append_stream(stream, layout.statuses, layout.checkpoint("statuses"), processingTime="0 seconds")
+    query.processAllAvailable()
+    query.stop()
     found = read_stage(spark, layout.statuses, RECONCILED)
     return found.filter("is_reconciled").drop("is_reconciled")
 

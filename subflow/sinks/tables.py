@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from subflow.operators.lists import explode_lists
 from subflow.schemas import STORED_COLUMNS, STORED_ROW
-from subflow.workspace import exists, move_only_part
 
 # The two stored tables.
 SHORT_TABLE = "subscription"
@@ -27,25 +26,6 @@ def read_batch(
     return spark.read.schema(schema).parquet(f"{path}/{by}={batch_id}")
 
 
-def publish_batch(df: DataFrame, path: str, batch_id: int, by: str) -> None:
-    """A small partition as one file that appears whole, under a name that stays.
-
-    A stream reads every file name once. So a batch that is published again, after any
-    failure, is not read again: if the file is there, nothing is written.
-    """
-    spark = df.sparkSession
-    final = f"{path}/{by}={batch_id}/lines.parquet"
-    if exists(spark, final):
-        return
-    made = f"{path}/_new-{uuid.uuid4().hex}"
-    df.coalesce(1).write.parquet(made)
-    move_only_part(spark, made, final)
-
-
-def is_published(spark: SparkSession, path: str, batch_id: int, by: str) -> bool:
-    return exists(spark, f"{path}/{by}={batch_id}/lines.parquet")
-
-
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, by: str) -> None:
     """Make the folder of a partitioned table, so that a stream can be started on it."""
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy(by).parquet(path)

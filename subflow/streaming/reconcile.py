@@ -19,7 +19,11 @@ IDLE_MS = 3_600_000
 class ReconcileFile(StatefulProcessor):
     """Adds up a file's counts until they meet; then says how many rows were good.
 
-    An arrival's line counts once, however often it is read.
+    A file's lines come in the order of their arrivals (within one, the declared number
+    first), so a line that isn't beyond the last one has been counted. What is kept per
+    file are five numbers, however many arrivals it has. The last line is remembered as
+    long as the file isn't idle, also when its counts have met, so a line that is read
+    again then doesn't count either.
     """
 
     def __init__(self, idle_ms: int | None) -> None:
@@ -28,22 +32,20 @@ class ReconcileFile(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.counts = handle.getValueState(
-            "counts",
-            "declared bigint, seen bigint, good bigint, lines array<bigint>, last_active bigint",
+            "counts", "declared bigint, seen bigint, good bigint, line bigint, last_active bigint"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # Each call on the state is a round trip, so none is made without need.
         before = self.counts.get()
-        declared, seen, good, lines, active = before or (None, 0, 0, [], 0)
-        lines = set(lines)
+        declared, seen, good, last, active = before or (None, 0, 0, -1, 0)
         if before and self.idle_ms:
             self.handle.deleteTimer(active + self.idle_ms)
         for row in sorted(rows, key=lambda r: (r.arrival, r.countRecord is None)):
             line = 2 * row.arrival + (row.countRecord is None)
-            if line in lines:
+            if line <= last:
                 continue
-            lines.add(line)
+            last = line
             if row.countRecord is not None:
                 declared = row.countRecord
                 meets = seen == declared
@@ -54,14 +56,11 @@ class ReconcileFile(StatefulProcessor):
             good += row.good
             if meets:
                 yield Row(file_name=key[0], countGoodRecords=good, is_reconciled=True)
-                declared, seen, good, lines = None, 0, 0, set()
-        if declared is not None or seen:
-            now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
-            self.counts.update((declared, seen, good, sorted(lines), now))
-            if self.idle_ms:
-                self.handle.registerTimer(now + self.idle_ms)
-        elif before:
-            self.counts.clear()
+                declared, seen, good = None, 0, 0
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        self.counts.update((declared, seen, good, last, now))
+        if self.idle_ms:
+            self.handle.registerTimer(now + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before = self.counts.get()
@@ -71,7 +70,9 @@ class ReconcileFile(StatefulProcessor):
         if timerValues.getCurrentProcessingTimeInMs() < idle_at:
             self.handle.registerTimer(idle_at)
             return
-        yield Row(file_name=key[0], countGoodRecords=before[2], is_reconciled=False)
+        declared, seen, good = before[:3]
+        if declared is not None or seen:
+            yield Row(file_name=key[0], countGoodRecords=good, is_reconciled=False)
         self.counts.clear()
 
     def close(self) -> None:
@@ -85,7 +86,7 @@ def reconcile_stream(progress: DataFrame, idle_ms: int | None = IDLE_MS) -> Data
     than are missing, the declared number is met within it, and all its good rows count.
     A file that had more rows than declared before it was declared, or has no number or
     too few rows, is given up after the idle time: it comes out as not reconciled. So the
-    state, a few numbers per open file, ends for every file. Without an idle time nothing
+    state, a few numbers per file, ends for every file. Without an idle time nothing
     is given up; a run over what is there now needs this, as one with timers never ends.
     """
     with_state_store(progress.sparkSession)

@@ -66,12 +66,36 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
-def move_only_part(spark: SparkSession, folder: str, to: str) -> None:
-    """Give the one part file of a folder another place and name, and remove the folder."""
-    system, source = _at(spark, folder)
+def visible_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files of a folder that Spark's readers see, by name; none if there is no folder."""
+    system, target = _at(spark, folder)
+    if not system.exists(target):
+        return []
+    found = (status.getPath() for status in system.listStatus(target))
+    return sorted(f"{folder}/{p.getName()}" for p in found if p.getName()[0] not in "_.")
+
+
+def move_to(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file another place and name."""
+    system, source = _at(spark, path)
     _, target = _at(spark, to)
-    (part,) = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(source, "part-*"))
     system.mkdirs(target.getParent())
-    if not system.rename(part.getPath(), target) and not system.exists(target):
+    if not system.rename(source, target):
         raise OSError(f"{to} could not be written")
-    system.delete(source, True)
+
+
+def rename_new(spark: SparkSession, path: str, to: str) -> bool:
+    """Give a file a name that nothing has yet; if something has it, remove the file."""
+    jvm = spark._jvm
+    _, source = _at(spark, path)
+    _, target = _at(spark, to)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    kept = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(source, target, kept)
+        return True
+    except Exception as error:
+        if not exists(spark, to):
+            raise OSError(f"{to} could not be written") from error
+        remove(spark, path)
+        return False
