@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from subflow.functions.cells import epoch_day
 from subflow.functions.rules import is_more_year
+from subflow.operators.ranks import ranked
 from subflow.operators.spread import attach_per_key
 from subflow.schemas import ITEM_COLUMNS, PACKET_COLUMNS, STORED_COLUMNS
 from subflow.workspace import staged
@@ -59,6 +60,24 @@ def bucket_lists(rows: DataFrame, list_rows: int = LIST_ROWS, **spread) -> DataF
     )
 
 
+def ordered_lists(rows: DataFrame, list_rows: int = LIST_ROWS, **spread) -> DataFrame:
+    """As ``bucket_lists``, with the rows in the order in which they stood in their file.
+
+    For rows with ``record_at`` and, from several arrivals, ``arrival``. Part 0 has a
+    bucket's first ``list_rows`` rows, part 1 the next, and so on.
+    """
+    order = [c for c in ("arrival", "record_at") if c in rows.columns]
+    placed = ranked(stored_items(rows), ["file_name", "isMoreYear"], [*order, *ITEM_COLUMNS])
+    item = F.struct("rank", F.struct(*ITEM_COLUMNS).alias("item"))
+    bucket = F.struct("file_name", "isMoreYear").alias("bucket")
+    part = F.floor((F.col("rank") - 1) / list_rows).cast("int")
+    made = placed.groupBy(bucket, part.alias("part")).agg(F.sort_array(F.collect_list(item)).alias("list"))
+    made = staged(made.select("bucket", "part", F.col("list.item").alias("list")), "ordered-lists")
+    sizes = made.groupBy("bucket").agg((F.max("part") + 1).alias("parts"), F.count("*").alias("n"))
+    whole = attach_per_key(made, sizes, on="bucket", weight="n", **spread)
+    return whole.select("bucket.*", "part", "parts", "list")
+
+
 def explode_lists(lists: DataFrame) -> DataFrame:
     """Lists back to rows, with the bucket flag."""
     return lists.select("isMoreYear", F.explode("list").alias("item")).select(

@@ -72,5 +72,5 @@ def failed_rows(checked: DataFrame) -> DataFrame:
 
 
 def good_rows_with_arrival(checked: DataFrame) -> DataFrame:
-    """Good rows of a staged table of checked records, with the arrival they came in."""
-    return checked.filter("is_valid").select(*PACKET_COLUMNS, "arrival")
+    """Good rows of a staged table of checked records, with the arrival they came in and where they stood."""
+    return checked.filter("is_valid").select(*PACKET_COLUMNS, "arrival", "record_at")

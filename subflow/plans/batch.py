@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subflow.operators import files, gate, lists, rows, status
-from subflow.schemas import CHECKED
+from subflow.schemas import CHECKED, PACKET_COLUMNS
 from subflow.sinks.tables import new_batch_id, store_items
 from subflow.sources import delimited
 from subflow.workspace import staged
@@ -48,6 +48,11 @@ class Outcome:
     def good_rows(self) -> DataFrame:
         return rows.good_rows(self.assembled)
 
+    @property
+    def placed_rows(self) -> DataFrame:
+        """Good rows with the byte of their file that they began at."""
+        return self.checked.filter("is_valid").select(*PACKET_COLUMNS, "record_at")
+
     @property
     def file_success(self) -> DataFrame:
         return files.file_success(self.checked)

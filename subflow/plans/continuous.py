@@ -19,16 +19,18 @@ from subflow.schemas import (
     PROGRESS,
     RECONCILED,
     RELEASE,
+    RELEASE_CUT,
     RELEASED,
 )
 from subflow.sinks.manifest import is_published, publish_batch
 from subflow.sinks.tables import read_batch, store_items, write_batch
 from subflow.sources import delimited, staged
+from subflow.sources.discovery import Found
 from subflow.sources.published import stream_published
 from subflow.streaming import gate as stream_gate
 from subflow.streaming import reconcile
 from subflow.streaming.progress import file_progress, row_progress
-from subflow.workspace import discard, remove
+from subflow.workspace import discard, exists, remove
 from subflow.workspace import staged as stage_once
 
 
@@ -44,6 +46,7 @@ class Layout:
         self.released = f"{root}/released"
         self.stored = f"{root}/stored"
         self.name_rejects = f"{root}/name_rejects"
+        self.first_rejects = f"{root}/first_rejects"
         self.file_rejects = f"{root}/file_rejects"
         self.row_rejects = f"{root}/row_rejects"
         self.row_failures = f"{root}/row_failures"
@@ -70,7 +73,8 @@ def names_query(names: DataFrame, layout: Layout, as_of=None, **trigger) -> Stre
 def read_file_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
     """All rejected files: by name, and those without a # column."""
     read = lambda path: spark.read.schema(FILE_FAIL).parquet(path).select(*FILE_FAIL.fieldNames())
-    return read(layout.name_rejects).unionByName(read(layout.file_rejects))
+    rejects = read(layout.name_rejects).unionByName(read(layout.file_rejects))
+    return rejects.unionByName(read(layout.first_rejects)) if exists(spark, layout.first_rejects) else rejects
 
 
 def stage_arrival(arrived: DataFrame, arrival: int, layout: Layout, as_of=None) -> None:
@@ -104,12 +108,14 @@ def stage_arrival(arrived: DataFrame, arrival: int, layout: Layout, as_of=None)
     discard(headers)
 
 
-def arrivals_query(arrived: DataFrame, layout: Layout, as_of=None, **trigger) -> StreamingQuery:
+def arrivals_query(
+    arrived: DataFrame, layout: Layout, as_of=None, first_arrival: int = 0, **trigger
+) -> StreamingQuery:
     """Rows of the files with a good name, from a stream of files or of lines; the others are not opened."""
     return (
         files.of_good_files(arrived, as_of)
         .writeStream.foreachBatch(
-            lambda batch, arrival: stage_arrival(batch, arrival, layout, as_of)
+            lambda batch, batch_id: stage_arrival(batch, first_arrival + batch_id, layout, as_of)
         )
         .option("checkpointLocation", layout.checkpoint("arrivals"))
         .trigger(**(trigger or {"processingTime": "1 second"}))
@@ -117,6 +123,26 @@ def arrivals_query(arrived: DataFrame, layout: Layout, as_of=None, **trigger) ->
     )
 
 
+def start_with_batch(
+    spark: SparkSession, path: str, layout: Layout, as_of=None, nested: bool = False
+) -> dict[str, int]:
+    """Take all files that are there now in one batch job, as arrival 0, before the streams start.
+
+    The streams of files of this layout (with ``layout.log("names")`` and ``"arrivals"``)
+    then find the others only; give the result, which says that their arrivals begin at 1,
+    to ``arrivals_query``. It may be repeated until it has been done, before the streams are
+    started; then it does nothing.
+    """
+    if not is_published(spark, layout.progress, 0, by="arrival"):
+        listed = stage_once(delimited.read_files(spark, path, nested), "files")
+        for query in ("names", "arrivals"):
+            Found(layout.log(query)).take(r["file_path"] for r in listed.select("file_path").toLocalIterator())
+        checked = files.check_files(listed.select("file_name").distinct(), as_of)
+        write_batch(files.failed_files(checked), layout.first_rejects, 0)
+        stage_arrival(listed, 0, layout, as_of)
+    return {"first_arrival": 1}
+
+
 _WITH_ARRIVAL = T.StructType([*CHECKED.fields, T.StructField("arrival", T.LongType())])
 
 
@@ -165,7 +191,8 @@ def release_batch(releases: DataFrame, batch_id: int, layout: Layout) -> None:
     """
     spark = releases.sparkSession
     write_batch(releases, layout.releases, batch_id)
-    written = read_batch(spark, layout.releases, RELEASE, batch_id)
+    schema = RELEASE_CUT if "upto" in releases.columns else RELEASE
+    written = read_batch(spark, layout.releases, schema, batch_id)
     if written.isEmpty():
         remove(spark, f"{layout.releases}/batch_id={batch_id}")
         return
@@ -178,11 +205,12 @@ def release_batch(releases: DataFrame, batch_id: int, layout: Layout) -> None:
 
 
 def releases_query(
-    spark: SparkSession, layout: Layout, idle_ms: int = stream_gate.IDLE_MS, **trigger
+    spark: SparkSession, layout: Layout, idle_ms: int = stream_gate.IDLE_MS, by_row: bool = False, **trigger
 ) -> StreamingQuery:
+    """Released rows; ``by_row``, a file's rows leave at the very one that completes it."""
     found = staged.stream_stage(spark, layout.statuses, RECONCILED)
     statuses = found.filter("is_reconciled").drop("is_reconciled")
-    releases = stream_gate.gate_stream(statuses, progress_stream(spark, layout, "releases"), idle_ms)
+    releases = stream_gate.gate_stream(statuses, progress_stream(spark, layout, "releases"), idle_ms, by_row)
     return (
         releases.writeStream.foreachBatch(
             lambda batch, batch_id: release_batch(batch, batch_id, layout)

@@ -78,7 +78,7 @@ reasoned AS (
     WHEN price IS NULL THEN 'Price is not a number' END AS reason
   FROM typed),
 packets AS (
-  SELECT file_name, has_end, file_date, id, sd, ed, CAST(sd AS VARCHAR) AS "startDate",
+  SELECT file_name, has_end, file_date, l_orderkey, l_linenumber, id, sd, ed, CAST(sd AS VARCHAR) AS "startDate",
     CAST(ed AS VARCHAR) AS "endDate", duration, price,
     sd < {AS_OF} AND sd < ed AND ed - sd = duration AND duration >= 0
       AND NOT isnan(price) AND price >= 0 AS is_valid
@@ -283,6 +283,11 @@ LEFT JOIN success USING (file_name) LEFT JOIN statuses USING (file_name)""",
 FROM ({_FLAT_VERDICTS})
 LEFT JOIN success USING (file_name) LEFT JOIN statuses USING (file_name)
 LEFT JOIN (SELECT file_name, count(*) AS rejected FROM reasoned WHERE reason IS NOT NULL GROUP BY 1) USING (file_name)""",
+    "ordered_lists": _end(_FLAT)
+    + """SELECT file_name, duration > 365 AS "isMoreYear", 0 AS part, 1 AS parts, count(*) AS n,
+  string_agg(id || ':' || CAST(sd - DATE '1970-01-01' AS BIGINT) || ':' || CAST(ed - DATE '1970-01-01' AS BIGINT)
+    || ':' || duration || ':' || format('{:.2f}', price), ',' ORDER BY l_orderkey, l_linenumber) AS items
+FROM packets WHERE is_valid GROUP BY 1, 2""",
     "csv_rows": _end(_CSV) + f"SELECT {_ROW}, is_valid FROM packets",
     "csv_row_rejects": _end(_CSV)
     + "SELECT file_name, reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY 1, 2",
@@ -297,6 +302,14 @@ LEFT JOIN (SELECT file_name, count(*) AS rejected FROM reasoned WHERE reason IS
     + f"""SELECT {_ROW}, CASE WHEN even_complete AND held_even > 0 THEN id % 2 = 0 ELSE is_complete END
   AS is_complete
 FROM packets JOIN release USING (file_name) WHERE is_valid""",
+    # A file's rows in the order of arrival and then of their values; complete are as many as
+    # the status says, if there are as many.
+    "stream_gate_rows": _end(_ARRIVED)
+    + f"""SELECT {_ROW}, place <= "countGoodRecords" AND held >= "countGoodRecords" AS is_complete
+FROM (
+  SELECT p.*, coalesce(s."countGoodRecords", 0) AS "countGoodRecords", h.held, row_number() OVER (
+    PARTITION BY file_name ORDER BY id % 2, id, sd, ed, duration, price) AS place
+  FROM packets p JOIN held h USING (file_name) LEFT JOIN statuses s USING (file_name) WHERE is_valid)""",
     "stream_idle_release": _end(_ROWS)
     + f"SELECT {_ROW}, FALSE AS is_complete FROM packets WHERE is_valid",
     "stream_late_rows": _end(_ARRIVED)

@@ -295,6 +295,21 @@ def flat_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ordered_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Each file's buckets as lists in the order of the file, which many tasks may have read."""
+    done = batch.ingest_folder(spark, _flat_files(spark, sf), AS_OF)
+    built = lists.ordered_lists(done.placed_rows)
+    item = lambda i: F.concat_ws(":", i.id, i.startDate, i.endDate, i.duration, F.format_string("%.2f", i.price))
+    return built.select(
+        "file_name",
+        "isMoreYear",
+        "part",
+        "parts",
+        F.size("list").cast("bigint").alias("n"),
+        F.array_join(F.transform("list", item), ",").alias("items"),
+    )
+
+
 def json_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "json-rows")
     orders.write_json_rows(spark, sf, path)
@@ -343,8 +358,8 @@ def _stage_statuses(spark: SparkSession, layout: continuous.Layout) -> None:
     write_stage(statuses, layout.statuses)
 
 
-def _release(spark: SparkSession, layout: continuous.Layout) -> None:
-    run_until_idle(continuous.releases_query(spark, layout, IDLE_MS))
+def _release(spark: SparkSession, layout: continuous.Layout, by_row: bool = False) -> None:
+    run_until_idle(continuous.releases_query(spark, layout, IDLE_MS, by_row))
 
 
 def _released(spark: SparkSession, layout: continuous.Layout) -> DataFrame:
@@ -377,6 +392,15 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _released(spark, layout)
 
 
+def stream_gate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``stream_gate``, to the row: as many rows leave complete as the status says, the others by the timer."""
+    layout = _stage_rows(spark, sf, new_path(spark, "stream-gate-rows"))
+    _stage_statuses(spark, layout)
+    _stage_progress(spark, layout, [0, 1])
+    _release(spark, layout, by_row=True)
+    return _released(spark, layout)
+
+
 def stream_idle_release(spark: SparkSession, sf: str) -> DataFrame:
     """No file is ever reconciled, so all rows leave by the timer."""
     layout = _stage_rows(spark, sf, new_path(spark, "stream-idle"))
@@ -485,10 +509,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_row_rejects": csv_row_rejects,
     "csv_stored": csv_stored,
     "flat_files": flat_files,
+    "ordered_lists": ordered_lists,
     "json_rows": json_subscriptions,
     "json_rejects": json_rejects,
     "stream_reconcile": stream_reconcile,
     "stream_gate": stream_gate,
+    "stream_gate_rows": stream_gate_rows,
     "stream_idle_release": stream_idle_release,
     "stream_late_rows": stream_late_rows,
     "stream_store": stream_store,

@@ -64,6 +64,9 @@ CHECKED = T.StructType(
 # What one arrival (one batch of staged rows) adds to a file.
 PROGRESS = _schema(file_name=_TEXT, arrival=_LONG, countRecord=_LONG, seen=_LONG, good=_LONG)
 RELEASE = _schema(file_name=_TEXT, arrivals=T.ArrayType(_LONG), held=_LONG, is_complete=_FLAG)
+# The same to the row: without the first ``skip`` good rows of the first arrival, and of the
+# last arrival those up to ``upto`` (all, if null).
+RELEASE_CUT = T.StructType([*RELEASE.fields, *_schema(skip=_LONG, upto=_LONG).fields])
 # A reconciled file; or one that was idle for too long with counts that did not meet.
 RECONCILED = T.StructType([*COLLECTOR_STATUS.fields, *_schema(is_reconciled=_FLAG).fields])
 

@@ -48,14 +48,28 @@ class Found:
         self.store, self.folder = file_store(log)
         self.steps = 0
         self.known: set[str] = set()
+        if self._is_file(self._taken):
+            self.known.update(read_whole(self.store, self._taken).decode().splitlines())
         self.catch_up()
 
     def catch_up(self) -> None:
         """Take over the steps that are there; they have no gaps."""
-        while self.store.get_file_info(self._path(self.steps)).type == pafs.FileType.File:
+        while self._is_file(self._path(self.steps)):
             self.known.update(entry["key"] for entry in self.entries(self.steps))
             self.steps += 1
 
+    @property
+    def _taken(self) -> str:
+        return f"{self.folder}/taken"
+
+    def _is_file(self, path: str) -> bool:
+        return self.store.get_file_info(path).type == pafs.FileType.File
+
+    def take(self, keys: Iterable[str]) -> None:
+        """What has been dealt with elsewhere, before the stream: it is known and in no step."""
+        self.known.update(keys)
+        write_whole(self.store, self._taken, "\n".join(sorted(self.known)).encode())
+
     def _path(self, step: int) -> str:
         return f"{self.folder}/{step:09d}.json"
 
@@ -80,8 +94,7 @@ class Found:
         if not most:
             return steps
         place = f"{self.folder}/given"
-        is_there = self.store.get_file_info(place).type == pafs.FileType.File
-        given = int(read_whole(self.store, place)) if is_there else 0
+        given = int(read_whole(self.store, place)) if self._is_file(place) else 0
         if given < steps:
             given += 1
             write_whole(self.store, place, str(given).encode())
