@@ -165,15 +165,18 @@ class Aligner:
         runs, n_a, n_b = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for start in range(0, len(words), WORDS_AT_ONCE):
             some = words[start : start + WORDS_AT_ONCE]
-            ((a, b),) = self._encoded([" ".join(some)])
+            a = b = np.empty(0, np.uint32)
+            if "" not in some:
+                ((a, b),) = self._encoded([" ".join(some)])
             ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            cuts = [np.searchsorted(at, ends) for at in (np.cumsum(self.side_a.lengths[a]), np.cumsum(self.side_b.lengths[b]))]
-            if len(a):
+            sides = [(np.cumsum(side.lengths[ids]), ids) for side, ids in ((self.side_a, a), (self.side_b, b))]
+            cuts = [np.searchsorted(at, ends) for at, _ in sides]
+            if len(a) and all((at[cut] == ends).all() for (at, _), cut in zip(sides, cuts, strict=True)):
                 upto_a, upto_b = (cut + 1 for cut in cuts)
                 each = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
                 begins = np.stack((upto_a - each[0], len(a) + upto_b - each[1]), 1).ravel()
                 runs.append(gathered(np.concatenate((a, b)), begins, np.stack(each, 1).ravel()))
-            else:  # a word that doesn't come back as its bytes spoils those with it
+            else:  # an empty word, or one that doesn't come back as its bytes, spoils those with it
                 pairs = self._encoded(some)
                 runs += [ids for pair in pairs for ids in pair]
                 each = (np.array([len(pair[k]) for pair in pairs]) for k in (0, 1))

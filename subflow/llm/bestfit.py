@@ -170,7 +170,7 @@ def _ranked(scratch: Scratch, items: DataFrame) -> tuple[DataFrame, dict[int, in
     if 64 * len(moves) <= BROADCAST_BYTES:
         moved = F.broadcast(moved)
     ranked = located.join(moved, ["_file", "length"]).withColumn("_rank", F.col("_row") + F.col("_move"))
-    return ranked.drop("_file", "_row", "_move"), totals
+    return ranked.select(*items.columns, "_rank"), totals
 
 
 def best_fit(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from subflow.llm.common import mixed
 
 # Characters and texts (or one text) whose words are told apart at once; words per call.
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 1_500_000
 TEXTS_AT_ONCE = 4096
 WORDS_AT_ONCE = 512
 # Words of more ids are not remembered; ids that the table holds per word, on average.

@@ -3,8 +3,9 @@
 A page is a row of tokens: tags, and the words between them. Every word scores above
 zero, by where it stands (the nearest block element, in a link or not, in a part of the
 page that its markup or its class names call something else), every tag below zero, by
-its name. One linear scan finds the contiguous run with the highest sum. What lies in it
-and isn't in an excluded part, is put out block by block.
+its name. One linear scan finds the contiguous run with the highest sum. Where markup names
+the article, a run that has a part of it has all of it. What lies in the run and isn't in an
+excluded part, is put out block by block.
 
 A form, or an element whose names hold a hint, may be the wrapper of the whole page. It is
 no part of its own if it holds most of the page's words and ``LIFTED`` times those that no
@@ -56,6 +57,8 @@ EXCLUDED = set(
 RAW = "script style textarea title noscript template iframe xmp noembed noframes".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = ("article", "main")
+# Parts of a text, and not of a page: no names of theirs are hints within an article.
+TEXT = set("h1 h2 h3 h4 h5 h6 hgroup p li dt dd blockquote pre figure figcaption caption thead tbody tfoot tr th td hr".split())
 FORMS = ("form", "fieldset")
 # A wrapper holds so many times the words that no part holds.
 LIFTED = 4
@@ -70,7 +73,7 @@ _HINT = re.compile(
     re.I,
 )
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|shoutbox)(?:$|[\s_-])", re.I)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _BODY = re.compile(r"""itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?main""", re.I)
 _TOKEN = re.compile(
@@ -94,6 +97,15 @@ class Token:
         self.breaks, self.excluded, self.inside = breaks, excluded, inside
 
 
+class Span:
+    """An element that marks its article: its tokens from ``start`` to ``end``, and its words that aren't apart."""
+
+    __slots__ = ("start", "end", "words", "is_main")
+
+    def __init__(self, start, is_main):
+        self.start, self.end, self.words, self.is_main = start, None, 0, is_main
+
+
 class Wrapper:
     """An element that is a part by a hint or as a form, with the words below it and its own."""
 
@@ -128,18 +140,44 @@ def wrapping(wrappers: list[Wrapper]) -> tuple[frozenset[int], bool]:
 
 def tokens(page: str) -> tuple[list[Token], bool]:
     """The page's tokens, and whether it marks its article."""
-    found, marked, wrappers = _tokens(page, frozenset(), False)
+    found, marked, _ = tokens_and_spans(page)
+    return found, marked
+
+
+def tokens_and_spans(page: str) -> tuple[list[Token], bool, list[Span]]:
+    """As ``tokens``, and the elements that mark an article."""
+    found, marked, wrappers, spans = _tokens(page, frozenset(), False)
     if len(wrappers) > 1:
         lifted, anew = wrapping(wrappers)
         if lifted or anew:
-            found, marked, _ = _tokens(page, lifted, anew)
-    return found, marked
+            found, marked, _, spans = _tokens(page, lifted, anew)
+    return found, marked, spans
 
 
-def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token], bool, list[Wrapper]]:
+def _hints(name: str, attributes: str, in_article: bool) -> str:
+    """What an element's names say of it.
+
+    Within an article an id is often made of a title, so those of sections count only
+    where they name comments, and no names of text's own parts do.
+    """
+    if in_article and (name in TEXT or name in INLINE):
+        return ""
+    said = []
+    for kind, *values in _ATTRIBUTE.findall(attributes):
+        value = next(filter(None, values), "")
+        if not (in_article and name == "section" and kind.lower() == "id" and not _COMMENTS.search(value)):
+            said.append(value)
+    return " ".join(said)
+
+
+def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token], bool, list[Wrapper], list[Span]]:
     found: list[Token] = []
-    # Name, how much it adds to the excluded parts, starts the article, fixed part, wrapper.
-    stack: list[tuple[str, int, bool, bool, int]] = []
+    # Name, how much it adds to the excluded parts, starts the article, fixed part, wrapper,
+    # the block around it, its span. Where the open elements of a name are on the stack.
+    stack: list[tuple[str, int, bool, bool, int, str, Span | None]] = []
+    open_at: dict[str, list[int]] = {}
+    spans: list[Span] = []
+    around: list[Span] = []
     excluded = links = inside = fixed = 0
     wrappers, within = [Wrapper(0, False, False)], 0
     block, marked, at = "", False, 0
@@ -151,18 +189,25 @@ def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token],
             if not fixed:
                 wrappers[within].words += n
                 wrappers[within].own += n
+            if around and not excluded:
+                around[-1].words += n
             feature = f"word {'apart' if excluded else (block or 'body') + (' link' if links else '')}"
             found.append(Token(feature, n, text, False, excluded > 0, inside > 0))
 
     def leave(index: int) -> None:
         nonlocal excluded, links, inside, block, fixed, within
-        for name, apart, article, is_fixed, _ in stack[index:]:
+        while len(stack) > index:
+            name, apart, article, is_fixed, _, block, span = stack.pop()
+            open_at[name].pop()
             excluded -= apart
             inside -= article
             links -= name == "a"
             fixed -= is_fixed
-        del stack[index:]
-        block = next((entry[0] for entry in reversed(stack) if entry[0] in BLOCKS), "")
+            if span is not None:
+                around.pop()
+                span.end = len(found)
+                if around:
+                    around[-1].words += span.words
         within = stack[-1][4] if stack else 0
 
     for match in _TOKEN.finditer(page):
@@ -178,27 +223,24 @@ def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token],
             continue
         if match["close"] or name.startswith("/"):
             name = name.lstrip("/")
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             was, apart_before = inside > 0, excluded > 0
-            if index is not None:
-                leave(index)
+            if open_at.get(name):
+                leave(open_at[name][-1])
             feature = f"tag {'apart' if apart_before or excluded else known}"
             found.append(Token(feature, None, "", name in BLOCKS, excluded > 0, was))
             continue
         closes = CLOSED_BY.get(name)
         if closes and stack and stack[-1][0] in closes:
             leave(len(stack) - 1)
-        if name in BLOCKS:  # an open paragraph, and what is open in it, ends at the next block
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if index is not None and not any(entry[0] in BLOCKS for entry in stack[index + 1 :]):
-                leave(index)
+        if name in BLOCKS and block == "p":  # an open paragraph, and what is open in it, ends at the next block
+            leave(open_at["p"][-1])
         attributes = match["attr"] or ""
         apart = name in EXCLUDED
         is_fixed = apart and name not in FORMS
         article, named = False, ""
         if attributes:
             if not is_fixed and name not in ("html", "body"):
-                named = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
+                named = _hints(name, attributes, inside > 0)
                 if name not in MARKS:
                     is_fixed = bool(_HIDDEN.search(attributes))
                     apart = apart or is_fixed or bool(_HINT.search(named))
@@ -218,7 +260,13 @@ def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token],
             wrappers[within].free += counts
             if anew and counts:
                 apart = -excluded
-            stack.append((name, int(apart), article, is_fixed, within))
+            span = None
+            if article and not fixed and not excluded + apart and not _HINT.search(named):
+                span = Span(len(found), name == "main")
+                spans.append(span)
+                around.append(span)
+            open_at.setdefault(name, []).append(len(stack))
+            stack.append((name, int(apart), article, is_fixed, within, block, span))
             fixed += is_fixed
             excluded += apart
             inside += article
@@ -229,7 +277,8 @@ def _tokens(page: str, lifted: frozenset[int], anew: bool) -> tuple[list[Token],
         found.append(Token(feature, None, "", name in BLOCKS, excluded > 0, inside > 0))
     if at < len(page):
         text_token(page[at:])
-    return found, marked, wrappers
+    leave(0)
+    return found, marked, wrappers, spans
 
 
 def count_features(pages: DataFrame) -> DataFrame:
@@ -256,6 +305,8 @@ class Weights:
     """Scores of features: words above zero, tags below."""
 
     LEAST_WORD, MOST_WORD, LEAST_TAG, MOST_TAG = 0.02, 4.0, 0.1, 1.5
+    # Words and tags that no labelled page has: they may be the article's as well as not.
+    NEW_WORD, NEW_LINK, NEW_TAG = 2.0, 0.5, 0.2
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
         words = [c for name, c in counts.items() if name.startswith("word ")]
@@ -272,12 +323,12 @@ class Weights:
     def of(self, token: Token) -> float:
         if token.words is None:
             # What is apart is never put out, so a form amid an article costs its run little.
-            prior = -self.LEAST_TAG if token.excluded or token.feature[4:] in INLINE else -5 * self.LEAST_TAG
+            prior = -self.LEAST_TAG if token.excluded or token.feature[4:] in INLINE else -self.NEW_TAG
             return self.scores.get(token.feature, prior)
         if token.excluded:
             return self.LEAST_WORD * token.words
         link = token.feature.endswith(" link")
-        return self.scores.get(token.feature, 0.2 if link else 1.0) * token.words
+        return self.scores.get(token.feature, self.NEW_LINK if link else self.NEW_WORD) * token.words
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -292,10 +343,24 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def marked_span(spans: list[Span]) -> tuple[int, int]:
+    """The element that marks the article: the one of most words; of nested ones the inner, if it has most of them."""
+    inner = max((s for s in spans if not s.is_main), key=lambda s: s.words, default=None)
+    outer = max(spans, key=lambda s: s.words, default=None)
+    chosen = inner if inner is not None and 2 * inner.words > outer.words else outer
+    return (chosen.start, chosen.end) if chosen is not None and chosen.words else (0, 0)
+
+
 def main_text(page: str, weights: Weights) -> str:
-    """Blocks of the best run, in page order, joined by an empty line."""
-    found, _ = tokens(page)
+    """Blocks of the best run, in page order, joined by an empty line.
+
+    Where markup names the article, a run that has a part of it has all of it.
+    """
+    found, _, spans = tokens_and_spans(page)
     start, end = best_run([weights.of(token) for token in found])
+    first, last = marked_span(spans)
+    if first < end and start < last:
+        start, end = min(start, first), max(end, last)
     blocks, current = [], []
 
     def close() -> None:

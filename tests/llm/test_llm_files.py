@@ -154,6 +154,43 @@ def test_parts_stay_parts():
     assert extraction.main_text("<form>" * 2_000 + "word", weights) == "word"
 
 
+LEARNED = {  # words and tags of pages whose articles are h1 and p alone
+    "word p": (90_000, 100), "word h1": (3_000, 10), "word apart": (0, 50_000), "tag p": (9_000, 50),
+    "tag h1": (900, 5), "tag apart": (0, 9_000), "tag body": (0, 900), "tag article": (900, 900),
+}
+LONG = "<p>" + "Many words of the text here. " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("counts", [{}, LEARNED])
+def test_the_whole_article_is_kept(counts):
+    weights = extraction.Weights(counts)
+    long = extraction.main_text(LONG, weights)
+
+    def text(page):
+        return extraction.main_text(f"<body>{MENU}{page}{FOOT}</body>", weights).replace(long, "LONG").split("\n\n")
+
+    links = "<ul><li><a href=x>one link</a></li><li><a href=y>two</a></li></ul>"
+    assert text(f"<article><h1>T</h1>{LONG}<h2>Sources</h2>{links}</article>") == ["T", "LONG", "Sources", "one link", "two"]
+    section = "<section id='related'><h2>Related work</h2><p>is this</p></section>"
+    assert text(f"<article>{LONG}<h2 id='search'>Search</h2>{LONG}{section}</article>") == ["LONG", "Search", "LONG", "Related work", "is this"]
+    table = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    assert text(f"<div><h1>T</h1>{LONG}{table}</div>") == ["T", "LONG", "a", "b", "1", "2"]
+    parts = "<section id=comments><h2>Comments</h2><p>Great post</p></section><div class=related><a href=q>Other</a></div>"
+    assert text(f"<article>{LONG}{parts}</article>") == ["LONG"]
+    teaser = "<article><h2>Other</h2><p>Less of it</p></article>"
+    assert text(f"<main><article>{LONG}<ul><li>end</li></ul></article></main><aside>{teaser}</aside>") == ["LONG", "end"]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    weights = extraction.Weights({})
+    for page in ("<div>" * 100_000 + "x", "<font>" * 50_000 + "</i>" * 50_000, "<p><b>" * 50_000, "<ul><li>" * 50_000):
+        start = time.perf_counter()
+        extraction.main_text(page, weights)
+        assert time.perf_counter() - start < 10
+
+
 def test_what_is_open_in_a_paragraph_ends_with_it():
     page = "<form><article><p>One <b>bold <i>text<p>Two</i> more<li><b>item<li>last<div><p>the end of it</div></article></form>"
     assert extraction.main_text(page, extraction.Weights({})) == "One bold text\n\nTwo more\n\nitem\n\nlast\n\nthe end of it"
