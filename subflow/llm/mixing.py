@@ -37,7 +37,7 @@ from subflow.operators.spread import attach_per_key
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-CHUNK_DOCS = 20_000
+CHUNK_DOCS = 2_000
 MAX_STEP = 2.0
 TOLERANCE = 1e-9
 MAX_SWEEPS = 200
@@ -128,6 +128,8 @@ def entropy_balance(
             worst = max(worst, now.agg(F.max("gap")).first()[0] or 0.0)
         if worst < TOLERANCE:
             break
+    else:
+        raise ValueError(f"no rates meet the targets: after {MAX_SWEEPS} sweeps a source is off by {worst:.2g} of its size")
     rate = F.least(F.exp("log_rate"), F.lit(float(most)))
     return now.withColumn("rate", rate).drop("log_rate", "gap")
 
