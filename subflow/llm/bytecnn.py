@@ -7,9 +7,9 @@ chunk that repeats itself has low responses only), and a small layer turns it in
 piece.
 
 Training runs on the driver over a bounded sample: at most ``SAMPLE_PER_CLASS`` labelled
-texts of each class, chosen by a hash of their ids, and of each at most
-``SAMPLE_CHUNKS`` chunks, spread evenly over the text. Held-out rows, those whose
-crc32(id as text) mod 5 is 0, are never among them. Everything is seeded, so runs agree.
+texts of each class, chosen by a hash of their ids. Of these it takes all chunks, as
+scoring does. Held-out rows, those whose crc32(id as text) mod 5 is 0, are never among
+them. Everything is seeded, so runs agree.
 
 Results in special cases: a null or empty text is one chunk of padding and gets that
 chunk's score. Labels that are null or without a text are passed over; a document with
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from subflow.llm.common import texts_of
 
 SAMPLE_PER_CLASS = 1500
-SAMPLE_CHUNKS = 24
 STEPS, PER_STEP = 700, 32
 CHUNK, STEP = 128, 112
 KERNEL, STRIDE, EMBEDDING, FILTERS, HIDDEN = 8, 2, 8, 24, 16
@@ -134,7 +133,8 @@ class Network:
     def gradients(self, chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss; only the places that were highest have a share in it."""
         p, n = self.p, len(starts)
-        top, where = self.pooled(chunks)
+        pieces = [slice(at, at + CHUNKS_AT_ONCE) for at in range(0, len(chunks), CHUNKS_AT_ONCE)]
+        top, where = (np.concatenate(x) for x in zip(*(self.pooled(chunks[piece]) for piece in pieces), strict=True))
         vectors = self.combined(top, starts)
         logits, hidden = self.logits(vectors)
         error = ((1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) / n).astype(np.float32)
@@ -152,13 +152,15 @@ class Network:
             to_top += to_vectors[owner, part] * equal / np.add.reduceat(equal, starts, axis=0)[owner]
         to_top = (to_top * (top > 0)).astype(np.float32)
         g["filter_bias"] = to_top.sum(axis=0)
-        places = where[:, :, None] * STRIDE + np.arange(KERNEL)
-        bytes_ = chunks[np.arange(len(chunks))[:, None, None], places]
-        windows = p["embedding"][bytes_].reshape(len(chunks), FILTERS, -1)
-        g["filters"] = np.einsum("cf,cfw->wf", to_top, windows)
-        to_window = to_top[:, :, None] * p["filters"].T[None]
-        g["embedding"] = np.zeros_like(p["embedding"])
-        np.add.at(g["embedding"], bytes_.ravel(), to_window.reshape(-1, EMBEDDING))
+        g["filters"], g["embedding"] = np.zeros_like(p["filters"]), np.zeros_like(p["embedding"])
+        for piece in pieces:  # a text of any length is gone through by so many chunks
+            some, share = chunks[piece], to_top[piece]
+            places = where[piece][:, :, None] * STRIDE + np.arange(KERNEL)
+            bytes_ = some[np.arange(len(some))[:, None, None], places]
+            windows = p["embedding"][bytes_].reshape(len(some), FILTERS, -1)
+            g["filters"] += np.einsum("cf,cfw->wf", share, windows)
+            to_window = share[:, :, None] * p["filters"].T[None]
+            np.add.at(g["embedding"], bytes_.ravel(), to_window.reshape(-1, EMBEDDING))
         g["embedding"][PADDING] = 0
         return g
 
@@ -186,12 +188,6 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _spread(chunks: np.ndarray) -> np.ndarray:
-    if len(chunks) <= SAMPLE_CHUNKS:
-        return chunks
-    return chunks[np.linspace(0, len(chunks) - 1, SAMPLE_CHUNKS).round().astype(int)]
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network:
     """A network fitted to the sample that the module's text describes."""
     known = labels.filter("quality is not null and doc_id is not null").filter(~is_held_out(F.col("doc_id")))
@@ -208,14 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     # At most twice the bound of ids, so they may go to every task.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cuts = [_spread(chunks_of(text)).astype("<u2").tobytes() for text in texts_of(batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "chunks": cuts})
-
-    rows = sample.mapInPandas(cut, "doc_id bigint, quality int, chunks binary").toPandas()
+    rows = sample.select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_pandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    texts = [np.frombuffer(c, "<u2").reshape(-1, CHUNK) for c in rows["chunks"]]
+    texts = [chunks_of(text) for text in rows["text"]]
     return network.fit(texts, rows["quality"].to_numpy(np.float32))
 
 
