@@ -8,7 +8,7 @@ occurs in a document when some stretch of it is within ``budget(m)`` edits of th
   places in the document and in the item differ by at most e. Hits are counted per item
   in bands of offsets, two rows of bands of width 2e + 2 that overlap by half, so every
   occurrence lies whole in one band. Bands that meet the bound are retained, as regions
-  of the document.
+  of the document; those of an item that meet are one region.
 * Each retained region is verified by an alignment of the item with the region, banded
   around the offsets: the least number of edits, its ends in the document free.
 
@@ -20,7 +20,9 @@ number of items; a block means one more pass over the documents.
 Results in special cases: null, empty or letterless texts and items hold and occur in
 nothing. The bound needs one shared q-gram, so items of less than two q-grams' length must
 occur exactly, and of those up to 31 characters some may have an edit less than their share.
-Equal items are all reported. Rows that repeat are searched alike. A row without an id is
+Equal items are all reported. Of an item's stretches in a document that with the fewest
+edits is reported, of tied ones that which starts first. A long text is gone through by a bounded
+number of hits at a time, in time linear in its length times that of the items it resembles. Rows that repeat are searched alike. A row without an id is
 reported with a null id. Only id and text columns are read. An empty table on either side
 gives an empty result.
 """
@@ -40,6 +42,8 @@ from subflow.llm.common import Scratch, texts_of, without
 Q = 8
 # Edits that an item may have, as a share of its folded characters.
 EDIT_SHARE = 0.1
+# Hits of q-grams that a text is gone through by.
+HITS_AT_ONCE = 1_000_000
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 20
 SPACE = 1
@@ -103,7 +107,11 @@ class Items:
     texts: list[np.ndarray]
 
     def prepare(self) -> Items:
+        """Make the table, once in a worker."""
+        if hasattr(self, "table"):
+            return self
         lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.longest = int(lengths.max(initial=0))
         self.edits = np.array([budget(n) for n in lengths], np.int64)
         self.needed = np.maximum(lengths - Q + 1 - Q * self.edits, 1)
         # An item shorter than a q-gram is looked for as it is.
@@ -116,8 +124,9 @@ class Items:
         every, self.item, self.place = every[order], item[order], place[order]
         self.grams, self.first = np.unique(every, return_index=True)
         self.last = np.append(self.first[1:], len(every))
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[_slots(self.grams)] = True
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[_slots(self.grams)] = True
+        self.table = table
         return self
 
     def regions(self, text: np.ndarray) -> list[tuple[int, int, int]]:
@@ -133,28 +142,60 @@ class Items:
         count = self.last[slot] - self.first[slot]
         if not len(count):
             return []
+        found: dict[int, list[tuple[int, int]]] = {}
+        for part in self._windows(at, count):
+            for n, low, high in self._bands(at[part], slot[part], count[part]):
+                found.setdefault(n, []).append((low, high))
+        # Bands of an item that meet are one region, so a text is aligned with it once there.
+        return [(n, *region) for n in sorted(found) for region in _merged(found[n])]
+
+    def _windows(self, at: np.ndarray, count: np.ndarray) -> Iterator[slice]:
+        """Parts of a text's hits, of about ``HITS_AT_ONCE``; neighbours share as much text as an item takes."""
+        upto = np.cumsum(count)
+        if upto[-1] <= HITS_AT_ONCE:
+            yield slice(0, len(at))
+            return
+        shared, start = 2 * self.longest, 0
+        while start < len(at):
+            end = int(np.searchsorted(upto, upto[start] - count[start] + HITS_AT_ONCE, "right"))
+            # At least as much again as is shared, or no window would end.
+            end = max(end, int(np.searchsorted(at, at[start] + 2 * shared, "right")))
+            yield slice(start, end)
+            if end >= len(at):
+                return
+            start = int(np.searchsorted(at, at[end - 1] - shared))
+
+    def _bands(self, at: np.ndarray, slot: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int]]:
         hits = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         item, offset = self.item[hits], np.repeat(at, count) - self.place[hits]
         # Items with fewer hits in all than a band needs are out at once.
         enough = np.bincount(item, minlength=len(self.texts)) >= self.needed
         keep = enough[item]
         item, offset, place = item[keep], offset[keep], self.place[hits][keep]
-        found = []
         half = self.edits + 1
         for shift in (0, 1):
             band = (offset + shift * half[item]) // (2 * half[item])
             key = (item << 40) + band + (1 << 39)
-            ordered = np.sort(key)
-            starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
-            counts = np.diff(np.append(starts, len(ordered)))
-            groups = ordered[starts]
+            # Places of the item count once, however often the document repeats them.
+            order = np.lexsort((place, key))
+            ordered, places = key[order], place[order]
+            is_new = np.ones(len(ordered), bool)
+            is_new[1:] = (ordered[1:] != ordered[:-1]) | (places[1:] != places[:-1])
+            groups, counts = np.unique(ordered[is_new], return_counts=True)
             for group in groups[counts >= self.needed[groups >> 40]].tolist():
                 n = group >> 40
-                # Places of the item count once, however often the document repeats them.
-                if len(np.unique(place[key == group])) >= self.needed[n]:
-                    low = ((group & ((1 << 40) - 1)) - (1 << 39)) * 2 * int(half[n]) - shift * int(half[n])
-                    found.append((n, low, low + 2 * int(half[n]) - 1))
-        return found
+                low = ((group & ((1 << 40) - 1)) - (1 << 39)) * 2 * int(half[n]) - shift * int(half[n])
+                yield n, low, low + 2 * int(half[n]) - 1
+
+
+def _merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(regions):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(high, out[-1][1])
+        else:
+            out.append((low, high))
+    return out
 
 
 def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int, limit: int):
@@ -189,10 +230,13 @@ def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int, li
         new, from_start = best + slope, from_start[source]
         new = np.where(inside, new, far)
         cost, start = new, from_start
-    at = int(cost.argmin())
-    if cost[at] > limit:
+    least = int(cost.min())
+    if least > limit:
         return None
-    return int(cost[at]), int(start[at]), int(offsets[at] + len(item))
+    # Of equal ones, that which starts and then ends first.
+    tied = np.flatnonzero(cost == least)
+    at = tied[np.lexsort((offsets[tied], start[tied]))[0]]
+    return least, int(start[at]), int(offsets[at] + len(item))
 
 
 def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int]]:
