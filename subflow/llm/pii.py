@@ -51,6 +51,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIN_INSTANCES = 3
 ACCEPTED = 0.5
 ROUNDS = 4
+# No identifier has more digits.
+MOST_DIGITS = 40
 TABLE_BITS = 20
 
 
@@ -130,7 +132,8 @@ def seeds(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str,
 def identifier(text: str, words: list[re.Match], i: int) -> tuple[int, int] | None:
     """The identifier that starts in word ``i``, as a span, if the word looks like one.
 
-    Four digits or an at sign make one; groups of digits go on over the words after it.
+    Four digits or an at sign make one; groups of digits go on over the words after it. A
+    run of more than ``MOST_DIGITS`` is a table of numbers, and none.
     """
     word = words[i]
     start = word.start() + len(_before(word[0]))
@@ -144,6 +147,8 @@ def identifier(text: str, words: list[re.Match], i: int) -> tuple[int, int] | No
         while k < len(words) and (more := re.match(r"[0-9()./-]*[0-9]", words[k][0])):
             end = words[k].start() + more.end()
             digits += len(_DIGIT.findall(more[0]))
+            if digits > MOST_DIGITS:
+                return None
             if more.end() < len(words[k][0]):
                 break
             k += 1
