@@ -41,6 +41,8 @@ PIECE = 1 << 18
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# Payload bytes that a reader puts out at once, or one record's.
+BYTES_AT_ONCE = 8 * 1024 * 1024
 GZIP = 31  # zlib's window bits for a gzip member
 
 SIDECAR = "archive string, offset bigint, length bigint, id string, type string, uri string"
@@ -254,7 +256,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         fs, place = file_system(folder)
         name, source = None, None
         for batch in batches:
-            found = []
+            found, held = [], 0
             for archive, offset, length in zip(batch["archive"], batch["offset"], batch["length"], strict=True):
                 if archive != name:
                     name, source = archive, fs.open_input_file(f"{place}/{archive}")
@@ -265,6 +267,10 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 http, _, payload = block.partition(b"\r\n\r\n")
                 headers["http-content-length"] = headers_of(http).get("content-length", "0")
                 found.append((headers, payload))
+                held += len(payload)
+                if held > BYTES_AT_ONCE:
+                    yield pd.DataFrame(found, columns=["headers", "payload"])
+                    found, held = [], 0
             yield pd.DataFrame(found, columns=["headers", "payload"])
 
     return index.select("archive", "offset", "length").mapInPandas(read, "headers map<string,string>, payload binary")
