@@ -3,11 +3,14 @@
 Each text gives counts of its words, symbols, repeated lines and repeated runs of eight
 words. The base rules reject short and repetitive texts. Of the others, a vector of
 transformed statistics is held against its language and source: location and scatter are
-minimum-covariance-determinant estimates, that is, they come from the closest share
-``INLIERS`` of the group, found again in concentration steps from medians and median
-absolute deviations, then from all that lie within the usual distance. So a group stands
-junk up to nearly half of its texts; beyond, junk is what is usual in it. A text is
-rejected when its squared Mahalanobis distance is one that only ``REJECTED_SHARE`` of a normal
+minimum-covariance-determinant estimates: of the subsets that hold the share ``INLIERS`` of
+the group, that of the least determinant. Concentration steps look for it from several
+starts at once (medians and median absolute deviations; spatial signs around the medians;
+means and covariances): each step takes the closest share by the present estimate and
+estimates anew, until no determinant moves any more, and per group the start that ends
+with the least one is taken. The last estimate comes from all that lie within the usual
+distance of it. So a group stands junk up to nearly half of its texts; beyond, junk is what
+is usual in it. All steps are grouped sums. A text is rejected when its squared Mahalanobis distance is one that only ``REJECTED_SHARE`` of a normal
 cloud exceeds.
 
 A group's estimate is weighed with that of its language, and this one with that of all
@@ -42,7 +45,10 @@ MAX_REPEAT_PERCENT = 30
 FLOORS = {"log_words": 0.5, "log_word_length": 0.1, "symbols": 0.1, "lines_again": 0.15, "words_again": 0.15}
 NAMES = list(FLOORS)
 INLIERS = 0.5
-CONCENTRATION_STEPS = 2
+# Steps end when no determinant's logarithm moves by more than this; they are few.
+STILL = 1e-3
+MOST_STEPS = 20
+STARTS = 3
 PRIOR_DOCS = 50.0
 # Share of a normal cloud that lies beyond the distance at which a text is rejected.
 REJECTED_SHARE = 1e-6
@@ -184,23 +190,27 @@ def _shape(sums: DataFrame, keep: list[str], prefix: str, widening: float) -> Da
     return sums.select(*keep, n.alias(f"{prefix}n"), *columns)
 
 
-def _estimates(groups: DataFrame, sums: DataFrame, widening: float) -> DataFrame:
-    """For every group its location and the inverse of its scatter's Cholesky factor.
+def _estimates(groups: DataFrame, sums: DataFrame, widening: float, starts: int = 1) -> DataFrame:
+    """For every group and start its location, the inverse of its scatter's Cholesky factor, and that's determinant.
 
-    ``groups`` has every group; ``sums`` those with texts in the present subset.
+    ``groups`` has every group; ``sums`` those with texts in the present subsets, by start.
     """
+    if "start" not in sums.columns:
+        sums = sums.withColumn("start", F.lit(0))
     shapes = [c for a in ("m_",) for c in [f"{a}{x}" for x in NAMES]]
     shapes += [f"c_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
-    own = _shape(sums, ["group"], "g_", widening)
-    tongue = _shape(_again(sums.join(groups.select("group", "tongue"), "group"), ["tongue"]), ["tongue"], "t_", widening)
-    world = _shape(_again(sums, []), [], "w_", widening)
-    # The line of all texts is one row.
-    joined = groups.join(own, "group", "left").join(tongue, "tongue", "left").crossJoin(F.broadcast(world))
+    own = _shape(sums, ["group", "start"], "g_", widening)
+    spoken = sums.join(groups.select("group", "tongue"), "group")
+    tongue = _shape(_again(spoken, ["tongue", "start"]), ["tongue", "start"], "t_", widening)
+    # All texts are one line per start, also if there are none.
+    each = groups.sparkSession.range(starts).select(F.col("id").cast("int").alias("start"))
+    world = each.join(_shape(_again(sums, ["start"]), ["start"], "w_", widening), "start", "left")
+    joined = groups.join(F.broadcast(world)).join(own, ["group", "start"], "left").join(tongue, ["tongue", "start"], "left")
     t_n, g_n = (F.coalesce(F.col(f"{x}_n"), F.lit(0.0)) for x in "tg")
     world_of = {c: F.coalesce(F.col(f"w_{c}"), F.lit(0.0)) for c in shapes}
     tongue_of = {c: _blend(F.col(f"t_{c}"), t_n, world_of[c]) for c in shapes}
     blended = {c: _blend(F.col(f"g_{c}"), g_n, tongue_of[c]) for c in shapes}
-    now = joined.select("group", "n", once(**blended))
+    now = joined.select("group", "start", "n", once(**blended))
     for j, a in enumerate(NAMES):  # one column of the factor after the other
         left = [F.col(f"l_{a}_{NAMES[k]}") for k in range(j)]
         floor = FLOORS[a] ** 2
@@ -224,8 +234,14 @@ def _estimates(groups: DataFrame, sums: DataFrame, widening: float) -> DataFrame
                 row[f"i_{a}_{b}"] = -steps / F.col(f"l_{a}_{a}")
         now = now.select("*", once(**row))
     inverse = [F.col(f"i_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+    size = sum((F.log(f"l_{a}_{a}") for a in NAMES), F.lit(0.0))
     return now.select(
-        "group", "n", F.array(*[F.col(f"m_{a}") for a in NAMES]).alias("centre"), F.array(*inverse).alias("inverse")
+        "group",
+        "start",
+        "n",
+        F.array(*[F.col(f"m_{a}") for a in NAMES]).alias("centre"),
+        F.array(*inverse).alias("inverse"),
+        (2 * size).alias("log_determinant"),
     )
 
 
@@ -242,36 +258,85 @@ def _distance() -> Column:
     return total
 
 
+def _per_group(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return attach_per_key(rows, table, on="group", weight="n", is_staged=True, broadcast_bytes=BROADCAST_BYTES)
+
+
 def _with_distance(scratch: Scratch, rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    staged = scratch.stage(estimates, "estimates")
-    near = attach_per_key(
-        rows, staged, on="group", weight="n", is_staged=True, broadcast_bytes=BROADCAST_BYTES
-    )
-    return near.withColumn("distance", _distance()).drop("centre", "inverse")
+    """Rows with their ``distance``, once for each start that their group has an estimate of."""
+    each = F.struct("start", "centre", "inverse")
+    by_group = estimates.groupBy("group").agg(F.collect_list(each).alias("estimates"), F.max("n").alias("n"))
+    near = _per_group(rows, scratch.stage(by_group, "by-group"))
+    near = near.select("*", F.explode("estimates").alias("estimate")).select("*", "estimate.*")
+    return near.withColumn("distance", _distance()).drop("centre", "inverse", "estimate", "estimates")
 
 
 def _first_sums(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """Medians and median absolute deviations of each group, in the form of sums.
+    """The starts, in the form of sums: middles, spatial signs, means.
 
-    A normal cloud's standard deviation is 1.4826 median absolute deviations.
+    A normal cloud's standard deviation is 1.4826 median absolute deviations. The sign of
+    a row is its direction from the medians, in units of these deviations; the covariance
+    of signs is a scatter that no far row pulls.
     """
     middles = rows.groupBy("group").agg(
         F.count("*").alias("n"), *[F.percentile_approx(a, 0.5, 1000).alias(f"q_{a}") for a in NAMES]
     )
     middles = scratch.stage(middles, "middles")
-    near = attach_per_key(
-        rows, middles, on="group", weight="n", is_staged=True, broadcast_bytes=BROADCAST_BYTES
-    )
+    near = _per_group(rows, middles)
     away = [F.percentile_approx(F.abs(F.col(a) - F.col(f"q_{a}")), 0.5, 1000).alias(f"d_{a}") for a in NAMES]
-    found = near.groupBy("group").agg(*away).join(middles, "group")
-    columns = []
-    for i, a in enumerate(NAMES):
-        middle = F.col(f"q_{a}")
-        columns.append((middle * F.col("n")).alias(f"s_{a}"))
-        for b in NAMES[: i + 1]:
-            spread = F.col(f"d_{a}") * 1.4826 if a == b else F.lit(0.0)
-            columns.append(((spread * spread + middle * F.col(f"q_{b}")) * F.col("n")).alias(f"p_{a}_{b}"))
-    return found.select("group", "n", *columns)
+    found = scratch.stage(near.groupBy("group").agg(*away).join(middles, "group"), "deviations")
+
+    def as_sums(table: DataFrame, start: int, covariance) -> DataFrame:
+        columns = [(F.col(f"q_{a}") * F.col("n")).alias(f"s_{a}") for a in NAMES]
+        for i, a in enumerate(NAMES):
+            for b in NAMES[: i + 1]:
+                mean = F.col(f"q_{a}") * F.col(f"q_{b}")
+                columns.append(((covariance(a, b) + mean) * F.col("n")).alias(f"p_{a}_{b}"))
+        return table.select("group", F.lit(start).alias("start"), "n", *columns)
+
+    spread = {a: F.greatest(F.col(f"d_{a}") * 1.4826, F.lit(FLOORS[a] / 2)) for a in NAMES}
+    signed = _per_group(rows, found.select("*")).select(
+        "group", *[((F.col(a) - F.col(f"q_{a}")) / spread[a]).alias(f"z_{a}") for a in NAMES]
+    )
+    square = sum((F.col(f"z_{a}") * F.col(f"z_{a}") for a in NAMES), F.lit(0.0))
+    both = [
+        F.avg(F.col(f"z_{a}") * F.col(f"z_{b}") / F.greatest(square, F.lit(1e-12))).alias(f"u_{a}_{b}")
+        for i, a in enumerate(NAMES)
+        for b in NAMES[: i + 1]
+    ]
+    signs = signed.groupBy("group").agg(*both).join(found, "group")
+    starts = [
+        as_sums(found, 0, lambda a, b: F.pow(F.col(f"d_{a}") * 1.4826, 2) if a == b else F.lit(0.0)),
+        as_sums(signs, 1, lambda a, b: F.col(f"u_{a}_{b}") * len(NAMES) * spread[a] * spread[b]),
+    ]
+    means = _moments(rows.withColumn("start", F.lit(2)), ["group", "start"])
+    return starts[0].unionByName(starts[1]).unionByName(means)
+
+
+def concentrated(scratch: Scratch, fit: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group, of its closest share of rows.
+
+    A step lowers the determinant or leaves it, so steps end; ``MOST_STEPS`` is far beyond.
+    """
+    estimates = scratch.stage(_estimates(groups, scratch.stage(_first_sums(scratch, fit), "start"), 1.0, STARTS), "estimates")
+    for _ in range(MOST_STEPS):
+        near = _with_distance(scratch, fit, estimates)
+        limits = near.groupBy("group", "start").agg(
+            F.count("*").alias("n"), F.percentile_approx("distance", INLIERS, 1000).alias("limit")
+        )
+        limits = limits.groupBy("group").agg(
+            F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("start", "limit"))).alias("limits")
+        )
+        closest = _per_group(near, scratch.stage(limits, "limits")).filter(F.col("distance") <= F.col("limits")[F.col("start")])
+        sums = scratch.stage(_moments(closest, ["group", "start"]), "sums")
+        before, estimates = estimates, scratch.stage(_estimates(groups, sums, _widening(INLIERS), STARTS), "estimates")
+        old = before.select("group", "start", F.col("log_determinant").alias("old"))
+        moved = estimates.join(old, ["group", "start"]).agg(F.max(F.abs(F.col("log_determinant") - F.col("old")))).first()[0]
+        scratch.drop(before)
+        if (moved or 0.0) < STILL:
+            break
+    least = F.min_by(F.struct("start", "n", "centre", "inverse"), F.struct("log_determinant", "start")).alias("least")
+    return estimates.groupBy("group").agg(least).select("group", "least.*")
 
 
 def judged(docs: DataFrame, scratch: Scratch, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -285,24 +350,13 @@ def judged(docs: DataFrame, scratch: Scratch, keep: list[str], text_col: str = "
     )
     fit = rows.filter("not base_failed").select("group", *NAMES)
     groups = scratch.stage(rows.groupBy("group", "tongue").agg(F.count("*").alias("n")), "groups")
-    estimates = _estimates(groups, scratch.stage(_first_sums(scratch, fit), "start"), 1.0)
-    for _ in range(CONCENTRATION_STEPS):
-        near = _with_distance(scratch, fit, estimates)
-        limits = near.groupBy("group").agg(
-            F.count("*").alias("n"), F.percentile_approx("distance", INLIERS, 1000).alias("limit")
-        )
-        limits = scratch.stage(limits, "limits")
-        closest = attach_per_key(
-            near, limits, on="group", weight="n", is_staged=True, broadcast_bytes=BROADCAST_BYTES
-        ).filter("distance <= limit")
-        sums = scratch.stage(_moments(closest, ["group"]), "sums")
-        estimates = _estimates(groups, sums, _widening(INLIERS))
+    estimates = concentrated(scratch, fit, groups)
     usual = 0.975
     inside = _with_distance(scratch, fit, estimates).filter(
         F.col("distance") <= chi_square_quantile(usual, len(NAMES))
     )
-    sums = scratch.stage(_moments(inside, ["group"]), "sums")
-    final = _with_distance(scratch, rows, _estimates(groups, sums, _widening(usual)))
+    sums = _moments(inside.withColumn("start", F.lit(0)), ["group", "start"])
+    final = _with_distance(scratch, rows, _estimates(groups, scratch.stage(sums, "sums"), _widening(usual))).drop("start")
     cutoff = chi_square_quantile(1 - REJECTED_SHARE, len(NAMES))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return final.withColumn("kept", kept)
