@@ -356,3 +356,58 @@ def test_languages_by_text_markup_and_host(spark, documents, tongues):
     assert all(0.5 <= r.confidence <= 1.0001 for r in found.values())
     assert langid.identify(pages.limit(0), docs).collect() == []
     assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_fusion_equals_a_plain_version(spark, documents, tongues):
+    """All evidence of every page, added up one page after the other."""
+    from math import exp, log
+    from urllib.parse import urlsplit
+
+    from subflow.llm.extraction import Weights, main_text
+
+    docs = documents([(i, tongues(lang, 60), lang, "s") for i, lang in enumerate(["en", "fr"] * 15)])
+    pick, rows = random.Random(6), []
+    for i in range(120):
+        lang = pick.choice(["en", "fr", "fr"])
+        host = pick.choice(["a.x.fr", "b.x.fr", "www.y.org", "z.com", "hot.example.fr"])
+        text = f"<p>{tongues(lang, pick.choice([0, 3, 40]))}</p>" if pick.random() < 0.9 else None
+        mark = pick.choice(["", f" lang={lang}", " lang='en-GB'"])
+        rows.append((i, pick.choice([f"http://{host}/{i}"] * 6 + [None, "odd"]), text and f"<html{mark}>{text}"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    model, strength = langid.learn_text_model(docs), langid.STRENGTH
+    known = []
+    for _, url, page in rows:
+        evidence = model.likelihoods(main_text(page or "", Weights({})))
+        host = (urlsplit(url).hostname if url else None) or None
+        parts = host.split(".") if host else []
+        known.append((host, ".".join(parts[-2:]), parts[-1] if parts else None, langid.declared_language(page or ""),
+                      int(evidence.argmax()) if evidence.any() else None, evidence))
+
+    def counts(column, value):
+        found = [0.0] * 2
+        for page in known:
+            if page[4] is not None and (column is None or (value is not None and page[column] == value)):
+                found[page[4]] += 1
+        return found
+
+    world = counts(None, None)
+
+    def odds(column, value):
+        of = counts(column, value)
+        if value is None or not sum(of):
+            return [0.0, 0.0]
+        share = sum(of) / max(sum(world), 1)
+        return [log((n + strength * share + 1e-9) / (all_ + strength)) for n, all_ in zip(of, world)]
+
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    for (i, *_), (host, domain, suffix, declared, own, evidence) in zip(rows, known):
+        prior = [(n + 1) / (sum(world) + 2) for n in world]
+        for column, value in ((1, domain), (0, host)):
+            of = counts(column, value) if host else [0.0, 0.0]
+            of = [max(n - (k == own), 0.0) for k, n in enumerate(of)]
+            prior = [(n + strength * p) / (sum(of) + strength) for n, p in zip(of, prior)]
+        more = zip(evidence, prior, odds(2, suffix if host else None), odds(3, declared))
+        score = [e + log(p) + a + b for e, p, a, b in more]
+        best = max(range(2), key=lambda k: score[k])
+        assert got[i].lang == model.languages[best], i
+        assert got[i].confidence == pytest.approx(1 / sum(exp(s - score[best]) for s in score)), i
