@@ -194,8 +194,12 @@ def held_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_rows(spark: SparkSession, sf: str) -> DataFrame:
-    good = staged(_good(spark, sf), "good")
-    return _out(gate.gate(good, _statuses(spark, sf)))
+    checked = batch.checked_records(_records(spark, sf), AS_OF)
+    checked = staged(checked.select(*PACKET_COLUMNS, "is_end", "reason", "is_valid"), "checked")
+    assembled = checked.filter("reason is null and not is_end")
+    counts = status.status_counts(_sent(assembled))
+    statuses = status.reconcile(files.file_success(checked), counts)
+    return _out(gate.gate(rows.good_rows(assembled), statuses))
 
 
 def bucket_lists(spark: SparkSession, sf: str) -> DataFrame:
