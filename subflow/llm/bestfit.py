@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subflow.llm import encoding, packing
-from subflow.llm.common import BROADCAST_BYTES, Scratch, texts_of
+from subflow.llm import packing
+from subflow.llm.common import BROADCAST_BYTES, Scratch
 
 CAPACITY = 4096
 
@@ -124,26 +125,30 @@ def pieces(
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece, and its ids if asked for."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
+    names = [name for name in kinds if with_ids or name != "ids"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = packing.encoder(tokenizer)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].astype("Int64"), texts_of(batch["text"])
-            for low, high in encoding.slices(texts):
-                rows = []
-                for at, ids in enumerate(made.encode(texts[low:high]), low):
+            doc_ids, row = batch.column("doc_id"), 0
+            for encoded in made.encode_column(batch.column("text")):
+                at, columns = [], {name: [] for name in names}
+                for ids in encoded:
                     ids += end
                     for k, start in enumerate(range(0, len(ids), step)):
                         part = ids[start : start + step]
-                        rows.append((at, k, start // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-                out["doc_id"] = doc_ids.iloc[out["doc_id"]].to_numpy()
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out if with_ids else out.drop(columns="ids")
+                        at.append(row)
+                        for name, value in zip(names[1:], (k, start // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
+                            columns[name].append(value)
+                    row += 1
+                columns["doc_id"] = doc_ids.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_pydict({name: pa.array(columns[name], kinds[name]) for name in names})
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(cut, schema + (", ids binary" if with_ids else ""))
+    return chosen.mapInArrow(cut, schema + (", ids binary" if with_ids else ""))
 
 
 def _ranked(scratch: Scratch, items: DataFrame) -> tuple[DataFrame, dict[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from subflow.llm.common import mixed
 
 # Characters and texts (or one text) whose words are told apart at once; words per call.
-CHARS_AT_ONCE = 1_500_000
+CHARS_AT_ONCE = 1_000_000
 TEXTS_AT_ONCE = 4096
 WORDS_AT_ONCE = 512
 # Words of more ids are not remembered; ids that the table holds per word, on average.
@@ -51,6 +51,17 @@ def slices(texts: list[str], chars_at_once: int = CHARS_AT_ONCE) -> Iterator[tup
         yield start, len(texts)
 
 
+def column_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """As ``slices``, of a large Arrow column without nulls and by bytes."""
+    upto = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))))
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(upto, upto[start] + CHARS_AT_ONCE, "right")) - 1
+        end = max(start + 1, min(end, start + TEXTS_AT_ONCE))
+        yield start, end
+        start = end
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``data`` from ``starts`` with ``lengths``, one after the other."""
     ends = np.cumsum(lengths)
@@ -198,13 +209,16 @@ class Encoder:
         self.known = RunTable(remembered, IDS_PER_WORD * remembered, np.uint32, LONGEST)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for start, end in slices(texts):
-            out += self._together(texts[start:end])
-        return out
+        return [ids for part in self.encode_column(pa.array(texts, pa.large_string())) for ids in part]
+
+    def encode_column(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """The ids of an Arrow column's texts, so many at a time as are encoded together."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for start, end in column_slices(texts):
+            yield self._together(texts.slice(start, end - start))
 
-    def _together(self, texts: list[str]) -> list[bytes]:
-        lower = pc.ascii_lower(pa.array(texts, pa.large_string()))
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        lower = pc.ascii_lower(texts)
         whole = np.full(len(texts), not self.special)
         for token in self.special:
             whole |= pc.match_substring(lower, token).to_numpy(zero_copy_only=False)
@@ -218,8 +232,8 @@ class Encoder:
         per_text = np.concatenate(([0], np.cumsum(n)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         bounds = (4 * per_text).tolist()
         return [
-            self._whole(text) if is_whole else flat[bounds[i] : bounds[i + 1]]
-            for i, (text, is_whole) in enumerate(zip(texts, whole.tolist(), strict=True))
+            self._whole(texts[i].as_py()) if is_whole else flat[bounds[i] : bounds[i + 1]]
+            for i, is_whole in enumerate(whole.tolist())
         ]
 
     def _whole(self, text: str) -> bytes:

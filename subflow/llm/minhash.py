@@ -186,11 +186,11 @@ def _texts_of(scratch: Scratch, docs: DataFrame, reps: DataFrame) -> DataFrame:
     that their texts are shuffled and few others. Only where more are wanted than
     ``MOST_BITS`` allows for, more others come along; joins drop these.
     """
-    wanted = scratch.stage(reps.distinct(), "wanted")
+    wanted = scratch.stage(reps.distinct(), "wanted", 1 / 8)
     bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * wanted.count()).bit_length()))
     bucket, place = _bit(F.col("rep"), bits)
     maps = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_map"))
-    maps = scratch.stage(maps, "bits")
+    maps = scratch.stage(maps, "bits", 1 / 16)
     bucket, place = _bit(F.col("doc_id"), bits)
     byte = F.conv(F.hex(F.substring("_map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     here = docs.withColumn("_place", place).join(F.broadcast(maps), bucket == F.col("_bucket"))
@@ -270,7 +270,7 @@ def _numbered(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """``key, rep, number`` of the classes with an id: the id, or where classes share it, one by the key."""
     firsts = classes.filter("rep is not null").select("key", "rep")
     reused = firsts.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("is_reused"))
-    reused = scratch.stage(reused, "reused")
+    reused = scratch.stage(reused, "reused", 1 / 16)
     if not reused.limit(1).count():
         return firsts.withColumn("number", F.col("rep"))
     number = F.when(F.col("is_reused"), F.xxhash64("key")).otherwise(F.col("rep"))
@@ -362,6 +362,7 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
         .groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
         "classes",
+        1 / 8,
     )
     firsts = _numbered(scratch, classes)
     about = signed.join(firsts, "key").filter("doc_id = rep")
@@ -370,10 +371,10 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
     ends = in_buckets.groupBy("bucket").agg(F.min("number").alias("hub_number"), F.max("number").alias("high"))
     shared_buckets = ends.filter("hub_number != high").select("bucket", "hub_number")
     members = _per_bucket(in_buckets, shared_buckets).filter("number != hub_number")
-    members = scratch.stage(members, "members")
+    members = scratch.stage(members, "members", 1 / 4)
 
-    pairs = scratch.stage(_against_hubs(members.select("number", "hub_number"), reps, settings), "pairs")
-    links = scratch.stage(_confirmed(scratch, texts, pairs, settings), "links")
+    pairs = scratch.stage(_against_hubs(members.select("number", "hub_number"), reps, settings), "pairs", 1 / 4)
+    links = scratch.stage(_confirmed(scratch, texts, pairs, settings), "links", 1 / 8)
     scratch.drop(pairs)
     roots = components(scratch, links)
 
@@ -382,31 +383,31 @@ def _decided(docs: DataFrame, settings: Settings | None, id_col: str = "doc_id",
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     labels = _labelled(reps.select("number", "key"), roots).join(degree, "key", "left")
     left = _pending(members.select("bucket", "number"), labels.fillna(0, ["links"]))
-    left = scratch.stage(left, "left")
+    left = scratch.stage(left, "left", 1 / 4)
     scratch.drop(members)
     first = F.min_by(F.struct("number", "label"), F.struct(-F.col("links"), "number"))
     second = left.groupBy("bucket").agg(first.alias("hub"))
     second = second.select("bucket", F.col("hub.number").alias("hub_number"), F.col("hub.label").alias("hub_label"))
     met = _per_bucket(left, second).filter("number != hub_number")
     across = met.filter("label != hub_label").select("number", "hub_number")
-    pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs")
-    more = scratch.stage(_confirmed(scratch, texts, pairs, settings), "links")
+    pairs = scratch.stage(_against_hubs(across, reps, settings), "pairs", 1 / 4)
+    more = scratch.stage(_confirmed(scratch, texts, pairs, settings), "links", 1 / 8)
     scratch.drop(pairs)
     links = links.union(more)
     roots = components(scratch, links)
 
     rest = _pending(met.select("bucket", "number"), _labelled(reps.select("number", "rep", "key"), roots))
     rest = rest.join(reps.select("key", "n_shingles", "sketch"), "key")
-    rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest")
+    rest = scratch.stage(rest.select("bucket", "key", "rep", "root", "n_shingles", "sketch"), "rest", 1 / 4)
     scratch.drop(left, reps)
-    last = scratch.stage(_in_blocks(scratch, texts, rest, settings), "links")
+    last = scratch.stage(_in_blocks(scratch, texts, rest, settings), "links", 1 / 8)
     roots = components(scratch, links.union(last))
     scratch.drop(rest)
 
     labelled = _labelled(classes, roots)
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = scratch.stage(
-        labelled.join(least, "root").select("key", "component_id", "root", "n"), "components"
+        labelled.join(least, "root").select("key", "component_id", "root", "n"), "components", 1 / 8
     )
     result = attach_per_key(
         signed.select("doc_id", "hash", "n_shingles", "key").filter("key is not null"),
@@ -435,14 +436,14 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     once. A row without an id always stays, and so does one without words.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.stage(_decided(docs, settings).select("doc_id", "hash", "root", "kept"), "decided")
+    found = scratch.stage(_decided(docs, settings).select("doc_id", "hash", "root", "kept"), "decided", 1 / 4)
     gone = found.filter("not kept").select("doc_id", "hash")
     several = found.filter("kept and doc_id is not null and root is not null").groupBy("root")
     several = several.agg(F.count("*").alias("n"), F.min("hash").alias("first")).filter("n > 1")
-    several = scratch.stage(several.select("root", "first"), "several")
+    several = scratch.stage(several.select("root", "first"), "several", 1 / 16)
     is_repeated = several.limit(1).count() > 0
     if is_repeated:
-        alike = scratch.stage(found.filter("kept and doc_id is not null").join(several, "root"), "alike")
+        alike = scratch.stage(found.filter("kept and doc_id is not null").join(several, "root"), "alike", 1 / 16)
         gone = gone.union(alike.filter("hash != first").select("doc_id", "hash"))
     known = lambda doc_id, text_hash: (docs["doc_id"] == F.col(doc_id)) & (_text_hash("text") == F.col(text_hash))
     gone = gone.distinct().toDF("_gone_id", "_gone_hash")
@@ -451,7 +452,7 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         return left.select(*docs.columns)
     # Rows that repeat are rare, and few even then: one of each stays.
     again = alike.filter("hash = first").groupBy("doc_id", "hash").count().filter("count > 1").toDF("_id", "_hash", "_n")
-    again = scratch.stage(again, "again")
+    again = scratch.stage(again, "again", 1 / 16)
     once = left.join(again, known("_id", "_hash"), "left_anti")
     repeated = left.join(again, known("_id", "_hash"), "left_semi").withColumn("_hash", _text_hash("text"))
     return once.unionByName(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash")).select(*docs.columns)
