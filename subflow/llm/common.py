@@ -40,15 +40,16 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{label}"
 
-    def stage(self, df: DataFrame, label: str, share: float = 1.0) -> DataFrame:
+    def stage(self, df: DataFrame, label: str, share: float = 1.0, is_light: bool = False) -> DataFrame:
         """Write ``df`` and read it back; with ``share``, in so many of the shuffle's files.
 
         A table that is small beside the texts needs fewer files than these, in proportion.
-        Its rows are dealt anew for that, so what makes them has all its tasks.
+        Its rows are dealt anew for that, so what makes them has all its tasks; where that
+        ``is_light``, it is done in as many tasks as files, which saves a shuffle.
         """
         if share < 1:
-            shuffled = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartition(max(2, round(shuffled * share)))
+            files = max(2, round(int(self.spark.conf.get("spark.sql.shuffle.partitions")) * share))
+            df = df.coalesce(files) if is_light else df.repartition(files)
         path = self.path(label)
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)

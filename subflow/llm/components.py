@@ -46,12 +46,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     The root is the least node of a component. Each round is written to shared storage,
     and the rounds, about the logarithm of the longest path, end when nothing changes.
     """
-    now = scratch.stage(edges.filter("a != b").select("a", "b").distinct(), "edges", SHARE)
+    now = scratch.stage(edges.filter("a != b").select("a", "b").distinct(), "edges", SHARE, is_light=True)
     before = None
     while (seen := _summary(now)) != before and seen[0]:
         before = seen
-        wide = scratch.stage(_star(now, large=True), "large-star", SHARE)
+        wide = scratch.stage(_star(now, large=True), "large-star", SHARE, is_light=True)
         scratch.drop(now)
-        now = scratch.stage(_star(wide, large=False), "small-star", SHARE)
+        now = scratch.stage(_star(wide, large=False), "small-star", SHARE, is_light=True)
         scratch.drop(wide)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

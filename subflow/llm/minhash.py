@@ -186,11 +186,11 @@ def _texts_of(scratch: Scratch, docs: DataFrame, reps: DataFrame) -> DataFrame:
     that their texts are shuffled and few others. Only where more are wanted than
     ``MOST_BITS`` allows for, more others come along; joins drop these.
     """
-    wanted = scratch.stage(reps.distinct(), "wanted", 1 / 8)
+    wanted = scratch.stage(reps.distinct(), "wanted", 1 / 8, is_light=True)
     bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * wanted.count()).bit_length()))
     bucket, place = _bit(F.col("rep"), bits)
     maps = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_map"))
-    maps = scratch.stage(maps, "bits", 1 / 16)
+    maps = scratch.stage(maps, "bits", 1 / 16, is_light=True)
     bucket, place = _bit(F.col("doc_id"), bits)
     byte = F.conv(F.hex(F.substring("_map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     here = docs.withColumn("_place", place).join(F.broadcast(maps), bucket == F.col("_bucket"))
@@ -270,7 +270,7 @@ def _numbered(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """``key, rep, number`` of the classes with an id: the id, or where classes share it, one by the key."""
     firsts = classes.filter("rep is not null").select("key", "rep")
     reused = firsts.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("is_reused"))
-    reused = scratch.stage(reused, "reused", 1 / 16)
+    reused = scratch.stage(reused, "reused", 1 / 16, is_light=True)
     if not reused.limit(1).count():
         return firsts.withColumn("number", F.col("rep"))
     number = F.when(F.col("is_reused"), F.xxhash64("key")).otherwise(F.col("rep"))
@@ -440,7 +440,7 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     gone = found.filter("not kept").select("doc_id", "hash")
     several = found.filter("kept and doc_id is not null and root is not null").groupBy("root")
     several = several.agg(F.count("*").alias("n"), F.min("hash").alias("first")).filter("n > 1")
-    several = scratch.stage(several.select("root", "first"), "several", 1 / 16)
+    several = scratch.stage(several.select("root", "first"), "several", 1 / 16, is_light=True)
     is_repeated = several.limit(1).count() > 0
     if is_repeated:
         alike = scratch.stage(found.filter("kept and doc_id is not null").join(several, "root"), "alike", 1 / 16)
@@ -452,7 +452,7 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         return left.select(*docs.columns)
     # Rows that repeat are rare, and few even then: one of each stays.
     again = alike.filter("hash = first").groupBy("doc_id", "hash").count().filter("count > 1").toDF("_id", "_hash", "_n")
-    again = scratch.stage(again, "again", 1 / 16)
+    again = scratch.stage(again, "again", 1 / 16, is_light=True)
     once = left.join(again, known("_id", "_hash"), "left_anti")
     repeated = left.join(again, known("_id", "_hash"), "left_semi").withColumn("_hash", _text_hash("text"))
     return once.unionByName(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash")).select(*docs.columns)
