@@ -94,44 +94,6 @@ def test_a_group_may_be_two_fifths_junk(documents, words):
     assert kept == set(range(300))
 
 
-def test_the_determinant_is_the_least_that_many_starts_find(spark, documents, words):
-    """The group's estimate against numpy's concentration steps from many random subsets."""
-    pick = random.Random(8)
-    text = lambda i: " ".join(w + ("#" * (i % 4) if i % 5 < 2 else "") for w in words(pick.randrange(25, 400)))
-    docs = documents([(i, text(i) + ("\nline" * (i % 3 + 1)), "en", "one") for i in range(160)])
-    scratch = Scratch(spark, "t")
-    rows = quality.judged(docs, scratch, ["doc_id"])
-    fit = scratch.stage(rows.filter("not base_failed").select("group", *quality.NAMES), "fit")
-    groups = rows.groupBy("group", "tongue").count().withColumnRenamed("count", "n")
-    (found,) = quality.concentrated(scratch, fit, groups).collect()
-    x = fit.toPandas()[quality.NAMES].to_numpy()
-    floors, widening = np.diag([f**2 for f in quality.FLOORS.values()]), quality._widening(quality.INLIERS)
-
-    def shape(part):
-        covariance = np.cov(part.T, bias=True) * widening
-        return part.mean(axis=0), covariance + floors
-
-    def distances(centre, scatter):
-        return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-
-    random_, least = np.random.default_rng(3), np.inf
-    for _ in range(60):
-        centre, scatter = shape(x[random_.choice(len(x), 12, replace=False)])
-        for _ in range(30):
-            near = distances(centre, scatter)
-            centre, scatter = shape(x[near <= np.sort(near)[(len(x) - 1) // 2]])
-        least = min(least, np.linalg.slogdet(scatter)[1])
-    factor = np.zeros((5, 5))
-    factor[np.tril_indices(5)] = found.inverse
-    mine = -2 * np.log(np.diag(factor)).sum()
-    assert mine <= least + 0.1
-    # It is a fixed point: its own closest half gives it again.
-    centre, scatter = np.array(found.centre), np.linalg.inv(factor.T @ factor)
-    near = distances(centre, scatter)
-    again, wider = shape(x[near <= np.sort(near)[(len(x) - 1) // 2]])
-    assert np.allclose(again, centre, atol=0.05) and abs(np.linalg.slogdet(wider)[1] - mine) < 0.05
-
-
 def test_good_rows_stay_as_they_are(documents, words, judged):
     docs = documents(judged[0]).withColumnsRenamed({"n_chars": "distance"})
     good = quality.keep_good(docs)
